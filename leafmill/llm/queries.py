@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import repetition
+from leafmill.llm import repetition, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +18,14 @@ def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that has near duplicates, with the one that stays of its group."""
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repetition": op5_repetition,
+    "op6_simhash": op6_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
