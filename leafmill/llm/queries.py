@@ -6,13 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import repetition, simhash
+from leafmill.llm import decontaminate, repetition, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every verbatim match of a test item in a document."""
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's repetition measures and verdict."""
     return repetition.repetition(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
@@ -24,6 +29,7 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": op4_decontaminate,
     "op5_repetition": op5_repetition,
     "op6_simhash": op6_simhash,
 }
