@@ -405,8 +405,14 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, field: Field) -> tuple[np.nd
 
 
 def sample(docs: DataFrame, text: str, count: int) -> list[str]:
-    """At most `count` texts of docs, at most 4,000 characters of each."""
-    return [r[0] for r in docs.select(F.substring(F.col(f"`{text}`"), 1, 4000)).where(F.col(f"`{text}`").isNotNull()).limit(count).collect()]
+    """At most `count` whole texts of docs: those of the least hashes, so that neither the order nor
+    the partitions of docs matter. Of the whole table only hashes are sorted."""
+    texts = docs.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("hash")).where("text is not null")
+    least = [r[0] for r in texts.select("hash").distinct().orderBy("hash").limit(count).collect()]
+    if not least:
+        return []
+    found = texts.where(F.col("hash") <= least[-1]).dropDuplicates(["hash"]).collect()
+    return [r[0] for r in sorted(found, key=lambda r: r[1])]
 
 
 def scan(docs: DataFrame, field: Field | None = None, key: str = "doc_id", text: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
