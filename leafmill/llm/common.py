@@ -7,7 +7,7 @@ buffers that Spark hands over, and no Python string is made per word.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,15 +102,51 @@ class Words:
         up, down = _powers(n + 1)
         total = np.zeros(n + 1, np.uint64)
         np.cumsum((_FOLD if fold else _EXACT)[data] * up[:n], out=total[1:])
+        self._total, self._down = total, down
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(offsets) - 1), self.count)
 
+    def prefix(self, size: int) -> np.ndarray:
+        """The hash of each word's first bytes; of a shorter word, of all."""
+        end = np.minimum(self.end, self.start + size)
+        return mix((self._total[end] - self._total[self.start]) * self._down[self.start] + np.uint64(1))
+
     def __len__(self) -> int:
         return len(self.start)
 
 
+def encode_units(text: np.ndarray, start: np.ndarray, encode: Callable[[list[bytes]], list[bytes]], known: dict[int, bytes] | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of text, cut into units at `start`, and where each unit's begin. Each distinct unit is encoded
+    once, as 32-bit ids in bytes; `known`, if given, keeps up to `most` of them by a 64-bit hash for later
+    calls."""
+    end = np.append(start[1:], len(text))
+    up, down = _powers(len(text) + 1)
+    total = np.zeros(len(text) + 1, np.uint64)
+    np.cumsum(_EXACT[text] * up[: len(text)], out=total[1:])
+    one, where, which = np.unique(mix((total[end] - total[start]) * down[start]), return_index=True, return_inverse=True)
+    raw = text.tobytes()
+    if known is None:
+        found = encode([raw[x:y] for x, y in zip(start[where].tolist(), end[where].tolist())])
+        new = []
+    else:
+        found = [known.get(h) for h in one.tolist()]
+        new = [k for k, x in enumerate(found) if x is None]
+    if new:
+        if len(known) + len(new) > most:
+            known.clear()
+        begins, ends = start[where[new]].tolist(), end[where[new]].tolist()
+        for k, ids in zip(new, encode([raw[x:y] for x, y in zip(begins, ends)])):
+            found[k] = ids
+            if len(ids) < 256:
+                known[int(one[k])] = ids
+    count = np.array([len(x) >> 2 for x in found])
+    flat = np.frombuffer(b"".join(found), np.int32)
+    begin = np.cumsum(count) - count
+    return flat[ragged(begin[which], count[which])], np.concatenate([[0], np.cumsum(count[which])])
+
+
 def suffix_array(symbols: np.ndarray, depth: int = 1 << 60) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Suffix array by prefix doubling: the order of all suffixes by their first `depth` symbols at
     least, and for k = 1, 2, 4 ... the rank of every suffix by its first k symbols. Only suffixes
@@ -158,6 +194,11 @@ def neighbour_lcp(order: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np
     return lcp
 
 
+def local_uri(path: str) -> str:
+    """A URI that pyarrow opens: Spark writes file:/x where pyarrow wants a plain path, and s3a where it wants s3."""
+    return "/" + path[5:].lstrip("/") if path.startswith("file:") else "s3" + path[3:] if path.startswith("s3a:") else path
+
+
 def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """starts[0] .. starts[0]+counts[0]-1, starts[1] .. and so on, in one array."""
     total = int(counts.sum())

@@ -18,7 +18,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Words, ragged, shared_folder, slices, suffix_array, utf8
+from leafmill.llm.common import Words, local_uri, ragged, shared_folder, slices, suffix_array, utf8
 
 #: Words of a match that count as contamination; all words of a shorter item.
 MIN_WORDS = 13
@@ -47,11 +47,6 @@ class _Tests:
         self.suffixes = at[ok]
 
 
-def local_uri(path: str) -> str:
-    """A URI that pyarrow opens: Spark writes file:/x where pyarrow wants a plain path."""
-    return "/" + path[5:].lstrip("/") if path.startswith("file:") else path
-
-
 def _tests(path: str, least: int) -> Iterator[_Tests]:
     """The test items of a folder in pieces; a single piece stays in the worker's memory."""
     if path in _pieces:

@@ -16,6 +16,7 @@ The table of pieces is that of a public model, which is given by path.
 from __future__ import annotations
 
 import uuid
+from array import array
 from collections.abc import Iterator
 from functools import cached_property
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import _EXACT, _powers, free_name, mix, ragged, slices, stored, utf8
+from leafmill.llm.common import encode_units, free_name, ragged, slices, stored, utf8
 
 #: The model's file; the folder must exist wherever the driver runs, executors get the table from it.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
@@ -186,6 +187,10 @@ class Pieces:
             out += [piece] if piece >= 0 else self.bytes_as_ids(piece)
         return out
 
+    def units(self, texts: list[bytes]) -> list[bytes]:
+        """unit() of many texts, as 32-bit ids in bytes."""
+        return [array("i", self.unit(t.decode())).tobytes() for t in texts]
+
     def bytes_as_ids(self, piece: int) -> list[int]:
         """The ids of a character that no piece holds, which a state names by -10 minus its code."""
         return [self.byte_id[b] for b in chr(-10 - piece).encode()] if self.byte_id else [self.unknown]
@@ -240,25 +245,7 @@ def encode_texts(pieces: Pieces, data: np.ndarray, offsets: np.ndarray) -> tuple
     first[1:] = ~pieces.pairs[text[:-1], text[1:]]
     first[begins[full]] = True
     start = np.flatnonzero(first)
-    end = np.append(start[1:], len(text))
-    up, down = _powers(len(text) + 1)
-    total = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(_EXACT[text] * up[: len(text)], out=total[1:])
-    one, where, which = np.unique(mix((total[end] - total[start]) * down[start]), return_index=True, return_inverse=True)
-    known = pieces.known
-    found = [known.get(h) for h in one.tolist()]
-    for k in [k for k, x in enumerate(found) if x is None]:
-        i = where[k]
-        found[k] = np.array(pieces.unit(text[start[i] : end[i]].tobytes().decode()), np.int32).tobytes()
-        if len(found[k]) < 256:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[int(one[k])] = found[k]
-    count = np.array([len(x) >> 2 for x in found])
-    flat = np.frombuffer(b"".join(found), np.int32)
-    begin = np.cumsum(count) - count
-    ids = flat[ragged(begin[which], count[which])]
-    upto = np.concatenate([[0], np.cumsum(count[which])])
+    ids, upto = encode_units(text, start, pieces.units, pieces.known, REMEMBERED)
     rows = np.searchsorted(start, begins)
     return _joined_spaces(pieces, ids, np.append(upto[rows], upto[-1]))
 
