@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import bloom, decontaminate, frames, pieces, repetition, secrets, simhash, toxicity, warc
+from leafmill.llm import bloom, decontaminate, frames, pieces, pii, repetition, secrets, simhash, toxicity, warc
 
 #: Hosts whose pages the URL filter lists, with all hosts below them.
 LISTED_HOSTS = ["casino-win.example.com", "free-bets.example.com", "cheap-pills.example.com", "ads-track.example.com", "spam-farm.example.com", "spam-farm.example.org", "adult-x.example.net"]
@@ -28,6 +28,11 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with surrogates for personal data, and how many it holds."""
+    return pii.pseudonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every verbatim match of a test item in a document."""
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -66,6 +71,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_index": op1_warc_index,
     "op2_secrets": op2_secrets,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_decontaminate": op4_decontaminate,
     "op5_repetition": op5_repetition,
     "op6_simhash": op6_simhash,
