@@ -35,7 +35,7 @@ _loaded: dict[str, dict[int, Cascade]] = {}
 
 def _places(keys: np.ndarray, level: int, hashes: int, bits: int) -> np.ndarray:
     """(keys, hashes) bit numbers by double hashing of 128-bit keys (n, 2)."""
-    a = mix(keys[:, 0] + np.uint64(level) * np.uint64(0x9E3779B97F4A7C15))
+    a = mix(keys[:, 0] + np.uint64(level * 0x9E3779B97F4A7C15 % 2**64))
     b = mix(keys[:, 1] ^ np.uint64(level)) | np.uint64(1)
     return (a[:, None] + np.arange(hashes, dtype=np.uint64) * b[:, None]) % np.uint64(bits)
 

@@ -165,7 +165,7 @@ def _shard(batches: Iterator[pa.RecordBatch], folder: str, path: str, pattern: s
                 return
             if writer is None:
                 fs.create_dir(where, recursive=True)
-                out = fs.open_output_stream(f"{where}/{name}")
+                out = fs.open_output_stream(f"{where}/{name}", compression=None)  # else the name makes it compress again
                 writer = FrameWriter(out)
             found = writer.frame(b"".join(parts))
             for row, first, count in waiting:

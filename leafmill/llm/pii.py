@@ -313,10 +313,13 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes | None = None,
     def one(texts: pa.Array) -> pa.Array:
         return swap(texts, None)
 
+    def two(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        return swap(texts, lists)
+
     if size:
         special = special.select(F.col("h").alias(name), F.col("changed").alias(special_name))
         joined = docs.withColumn(name, F.xxhash64(F.col(f"`{text}`"))).join(F.broadcast(special) if size <= BROADCAST_ROWS else special, name, "left")
-        new = F.arrow_udf(swap, "text string, n int")(F.col(f"`{text}`"), F.col(special_name))
+        new = F.arrow_udf(two, "text string, n int")(F.col(f"`{text}`"), F.col(special_name))
     else:
         joined, new = docs, F.arrow_udf(one, "text string, n int")(F.col(f"`{text}`"))
     made = joined.withColumn(name, new)

@@ -52,7 +52,7 @@ def surt(url: Column | str) -> Column:
 
 def _number(x: Column) -> Column:
     """A number as 16 hexadecimal digits in its order; null comes first."""
-    return F.when(x.isNull(), "").otherwise(F.concat(F.lit("+"), F.lpad(F.hex(x.bitwiseXOR(F.lit(-(2**63)))), 16, "0")))
+    return F.when(x.isNull(), "!").otherwise(F.concat(F.lit("+"), F.lpad(F.hex(x.bitwiseXOR(F.lit(-(2**63)))), 16, "0")))
 
 
 def captures(pages: DataFrame, url: str = "url", at: str = "timestamp", key: str = "page_id", body: str = "html") -> DataFrame:
