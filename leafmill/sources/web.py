@@ -39,7 +39,9 @@ class _Blocks(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _SKIPPED:
-            self.skip += tag != "head" or not self.skip
+            self.skip += 1
+        elif tag == "body":
+            self.skip = 0  # whatever the head left open
         if self.skip:
             return
         if tag in _BREAKS:
