@@ -19,7 +19,7 @@ def test_pairs_need_two_lines(spark):
 
 
 def test_separator_rows_and_outer_pipes(spark):
-    assert render(spark, "| a | b |\n|---|:-:|\n| c | d |") == "| a | b |\n| --- | --- |\n| c | d |"
+    assert render(spark, "| a | b |\n|---|:---:|\n| c | d |") == "| a | b |\n| --- | --- |\n| c | d |"
 
 
 def test_null_and_empty(spark):
