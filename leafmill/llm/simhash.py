@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from leafmill.llm.common import SLICE_BYTES, Words, free_name, mix, stored, utf8
 
 #: Differing bits, of 128, up to which two documents are near duplicates.
-MAX_BITS = 16
-BUDGETS = (4, 3, 3, 3)
+MAX_BITS = 18
+BUDGETS = (4, 4, 4, 3)
 #: Words of this many bytes or more weigh LONG_WEIGHT, shorter ones 1: short words are mostly common.
 LONG_BYTES, LONG_WEIGHT = 4, 4
 #: Fingerprints of one trie that a task holds; beyond it the trie is split by its top bits.
