@@ -96,6 +96,32 @@ def parse_files(files: DataFrame, path: str = "path", content: str = "content",
     return files.select(path, content).mapInArrow(run, ELEMENTS)
 
 
+ASSETS = "path string, part string, filename string, content_type string, length bigint"
+_TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "svg": "image/svg+xml", "wmf": "image/x-wmf", "emf": "image/x-emf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "bin": "application/vnd.openxmlformats-officedocument.oleObject"}
+
+
+def assets_of(content: bytes | None) -> list[tuple[str, str, str, int]]:
+    """(part, filename, content type, bytes) of the pictures and embedded files of a package; none of what is no package."""
+    try:
+        parts = Package(content or b"").parts
+    except PackageError:
+        return []
+    inside = [n for n in sorted(parts) if any(f"/{f}/" in f"/{n}" for f in ("media", "embeddings", "BinData")) and not n.endswith("/")]
+    return [(n, n.rpartition("/")[2], _TYPES.get(n.lower().rpartition(".")[2], "application/octet-stream"), parts[n].file_size) for n in inside]
+
+
+def parse_assets(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """The pictures and embedded files of files (path, content), without their bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(p.as_py(), *x) for p, c in zip(b.column(0), b.column(1)) for x in assets_of(c.as_py())]
+            columns = list(zip(*rows)) if rows else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k < 4 else pa.int64()) for k, c in enumerate(columns)], names=["path", "part", "filename", "content_type", "length"])
+
+    return files.select(path, content).mapInArrow(run, ASSETS)
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str = "*", fail: bool = False) -> DataFrame:
     """The elements of all files below a folder, on any file system that Spark reads."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)

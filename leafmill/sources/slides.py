@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from fractions import Fraction
 from xml.etree.ElementTree import Element as Node
 
+from leafmill.sources.charts import charts_of
 from leafmill.sources.package import Package, attribute, child, children, every, local
 from leafmill.sources.word import Element
 
@@ -81,6 +82,7 @@ def _slide(package: Package, part: str, section: int) -> Iterator[Element]:
             alt = next((attribute(x, "descr") for x in every(node, "cNvPr") if attribute(x, "descr")), "")
             if alt:
                 yield Element("paragraph", f"![{alt}]()", section=section)
+    yield from charts_of(package, part, section)
     for target, kind, _ in links.values():
         if kind == "notesSlide" and target in package:
             for _, _, node in _shapes(child(package.xml(target), "cSld", "spTree")):

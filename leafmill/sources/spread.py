@@ -8,6 +8,7 @@ from datetime import date, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
 
+from leafmill.sources.charts import charts_of
 from leafmill.sources.package import Package, PackageError, attribute, child, children, every
 from leafmill.sources.word import Element
 
@@ -153,7 +154,7 @@ def _text(node: object) -> str:
 
 
 def read_xlsx(package: Package) -> Iterator[Element]:
-    """A table for each sheet in the workbook's order, named; hidden sheets too (level 1). A formula
+    """A table for each sheet in the workbook's order, named, and after it its charts; hidden sheets too (level 1). A formula
     stands behind its value, a link and a comment behind a cell's text; merged cells have spans."""
     links = package.relations("xl/workbook.xml")
     strings = [_text(si) for si in children(package.maybe("xl/sharedStrings.xml"), "si")]
@@ -178,6 +179,7 @@ def read_xlsx(package: Package) -> Iterator[Element]:
                     by.setdefault(r, {})[c] = text
                 rows = [[by[r].get(c, "") for c in range(max(by[r]) + 1)] for r in sorted(by)]
         yield Element("table", rows=rows, section=k, name=attribute(sheet, "name"), level=int(attribute(sheet, "state", "visible") != "visible"), spans=spans)
+        yield from charts_of(package, target, k)
 
 
 def _sheet(package: Package, target: str, strings: list[str], formats: list[str]) -> tuple[dict[tuple[int, int], str], list[tuple[int, int, int, int]]]:

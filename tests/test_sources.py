@@ -9,7 +9,7 @@ from leafmill.operators import render
 from leafmill.sources import writers as W
 from leafmill.sources.compound import Compound, clean_text, inflate
 from leafmill.sources.package import Package, PackageError, detect
-from leafmill.sources.reader import elements, parse_files, read_files, register, rows_of
+from leafmill.sources.reader import elements, parse_assets, parse_files, read_files, register, rows_of
 from leafmill.sources.spread import render as shown
 from leafmill.sources.spread import shift, span
 from leafmill.sources.web import read_html
@@ -57,6 +57,17 @@ def test_xlsx():
     assert got[0].rows == [["Title", "", ""], ["x <http://x.org>", "TRUE", "50% [comment: Ann: why]"], ["", "7", "y"]] and got[0].spans == [(0, 0, 1, 2)] and got[1].rows == []
 
 
+def test_charts():
+    series = lambda n, c, v: f"<ser><tx><strRef><strCache><pt idx='0'><v>{n}</v></pt></strCache></strRef></tx><cat><strCache>{c}</strCache></cat><val><numCache>{v}</numCache></val></ser>"
+    p = lambda i, v: f"<pt idx='{i}'><v>{v}</v></pt>"
+    part = "<chartSpace><chart><title><tx><rich><t>Sales</t></rich></tx></title><plotArea><barChart>" + series("A", p(0, "Q1") + p(1, "Q2"), p(0, 1) + p(1, 2)) + series("B", p(0, "Q1"), p(0, 3) + p(2, 4)) + "</barChart></plotArea></chart></chartSpace>"
+    extra = {"ppt/charts/chart1.xml": part, "ppt/slides/_rels/slide1.xml.rels": W.relations(("c", "chart", "../charts/chart1.xml"))}
+    want = [["", "A", "B"], ["Q1", "1", "3"], ["Q2", "2", ""], ["3", "", "4"]]
+    assert [(e.name, e.rows) for e in elements("a.pptx", W.pptx([""], extra))[1]] == [("Sales", want)]
+    extra = {"xl/charts/chart1.xml": part, "xl/worksheets/_rels/sheet1.xml.rels": W.relations(("d", "drawing", "../drawings/d.xml")), "xl/drawings/d.xml": "<d/>", "xl/drawings/_rels/d.xml.rels": W.relations(("c", "chart", "../charts/chart1.xml"))}
+    assert [e.rows for e in elements("a.xlsx", W.xlsx([("S", [["x"]])], extra=extra))[1]] == [[["x"]], want]
+
+
 def test_pptx_order_and_groups():
     group = '<p:grpSp><p:grpSpPr><a:xfrm><a:off x="0" y="1000"/><a:ext cx="100" cy="100"/><a:chOff x="0" y="0"/><a:chExt cx="200" cy="200"/></a:xfrm></p:grpSpPr>' + W.slide_shape(["in group"], y=200) + "</p:grpSp>"
     kind, got = elements("a.pptx", W.pptx([W.slide_shape(["last"], y=2000) + group + W.slide_shape(["right"], x=9, y=5) + W.slide_shape(["left"], x=1, y=5) + W.slide_shape(["Top"], title=True)]))
@@ -149,3 +160,8 @@ def test_parse_files_of_nulls(spark):
     files = spark.createDataFrame([(None, None), ("a.docx", None), ("b.txt", b"x")], "path string, content binary")
     assert parse_files(files).where("error is not null").count() == 3
     assert parse_files(files.limit(0)).count() == 0
+
+
+def test_assets(spark):
+    files = spark.createDataFrame([("a", W.docx([], {"word/media/i.PNG": "xx", "word/embeddings/o.xlsx": "y"})), ("b", b"no"), (None, None)], "path string, content binary")
+    assert [tuple(r) for r in parse_assets(files).orderBy("part").collect()] == [("a", "word/embeddings/o.xlsx", "o.xlsx", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", 1), ("a", "word/media/i.PNG", "i.PNG", "image/png", 2)]
