@@ -3,6 +3,7 @@
 Every suffix of a document's words is sorted; the longest-common-prefix
 intervals of that order are the repeated word sequences. The rule limits the
 fraction of the text that repeated sequences cover and the longest of them.
+Sequences of few words count if they occur often or several times in a row.
 """
 
 from __future__ import annotations
@@ -17,8 +18,14 @@ from pyspark.sql import functions as F
 
 from leafmill.llm.common import Words, free_name, mix, neighbour_lcp, slices, suffix_array, utf8
 
-#: Words that a repeated sequence has at least.
+#: Words that a repeated sequence has at least, whatever its occurrences.
 MIN_WORDS = 8
+#: A shorter one counts from so many occurrences; the least length falls by a word for each further one.
+#: In long texts its occurrences must also be 1 / (2 * 4**words) of the words at least: the commonest
+#: sequences of ordinary text are about half as frequent or less.
+MIN_SHORT = 3
+#: One of under MIN_WORDS words also counts where it stands so many times in a row.
+MIN_IN_ROW = 3
 #: A document is rejected if MIN_REPEATS or more repeated sequences cover more of it, or if one of them
 #: has more words. A single sentence said twice, such as a licence line, is thus no repetition.
 MAX_COVERED = 0.3
@@ -27,7 +34,7 @@ MAX_LONGEST = 100
 #: Longer runs of letters are cut into pieces of so many bytes, so that repetition without spaces counts.
 PIECE_BYTES = 32
 
-_OUT = "n_words bigint, n_repeats bigint, longest_words bigint, longest_bytes bigint, covered_fraction double"
+_OUT = "n_words bigint, n_repeats bigint, longest_words bigint, longest_bytes bigint, covered_fraction double, short_fraction double, repeated_fraction double"
 
 
 def maximal_repeats(order: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -59,11 +66,38 @@ def maximal_repeats(order: np.ndarray, lcp: np.ndarray, before: np.ndarray, leas
     return found
 
 
+def _union(n: int, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of n words lie in any of the sequences of `length` words from `at`."""
+    change = np.zeros(n + 1, np.int64)
+    np.add.at(change, at, 1)
+    np.add.at(change, at + length, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
+def short_repeats(symbols: np.ndarray, order: np.ndarray, lcp: np.ndarray, total: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """First word and length of the sequences of under `least` words that occur often, and of the runs
+    of one that stands MIN_IN_ROW times in a row or more. total has the words of each word's text."""
+    n, at, length = len(symbols), [], []
+    for size in range(1, least):
+        heads = np.flatnonzero(np.append(True, lcp < size))
+        count = np.diff(np.append(heads, n))
+        often = (count >= max(MIN_SHORT, least + 1 - size)) & (count * (2.0 * 4.0**size) >= total[order[heads]])
+        at.append(order[np.repeat(often, count)])
+        length.append(np.full(len(at[-1]), size))
+        if n > size:
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], symbols[size:] == symbols[:-size], [0]])))
+            begin, same = edges[::2], edges[1::2] - edges[::2]
+            row = same >= (MIN_IN_ROW - 1) * size
+            at.append(begin[row])
+            length.append(same[row] + size)
+    return (np.concatenate(at), np.concatenate(length)) if at else (np.zeros(0, np.int64),) * 2
+
+
 def _measure(data: np.ndarray, offsets: np.ndarray, least: int) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     w = Words(data, offsets, longest=PIECE_BYTES)
     out = {k: np.zeros(n, np.int64) for k in ("n_repeats", "longest_words", "longest_bytes")}
-    out |= {"n_words": w.count.astype(np.int64), "covered_fraction": np.zeros(n)}
+    out |= {"n_words": w.count.astype(np.int64), **{k: np.zeros(n) for k in ("covered_fraction", "short_fraction", "repeated_fraction")}}
     if len(w) < 2:
         return out
     # a word of another document is another symbol, so no repeat crosses documents
@@ -78,42 +112,44 @@ def _measure(data: np.ndarray, offsets: np.ndarray, least: int) -> dict[str, np.
     here[:-1] = lcp
     here[1:] = np.maximum(here[1:], lcp)
     hit = np.flatnonzero(here >= least)
-    if len(hit):
-        at, length = order[hit], here[hit]
-        text, size = w.text[at], w.end[at + length - 1] - w.start[at]
-        np.maximum.at(out["longest_words"], text, length)
-        np.maximum.at(out["longest_bytes"], text, size)
-        change = np.zeros(len(w) + 1, np.int64)
-        np.add.at(change, at, 1)
-        np.add.at(change, at + length, -1)
-        width = np.append(w.start[1:], 0) - w.start
-        ends = w.first[1:][w.count > 0] - 1
-        width[ends] = w.end[ends] - w.start[ends]
-        covered = np.bincount(w.text, width * (np.cumsum(change[:-1]) > 0), n)
-        out["covered_fraction"] = covered / np.maximum(np.bincount(w.text, width, n), 1)
+    at, length = order[hit], here[hit]
+    text, size = w.text[at], w.end[at + length - 1] - w.start[at]
+    np.maximum.at(out["longest_words"], text, length)
+    np.maximum.at(out["longest_bytes"], text, size)
+    width = np.append(w.start[1:], 0) - w.start
+    ends = w.first[1:][w.count > 0] - 1
+    width[ends] = w.end[ends] - w.start[ends]
+    total = np.maximum(np.bincount(w.text, width, n), 1)
+    covered = _union(len(w), at, length)
+    short = _union(len(w), *short_repeats(symbols, order, lcp, w.count[w.text], least))
+    for name, which in (("covered_fraction", covered), ("short_fraction", short), ("repeated_fraction", covered | short)):
+        out[name] = np.bincount(w.text, width * which, n) / total
     return out
 
 
 def _run(batches: Iterator[pa.RecordBatch], least: int, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, text):
         found = _measure(*utf8(part.column(part.schema.get_field_index(text))), least)
-        columns = [part.column(i) for i in range(part.num_columns)] + [pa.array(found[k]) for k in ("n_words", "n_repeats", "longest_words", "longest_bytes", "covered_fraction")]
+        columns = [part.column(i) for i in range(part.num_columns)] + [pa.array(found[c.split()[0]]) for c in _OUT.split(", ")]
         yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
 
 
 def repetition(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, min_repeats: int = MIN_REPEATS, max_longest: int = MAX_LONGEST) -> DataFrame:
     """docs and, for each row, n_words, n_repeats (maximal repeated sequences of at least min_words
     words), longest_words and longest_bytes of the longest of them, covered_fraction (of the bytes
-    between the first and last word, those in the union of repeats) and keep, which is false if at
-    least min_repeats repeats cover more than max_covered, or one has more than max_longest words.
+    between the first and last word, those in the union of repeats), short_fraction (the same of
+    shorter sequences that occur often or in a row, see MIN_SHORT), repeated_fraction (the same of
+    both) and keep, which is false if shorter sequences, or at least min_repeats repeats with them,
+    cover more than max_covered, or one repeat has more than max_longest words.
 
     A null, empty or wordless text has zeros and is kept. Rows are judged one by one: repeated rows
     and null keys don't matter. A column of docs with the name of a new one stays; the new one gets a
     trailing underscore. There is no shuffle."""
-    names = [free_name(docs, k) for k in ("n_words", "n_repeats", "longest_words", "longest_bytes", "covered_fraction", "keep")]
+    names = [free_name(docs, k) for k in (*(c.split()[0] for c in _OUT.split(", ")), "keep")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{n}` {c.split()[1]}" for n, c in zip(names, _OUT.split(", ")))])
-    out = docs.mapInArrow(partial(_run, least=min_words, text=text, names=names[:5]), schema)
-    return out.withColumn(names[5], ((F.col(names[4]) <= max_covered) | (F.col(names[1]) < min_repeats)) & (F.col(names[2]) <= max_longest))
+    out = docs.mapInArrow(partial(_run, least=min_words, text=text, names=names[:-1]), schema)
+    judged = F.when(F.col(names[1]) < min_repeats, F.col(names[5])).otherwise(F.col(names[6]))
+    return out.withColumn(names[-1], (judged <= max_covered) & (F.col(names[2]) <= max_longest))
 
 
 def keep_unrepetitive(docs: DataFrame, text: str = "text", **limits: float) -> DataFrame:
