@@ -26,15 +26,17 @@ MIN_WORDS = 8
 MIN_SHORT = 3
 #: One of under MIN_WORDS words also counts where it stands so many times in a row.
 MIN_IN_ROW = 3
-#: A document is rejected if MIN_REPEATS or more repeated sequences cover more of it, or if one of them
-#: has more words. A single sentence said twice, such as a licence line, is thus no repetition.
+#: A document is rejected if repeated sequences cover more of it, or if one of them has more words. A
+#: single sentence said twice, such as a licence line, is no repetition: of under MIN_REPEATS occurrences
+#: beyond the first of each sequence, those of at most MAX_SENTENCE words don't count as covered.
 MAX_COVERED = 0.3
 MIN_REPEATS = 2
 MAX_LONGEST = 100
+MAX_SENTENCE = 30
 #: Longer runs of letters are cut into pieces of so many bytes, so that repetition without spaces counts.
 PIECE_BYTES = 32
 
-_OUT = "n_words bigint, n_repeats bigint, longest_words bigint, longest_bytes bigint, covered_fraction double, short_fraction double, repeated_fraction double"
+_OUT = "n_words bigint, n_repeats bigint, n_extra bigint, longest_words bigint, longest_bytes bigint, covered_fraction double, short_fraction double, repeated_fraction double"
 
 
 def maximal_repeats(order: np.ndarray, lcp: np.ndarray, before: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -96,7 +98,7 @@ def short_repeats(symbols: np.ndarray, order: np.ndarray, lcp: np.ndarray, total
 def _measure(data: np.ndarray, offsets: np.ndarray, least: int) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     w = Words(data, offsets, longest=PIECE_BYTES)
-    out = {k: np.zeros(n, np.int64) for k in ("n_repeats", "longest_words", "longest_bytes")}
+    out = {k: np.zeros(n, np.int64) for k in ("n_repeats", "n_extra", "longest_words", "longest_bytes")}
     out |= {"n_words": w.count.astype(np.int64), **{k: np.zeros(n) for k in ("covered_fraction", "short_fraction", "repeated_fraction")}}
     if len(w) < 2:
         return out
@@ -106,8 +108,10 @@ def _measure(data: np.ndarray, offsets: np.ndarray, least: int) -> dict[str, np.
     lcp = neighbour_lcp(order, levels)
     before = np.zeros(len(w), np.uint64)
     before[1:] = symbols[:-1]
-    for index, _, _ in maximal_repeats(order, lcp, before, least):
-        out["n_repeats"][w.text[order[index]]] += 1
+    for index, _, count in maximal_repeats(order, lcp, before, least):
+        text = w.text[order[index]]
+        out["n_repeats"][text] += 1
+        out["n_extra"][text] += count - 1
     here = np.zeros(len(w), np.int64)
     here[:-1] = lcp
     here[1:] = np.maximum(here[1:], lcp)
@@ -134,13 +138,14 @@ def _run(batches: Iterator[pa.RecordBatch], least: int, text: str, names: list[s
         yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *names])
 
 
-def repetition(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, min_repeats: int = MIN_REPEATS, max_longest: int = MAX_LONGEST) -> DataFrame:
+def repetition(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS, max_covered: float = MAX_COVERED, min_repeats: int = MIN_REPEATS, max_longest: int = MAX_LONGEST, max_sentence: int = MAX_SENTENCE) -> DataFrame:
     """docs and, for each row, n_words, n_repeats (maximal repeated sequences of at least min_words
-    words), longest_words and longest_bytes of the longest of them, covered_fraction (of the bytes
+    words), n_extra (their occurrences beyond the first of each), longest_words and longest_bytes of the longest of them, covered_fraction (of the bytes
     between the first and last word, those in the union of repeats), short_fraction (the same of
     shorter sequences that occur often or in a row, see MIN_SHORT), repeated_fraction (the same of
-    both) and keep, which is false if shorter sequences, or at least min_repeats repeats with them,
-    cover more than max_covered, or one repeat has more than max_longest words.
+    both) and keep, which is false if repeated_fraction is over max_covered, or one repeat has more
+    than max_longest words. If n_extra is under min_repeats and longest_words at most max_sentence,
+    it's short_fraction that max_covered limits.
 
     A null, empty or wordless text has zeros and is kept. Rows are judged one by one: repeated rows
     and null keys don't matter. A column of docs with the name of a new one stays; the new one gets a
@@ -148,8 +153,9 @@ def repetition(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
     names = [free_name(docs, k) for k in (*(c.split()[0] for c in _OUT.split(", ")), "keep")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"`{n}` {c.split()[1]}" for n, c in zip(names, _OUT.split(", ")))])
     out = docs.mapInArrow(partial(_run, least=min_words, text=text, names=names[:-1]), schema)
-    judged = F.when(F.col(names[1]) < min_repeats, F.col(names[5])).otherwise(F.col(names[6]))
-    return out.withColumn(names[-1], (judged <= max_covered) & (F.col(names[2]) <= max_longest))
+    _, _, extra, longest, _, _, short, repeated, keep = names
+    judged = F.when((F.col(extra) < min_repeats) & (F.col(longest) <= max_sentence), F.col(short)).otherwise(F.col(repeated))
+    return out.withColumn(keep, (judged <= max_covered) & (F.col(longest) <= max_longest))
 
 
 def keep_unrepetitive(docs: DataFrame, text: str = "text", **limits: float) -> DataFrame:

@@ -23,3 +23,13 @@ def test_short_repeats_count(spark):
     assert kept(spark, [in_row, pairs, lines, menu, *clean]) == {4, 5, 6, 7}
     got = repetition.repetition(spark.createDataFrame([(in_row,)], "text string")).first()
     assert (got.n_repeats, got.covered_fraction, got.short_fraction, got.repeated_fraction) == (0, 0, 1, 1)
+
+
+def test_one_block_pasted_often_counts(spark):
+    unique = prose(40, 50).split()
+    block, half, licence = prose(50, 51), prose(95, 52), prose(20, 53)
+    pasted = " ".join(f"{block} {w}" for w in unique[:20])
+    thrice = " ".join(f"{licence} {w}" for w in unique[:3])
+    assert kept(spark, [pasted, f"{half} {half}", thrice, f"{licence} {unique[0]} {licence}", f"{half} {licence} {prose(300, 54)} {licence}"]) == {3, 4}
+    got = repetition.repetition(spark.createDataFrame([(pasted,)], "text string")).first()
+    assert (got.n_repeats, got.n_extra, got.longest_words) == (1, 19, 50)
