@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
 SLICE_BYTES = 2 << 20
+#: Bytes by which a long run of letters is cut: before one in four characters of three bytes, one in 16 others.
+CUT_BYTES = 8
 
 _LETTER = np.zeros(256, bool)
 _LETTER[np.r_[48:58, 65:91, 97:123, 128:256]] = True
@@ -75,8 +77,10 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, fold: bool = True, longest: int = 0) -> None:
         """A word is a run of letters, digits and non-ASCII characters; each CJK or astral
-        character is a word. fold: ASCII case doesn't count. longest: longer words are cut into
-        pieces of so many bytes."""
+        character is a word. fold: ASCII case doesn't count. longest: longer words are cut
+        where a hash of the CUT_BYTES bytes before a character says so, which is the same wherever
+        they stand, and pieces that are still longer (runs of few bytes again and again) at every so
+        many bytes from their start."""
         n = len(data)
         word = _LETTER[data]
         first = word.copy()
@@ -94,14 +98,21 @@ class Words:
         last = word.copy()
         last[:-1] &= ~word[1:] | first[1:]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
+        up, down = _powers(n + 1)
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum((_FOLD if fold else _EXACT)[data] * up[:n], out=total[1:])
         if longest and len(self.start) and (size := self.end - self.start).max() > longest:
+            size = np.where(size > longest, np.maximum(size - CUT_BYTES, 0), 0)
+            at = ragged(self.start + CUT_BYTES, size)
+            at = at[data[at] & 0xC0 != 0x80]
+            by = mix((total[at] - total[at - CUT_BYTES]) * down[at - CUT_BYTES])
+            cut = at[by & np.where(data[at] >= 0xE0, 3, 15).astype(np.uint64) == 0]
+            self.start, self.end = np.sort(np.append(self.start, cut)), np.sort(np.append(self.end, cut))
+            size = self.end - self.start
             parts = -(-size // longest)
             within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             self.start, end = np.repeat(self.start, parts) + within * longest, np.repeat(self.end, parts)
             self.end = np.minimum(self.start + longest, end)
-        up, down = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((_FOLD if fold else _EXACT)[data] * up[:n], out=total[1:])
         self._total, self._down = total, down
         self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
         self.first = np.searchsorted(self.start, offsets)

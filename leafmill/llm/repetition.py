@@ -33,7 +33,8 @@ MAX_COVERED = 0.3
 MIN_REPEATS = 2
 MAX_LONGEST = 100
 MAX_SENTENCE = 30
-#: Longer runs of letters are cut into pieces of so many bytes, so that repetition without spaces counts.
+#: Longer runs of letters are cut by content into pieces of at most so many bytes, so that repetition without
+#: spaces counts wherever its copies stand.
 PIECE_BYTES = 32
 
 _OUT = "n_words bigint, n_repeats bigint, n_extra bigint, longest_words bigint, longest_bytes bigint, covered_fraction double, short_fraction double, repeated_fraction double"

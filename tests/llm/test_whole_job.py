@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from test_operators import prose
 
 from leafmill.llm import repetition
@@ -33,3 +35,14 @@ def test_one_block_pasted_often_counts(spark):
     assert kept(spark, [pasted, f"{half} {half}", thrice, f"{licence} {unique[0]} {licence}", f"{half} {licence} {prose(300, 54)} {licence}"]) == {3, 4}
     got = repetition.repetition(spark.createDataFrame([(pasted,)], "text string")).first()
     assert (got.n_repeats, got.n_extra, got.longest_words) == (1, 19, 50)
+
+
+def test_repeats_in_a_run_without_spaces(spark):
+    r = random.Random(7)
+    thai = lambda n: "".join(chr(r.randint(0x0E01, 0x0E2E)) for _ in range(n))
+    passage = thai(55)
+    rows = [(k, thai(100) + passage + thai(101 + k) + passage + thai(102 + 2 * k) + passage + thai(40)) for k in range(20)]
+    got = repetition.repetition(spark.createDataFrame([*rows, (99, thai(600))], "doc_id int, text string")).collect()
+    for x in got:
+        assert (x.n_repeats > 0 and 0.25 < x.covered_fraction < 0.4) == (x.doc_id < 99)
+    assert kept(spark, [passage * 9, "abc" * 200, thai(600)]) == {2}
