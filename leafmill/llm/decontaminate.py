@@ -22,20 +22,20 @@ from leafmill.llm.common import Words, local_uri, ragged, shared_folder, slices,
 
 #: Words of a match that count as contamination; all words of a shorter item.
 MIN_WORDS = 13
-#: Test items with fewer words can't be told from chance and are left out.
+#: A match of a test item with fewer words can't be told from chance: it is reported as short and removes nothing.
 LEAST_ITEM_WORDS = 6
 #: Bytes of training text in a shard (or one longer text); bytes of test text that a task holds at once.
 SHARD_BYTES = 4 << 20
 TEST_BYTES = 8 << 20
 
-_SCHEMA = "item_word bigint, doc_word bigint, n_words bigint, start_byte bigint, end_byte bigint"
+_SCHEMA = "item_word bigint, doc_word bigint, n_words bigint, start_byte bigint, end_byte bigint, short boolean"
 _pieces: dict[str, list[_Tests]] = {}
 
 
 class _Tests:
     """Word hashes of some test items, and each suffix that is long enough to count."""
 
-    def __init__(self, ids: pa.Array, texts: pa.Array, least: int) -> None:
+    def __init__(self, ids: pa.Array, texts: pa.Array, least: int, least_item: int) -> None:
         self.ids = ids
         w = Words(*utf8(texts))
         self.hash, self.item, self.begin = w.hash, w.text, w.first[:-1]
@@ -43,19 +43,21 @@ class _Tests:
         self.need = np.repeat(np.minimum(least, w.count), w.count)
         self.longest = int(w.count.max(initial=0))
         at = np.arange(len(w))
-        ok = (self.end - at >= self.need) & (np.repeat(w.count, w.count) >= LEAST_ITEM_WORDS)
+        ok = (self.end - at >= self.need) & (np.repeat(w.count, w.count) >= least_item)
+        self.short = w.count < LEAST_ITEM_WORDS
         self.suffixes = at[ok]
 
 
-def _tests(path: str, least: int) -> Iterator[_Tests]:
-    """The test items of a folder in pieces; a single piece stays in the worker's memory."""
+def _tests(path: str, least: int, least_item: int) -> Iterator[_Tests]:
+    """The test items of a folder with at least least_item words, in pieces; a single piece stays in the
+    worker's memory (each folder is read with the same numbers)."""
     if path in _pieces:
         yield from _pieces[path]
         return
     fs, where = FileSystem.from_uri(local_uri(path))
     made = []
     for part in slices(ds.dataset(where, filesystem=fs, format="parquet").to_batches(batch_size=10_000), "text", TEST_BYTES):
-        piece = _Tests(part.column(0), part.column(1), least)
+        piece = _Tests(part.column(0), part.column(1), least, least_item)
         made = [*made, piece][:2]
         yield piece
     if len(made) < 2:
@@ -130,7 +132,7 @@ def _matches(batches: Iterator[pa.RecordBatch], path: str, least: int) -> Iterat
     for part in slices(batches, "text", SHARD_BYTES):
         w, doc_end = _shard(part.column(1))
         order = None
-        for tests in _tests(path, least):
+        for tests in _tests(path, least, 1):
             if order is None or tests.longest > sorted_to:
                 sorted_to = tests.longest
                 order, _ = suffix_array(w.hash, sorted_to)
@@ -140,7 +142,7 @@ def _matches(batches: Iterator[pa.RecordBatch], path: str, least: int) -> Iterat
             numbers = [test - tests.begin[item], at - w.first[doc], length, w.start[at], w.end[at + length - 1]]
             _, offsets = utf8(part.column(1))
             numbers[3], numbers[4] = numbers[3] - offsets[doc], numbers[4] - offsets[doc]
-            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in numbers)], names=["doc_id", "item_id", *(c.split()[0] for c in _SCHEMA.split(", "))])
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.array(x, pa.int64()) for x in numbers), pa.array(tests.short[item])], names=["doc_id", "item_id", *(c.split()[0] for c in _SCHEMA.split(", "))])
 
 
 def _store_tests(benchmark: DataFrame, item: str, text: str) -> str:
@@ -152,11 +154,10 @@ def _store_tests(benchmark: DataFrame, item: str, text: str) -> str:
 def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """Every maximal verbatim match, of at least min_words words or a whole shorter item, between a
     document and a test item: doc_id, item_id, item_word and doc_word (its first word in either),
-    n_words, start_byte and end_byte in the document's UTF-8. Case of ASCII letters and signs between
-    words don't count.
+    n_words, start_byte and end_byte in the document's UTF-8, and short, which is true for an item under
+    six words. Case of ASCII letters and signs between words don't count.
 
-    Null and empty texts match nothing; null ids are carried; repeated rows are each reported; items
-    under six words are left out. The test items lie in the shared folder, from which tasks read them
+    Null and empty texts match nothing; null ids are carried; repeated rows are each reported. The test items lie in the shared folder, from which tasks read them
     in pieces of a bounded size; there is no shuffle of the training text."""
     path = _store_tests(benchmark, item, item_text)
     kinds = f"doc_id {docs.schema[key].dataType.simpleString()}, item_id {benchmark.schema[item].dataType.simpleString()}, {_SCHEMA}"
@@ -168,7 +169,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: st
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs without any match that matches() reports. Columns are those of docs; rows are
+    """The rows of docs without any match that matches() reports and that isn't short. Columns are those of docs; rows are
     judged one by one, so null or repeated keys don't matter."""
     path = _store_tests(benchmark, item, item_text)
 
@@ -178,7 +179,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
         for part in slices(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), "text", SHARD_BYTES):
             w, doc_end = _shard(part.column(0))
             order = None
-            for tests in _tests(path, min_words):
+            for tests in _tests(path, min_words, LEAST_ITEM_WORDS):
                 if order is None or tests.longest > sorted_to:
                     sorted_to = tests.longest
                     order, _ = suffix_array(w.hash, sorted_to)

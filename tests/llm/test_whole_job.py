@@ -6,7 +6,7 @@ import random
 
 from test_operators import prose
 
-from leafmill.llm import repetition
+from leafmill.llm import decontaminate, repetition
 
 
 def kept(spark, texts):
@@ -46,3 +46,13 @@ def test_repeats_in_a_run_without_spaces(spark):
     for x in got:
         assert (x.n_repeats > 0 and 0.25 < x.covered_fraction < 0.4) == (x.doc_id < 99)
     assert kept(spark, [passage * 9, "abc" * 200, thai(600)]) == {2}
+
+
+def test_short_items_are_reported_and_remove_nothing(spark):
+    long = prose(20, 60)
+    items = [(1, "Paris"), (2, "forty two?"), (3, "na na"), (4, long), (5, ""), (6, None)]
+    docs = [(1, "In Paris, it was Forty-Two."), (2, "na na na"), (3, f"paris {long}"), (4, "forty one two"), (5, None)]
+    d, b = spark.createDataFrame(docs, "doc_id int, text string"), spark.createDataFrame(items, "item_id int, text string")
+    got = {(r.doc_id, r.item_id, r.doc_word, r.n_words, r.start_byte, r.end_byte, r.short) for r in decontaminate.matches(d, b).collect()}
+    assert got == {(1, 1, 1, 1, 3, 8, True), (1, 2, 4, 2, 17, 26, True), (2, 3, 0, 2, 0, 5, True), (2, 3, 1, 2, 3, 8, True), (3, 1, 0, 1, 0, 5, True), (3, 4, 1, 20, 6, 6 + len(long), False)}
+    assert {r.doc_id for r in decontaminate.decontaminate(d, b).collect()} == {1, 2, 4, 5}
