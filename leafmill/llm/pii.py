@@ -54,7 +54,10 @@ _DIGITS = re.compile(r"[+(\d](?:[() .-]?\d|[ -]?\(\d|\) ?\d){5,}")
 _IP = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}")
 _WORD = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))+"
 _TITLED = re.compile(rf"(?:{'|'.join(sorted({t for k in _TITLES for t in (k, k.title(), k.upper())}, key=len, reverse=True))})\.? ({_WORD})(?: ({_WORD}))?(?: ({_WORD}))?")
-_NAMED = re.compile(rf"(?:{'|'.join(n for names in _GIVEN.values() for n in names)})(?: [^\W\d_]\.)? ({_WORD})")
+_KNOWN = rf"(?:{'|'.join(n for names in _GIVEN.values() for n in names)})"
+_NAMED = re.compile(rf"{_KNOWN}(?: [^\W\d_]\.| {_KNOWN}(?![\w'’-]))* ({_WORD})")
+#: Telephone numbers as they are written in one country: area and number, groups after a zero, nine digits in groups.
+_NATIONAL = re.compile(r"0\d{1,4}[ -]\d{5,8}|0\d(?:[ .-]\d{2}){4}|0\d{2,4}(?:[ -]\d{2,4}){2,4}|[6-9]\d{2}(?:[ -]\d{3}){2}|[6-9]\d{2}(?: \d{2}){3}")
 _HAN_TITLED = re.compile(rf"([{_HAN}][一-鿿]{{1,2}})(先生|女士|小姐)")
 
 
@@ -101,7 +104,7 @@ def _number(text: str, a: int, b: int) -> Entity | None:
     digits = re.sub(r"\D", "", raw)
     if 13 <= len(digits) <= 19 and re.fullmatch(r"\d+|\d{4}(?:[ -]\d{2,7})+", raw):
         return Entity(a, b, "card", digits)
-    if 7 <= len(digits) <= 15 and raw.count("(") == raw.count(")") and (raw[0] in "+(" or re.fullmatch(r"(?:1[ .-])?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}", raw)):
+    if 7 <= len(digits) <= 15 and raw.count("(") == raw.count(")") and (raw[0] in "+(" or re.fullmatch(r"(?:1[ .-])?\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}", raw) or 9 <= len(digits) <= 12 and _NATIONAL.fullmatch(raw)):
         return Entity(a, b, "phone", digits[-10:] if len(digits) == 10 or len(digits) == 11 and digits[0] == "1" else digits)
     return None
 
@@ -126,11 +129,15 @@ def _names(text: str) -> Iterator[Entity]:
                 break
             yield from add(m.start(g), m[g], _TITLES[title])
     for m in _NAMED.finditer(text):
-        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_-") or not m[1].istitle():
+        if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_-"):
             continue
-        given = re.match(_WORD, m[0])[0]
-        yield from add(m.start(), given, "")
-        yield from add(m.start(1), m[1], _GENDER[given.lower()][1])
+        given = list(re.finditer(_WORD, m[0][: m.start(1) - m.start()]))
+        if not m[1].istitle() and len(given) < 2:
+            continue
+        for g in given:
+            yield from add(m.start() + g.start(), g[0], "")
+        if m[1].istitle():
+            yield from add(m.start(1), m[1], _GENDER[given[0][0].lower()][1])
     for m in _HAN_TITLED.finditer(text):
         yield Entity(*m.span(1), f"han-{'m' if m[2] == '先生' else 'f'}", m[1])
     for word in surnames:  # later mentions of a person by the surname alone
@@ -221,6 +228,10 @@ def _surrogate(kind: str, canonical: str, attempt: int, draw: _Stream) -> str:
         for k in (0, 3):  # a zero or one doesn't begin an area or exchange, unless it did
             if k < len(new) and new[k] in "01" and canonical[keep + k] not in "01":
                 new[k] = str(2 + draw.below(8))
+        if canonical[keep] == "0":  # of a number as written in one country
+            new[0] = "0"
+        elif len(canonical) == 9 and canonical[0] in "6789":
+            new[0] = draw.pick("6789")
         return canonical[:keep] + "".join(new)
     script = script_of(canonical)
     if kind.startswith("han"):

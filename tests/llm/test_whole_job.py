@@ -6,7 +6,7 @@ import random
 
 from test_operators import prose
 
-from leafmill.llm import decontaminate, repetition
+from leafmill.llm import decontaminate, pii, repetition
 
 
 def kept(spark, texts):
@@ -56,3 +56,14 @@ def test_short_items_are_reported_and_remove_nothing(spark):
     got = {(r.doc_id, r.item_id, r.doc_word, r.n_words, r.start_byte, r.end_byte, r.short) for r in decontaminate.matches(d, b).collect()}
     assert got == {(1, 1, 1, 1, 3, 8, True), (1, 2, 4, 2, 17, 26, True), (2, 3, 0, 2, 0, 5, True), (2, 3, 1, 2, 3, 8, True), (3, 1, 0, 1, 0, 5, True), (3, 4, 1, 20, 6, 6 + len(long), False)}
     assert {r.doc_id for r in decontaminate.decontaminate(d, b).collect()} == {1, 2, 4, 5}
+
+
+def test_national_numbers_and_several_given_names():
+    numbers = ["030 1234567", "0171-2345678", "01 23 45 67 89", "612 345 678", "020 7946 0958"]
+    for number in numbers:
+        new, n = pii.replace(f"Call {number}, please.", b"key")
+        assert n == 1 and number not in new and len(new) == len(number) + 14 and (number[0] != "0" or new[5] == "0")
+    for other in ("01.02.2003", "2003-01-02 10", "0.123456789", "1 234 567", "123 456 789"):
+        assert pii.replace(f"On {other}, then.", b"key")[1] == 0
+    found = [(e.kind, e.canonical) for e in pii.entities("Maria Anna Schmidt met Karl J. Emil Paul Weber; Eva Lena said so. Maria went.")]
+    assert found == [("given-f", "maria"), ("given-f", "anna"), ("surname", "schmidt"), ("given-m", "karl"), ("given-m", "emil"), ("given-m", "paul"), ("surname", "weber"), ("given-f", "eva"), ("given-f", "lena")]
