@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import lines
@@ -38,20 +43,70 @@ def tokens(text: Column, pattern: str) -> Column:
 
 
 def keywords(docs: DataFrame, most: int = 20, pattern: str = r"\p{L}{3,}") -> DataFrame:
-    """The most frequent tokens: token, n, docs; ties by token."""
-    found = docs.select("doc_id", F.explode(tokens(F.col("text"), pattern)).alias("token"))
-    per = found.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
-    return per.groupBy("token").agg(F.sum("n").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "token").limit(most)
+    """The most frequent tokens: token, n, docs; ties by token. Occurrences and documents are counted in one pass, combined
+    before the shuffle, which so has a row for each token of a task."""
+    every = tokens(F.col("text"), pattern)
+    one = lambda n, d: lambda t: F.struct(t.alias("token"), F.lit(n).alias("n"), F.lit(d).alias("d"))
+    found = docs.select(F.explode(F.concat(F.transform(every, one(1, 0)), F.transform(F.array_distinct(every), one(0, 1)))).alias("x"))
+    return found.groupBy("x.token").agg(F.sum("x.n").alias("n"), F.sum("x.d").alias("docs")).orderBy(F.desc("n"), "token").limit(most)
+
+
+#: Items whose tokens a worker holds at once; more are taken in blocks, each against all documents.
+BLOCK_ITEMS = 20_000
 
 
-def word_coverage(docs: DataFrame, items: DataFrame, pattern: str = r"\p{L}{2,}") -> DataFrame:
+def word_coverage(docs: DataFrame, items: DataFrame, pattern: str = r"\p{L}{2,}", block: int = BLOCK_ITEMS) -> DataFrame:
     """For each document the item whose distinct tokens it covers best: doc_id, item_id, shared, coverage
-    (percent). Only pairs with a shared token meet, by an equi-join on tokens."""
-    mine = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text"), pattern))).alias("token"))
-    theirs = items.select("item_id", F.array_distinct(tokens(F.col("text"), pattern)).alias("all")).select("item_id", F.size("all").alias("size"), F.explode("all").alias("token"))
-    met = mine.join(small(theirs), "token").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"), F.first("size").alias("size"))
-    best = met.withColumn("coverage", F.col("shared") * 100.0 / F.col("size")).groupBy("doc_id").agg(F.max(F.struct("coverage", (-F.col("item_id")).alias("first"), "shared")).alias("b"))
-    return best.select("doc_id", (-F.col("b.first")).alias("item_id"), "b.shared", "b.coverage")
+    (percent); ties by the least item, documents that share no token are left out.
+
+    A worker counts a document's tokens against the items of a block, which have a token's items at hand; nothing is
+    shuffled by token. Only beyond one block the best of each block come together by document."""
+    mine = docs.select("doc_id", F.array_distinct(tokens(F.col("text"), pattern)).alias("own"))
+    every = items.select("item_id", F.array_distinct(tokens(F.col("text"), pattern)).alias("own")).where("item_id is not null").orderBy("item_id")
+    kind, key = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
+    schema, best = f"doc_id {kind}, item_id {key}, shared bigint, coverage double", None
+
+    def blocks() -> Iterator[list[Row]]:
+        rows: list[Row] = []
+        for row in every.toLocalIterator():
+            rows.append(row)
+            if len(rows) == block:
+                yield rows
+                rows = []
+        if rows:
+            yield rows
+
+    made = 0
+    for rows in blocks():
+        made += 1
+        places: dict[str, list[int]] = {}
+        for k, row in enumerate(rows):
+            for t in row["own"] or ():
+                places.setdefault(t, []).append(k)
+        shared = docs.sparkSession.sparkContext.broadcast(({t: np.array(x) for t, x in places.items()}, np.array([len(r["own"] or ()) for r in rows]), [r["item_id"] for r in rows]))
+
+        def cover(batches: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            where, size, ids = shared.value
+            for batch in batches:
+                out = []
+                for doc, own in zip(batch.column(0), batch.column(1).to_pylist()):
+                    hits = [x for t in own or () if (x := where.get(t)) is not None]
+                    if hits:
+                        n = np.bincount(np.concatenate(hits), minlength=len(size))
+                        share = n * 100.0 / np.maximum(size, 1)
+                        k = int(share.argmax())
+                        out.append((doc.as_py(), ids[k], int(n[k]), float(share[k])))
+                columns = list(zip(*out)) if out else [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.field(0).type, None if out else pa.int64(), pa.int64(), pa.float64()))], names=["doc_id", "item_id", "shared", "coverage"])
+
+        found = mine.mapInArrow(cover, schema)
+        best = found if best is None else best.unionAll(found)
+    if best is None:
+        return docs.sparkSession.createDataFrame([], schema)
+    if made == 1:
+        return best
+    top = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("coverage"), "item_id"))
+    return best.withColumn("_r", top).where("_r = 1").drop("_r")
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -82,10 +137,12 @@ def summarize(runs: DataFrame, *by: str) -> DataFrame:
 
 
 def compare(summary: DataFrame, baseline: str, *by: str) -> DataFrame:
-    """Each converter's summary against the baseline's: speedup (null by zero) and deltas."""
-    base = summary.where(F.col("converter") == baseline).select(*by, *[F.col(c).alias(f"base_{c}") for c in ("median_seconds", "accuracy", "success_rate", "median_chars")])
-    joined = summary.where(F.col("converter") != baseline).join(small(base), list(by), "left")
-    return joined.select("converter", *by, F.try_divide("median_seconds", "base_median_seconds").alias("speedup"), *[F.round(F.col(f"base_{c}") - F.col(c), 9).alias(f"{c}_delta") for c in ("accuracy", "success_rate", "median_chars")])
+    """Each converter's summary against the baseline's: speedup (null by zero) and deltas. The baseline's row comes to
+    the others of its group by a window, so the summary is computed once."""
+    taken = F.struct("median_seconds", "accuracy", "success_rate", "median_chars")
+    base = F.max(F.when(F.col("converter") == baseline, taken)).over(Window.partitionBy(*by))
+    joined = summary.withColumn("base", base).where(F.col("converter") != baseline)
+    return joined.select("converter", *by, F.try_divide("median_seconds", "base.median_seconds").alias("speedup"), *[F.round(F.col(f"base.{c}") - F.col(c), 9).alias(f"{c}_delta") for c in ("accuracy", "success_rate", "median_chars")])
 
 
 def candidates(compared: DataFrame) -> DataFrame:

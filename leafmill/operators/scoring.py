@@ -9,7 +9,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import lines
@@ -176,8 +176,8 @@ def deltas(summary: DataFrame, baseline: str, *by: str) -> DataFrame:
     medians = [f"median_{k}" for k in (*MARKDOWN, *STRUCTURE)]
     taken = ["median_seconds", "mean_accuracy", "success_rate", *medians, "representative_output_path"]
     keys = [k for k in by if k == "file"] or list(by)
-    base = summary.where(F.col("converter") == baseline).select(*keys, F.lit(True).alias("_there"), *[F.col(c).alias(f"_{c}") for c in taken])
-    joined = summary.where(F.col("converter") != baseline).join(small(base), keys, "left")
+    base = F.max(F.when(F.col("converter") == baseline, F.struct(F.lit(True).alias("there"), *taken))).over(Window.partitionBy(*keys))
+    joined = summary.withColumn("_base", base).where(F.col("converter") != baseline).select("*", F.col("_base.there").alias("_there"), *[F.col(f"_base.{c}").alias(f"_{c}") for c in taken])
     paths = [F.coalesce("_representative_output_path", F.lit("")).alias("baseline_output_path"), F.col("representative_output_path").alias("competitor_output_path")] if "file" in by else []
     return joined.select(
         *by, F.col("converter").alias("competitor"), F.coalesce("_there", F.lit(False)).alias("baseline_available"), F.lit(True).alias("competitor_available"),

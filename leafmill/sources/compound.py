@@ -9,8 +9,7 @@ from collections.abc import Iterator
 
 from leafmill.operators.structure import parse
 from leafmill.sources.package import PackageError
-from leafmill.sources.spread import render
-from leafmill.sources.word import Element
+from leafmill.sources.element import Element
 
 MAX_INFLATED = 200 << 20
 _END = 0xFFFFFFFA
@@ -193,183 +192,3 @@ def read_ppt(file: Compound) -> Iterator[Element]:
             for line in re.split("[\r\n\x0b]+", text.replace("\0", "")):
                 if line.strip():
                     yield Element("heading" if kind in (0, 6) else "paragraph", line.strip(), int(kind in (0, 6)), section=max(section, 0))
-
-
-# xls ------------------------------------------------------------------------------------------------
-
-_ERRORS = {0: "#NULL!", 7: "#DIV/0!", 15: "#VALUE!", 23: "#REF!", 29: "#NAME?", 36: "#NUM!", 42: "#N/A"}
-
-
-def _rk(x: int) -> float:
-    value = float(struct.unpack("<i", struct.pack("<I", x & 0xFFFFFFFC))[0] >> 2) if x & 2 else struct.unpack("<d", struct.pack("<Q", (x & 0xFFFFFFFC) << 32))[0]
-    return value / 100 if x & 1 else value
-
-
-def _string(data: bytes, at: int, wide_count: bool = True) -> tuple[str, int]:
-    """A BIFF8 string and where it ends; rich and phonetic parts are passed over."""
-    count = struct.unpack_from("<H" if wide_count else "<B", data, at)[0]
-    at += 2 if wide_count else 1
-    flags = data[at]
-    at += 1
-    rich = ext = 0
-    if flags & 8:
-        rich, at = struct.unpack_from("<H", data, at)[0], at + 2
-    if flags & 4:
-        ext, at = struct.unpack_from("<I", data, at)[0], at + 4
-    size = count * (2 if flags & 1 else 1)
-    text = data[at : at + size].decode("utf-16-le" if flags & 1 else "latin-1", "replace")
-    return text, at + size + 4 * rich + ext
-
-
-class _Segments:
-    """The shared strings over their continued records: each continues a string with flags of its own."""
-
-    def __init__(self, parts: list[bytes]) -> None:
-        self.parts, self.k, self.at = parts, 0, 0
-
-    def take(self, n: int) -> bytes:
-        out = b""
-        while n and self.k < len(self.parts):
-            got = self.parts[self.k][self.at : self.at + n]
-            out, n, self.at = out + got, n - len(got), self.at + len(got)
-            if self.at >= len(self.parts[self.k]) and n:
-                self.k, self.at = self.k + 1, 0
-        return out
-
-    def string(self) -> str:
-        count, flags = struct.unpack("<HB", self.take(3))
-        rich = struct.unpack("<H", self.take(2))[0] if flags & 8 else 0
-        ext = struct.unpack("<I", self.take(4))[0] if flags & 4 else 0
-        out = ""
-        while count and self.k < len(self.parts):
-            if self.at >= len(self.parts[self.k]):
-                self.k, self.at = self.k + 1, 0
-                if self.k >= len(self.parts):
-                    break
-                flags, self.at = self.parts[self.k][0], 1
-            width = 2 if flags & 1 else 1
-            n = min(count, (len(self.parts[self.k]) - self.at) // width)
-            if not n:
-                break
-            out += self.parts[self.k][self.at : self.at + n * width].decode("utf-16-le" if width == 2 else "latin-1", "replace")
-            self.at, count = self.at + n * width, count - n
-        self.take(4 * rich + ext)
-        return out
-
-
-def read_xls(file: Compound) -> Iterator[Element]:
-    """A table for each sheet of a BIFF8 workbook, as read_xlsx has them."""
-    data = file.read("Workbook" if "Workbook" in file.streams else "Book")
-    records, at = [], 0
-    while at + 4 <= len(data):
-        kind, size = struct.unpack_from("<HH", data, at)
-        records.append((at, kind, data[at + 4 : at + 4 + size]))
-        at += 4 + size
-    sheets, strings, codes, formats = [], [], {}, []
-    for k, (_, kind, body) in enumerate(records):
-        if kind == 0x85 and len(body) > 8:
-            sheets.append((struct.unpack_from("<I", body)[0], body[4] & 3, _string(body, 6, False)[0]))
-        elif kind == 0x41E:
-            codes[struct.unpack_from("<H", body)[0]] = _string(body, 2)[0]
-        elif kind == 0xE0:
-            formats.append(struct.unpack_from("<H", body, 2)[0])
-        elif kind == 0xFC:
-            parts = [body[8:]]
-            for _, more, own in records[k + 1 :]:
-                if more != 0x3C:
-                    break
-                parts.append(own)
-            segments = _Segments(parts)
-            strings = [segments.string() for _ in range(struct.unpack_from("<I", body, 4)[0]) if segments.k < len(parts)]
-
-    def shown(value: float, xf: int) -> str:
-        return render(value, codes.get(formats[xf], "") if xf < len(formats) else "")
-
-    for number, (offset, hidden, name) in enumerate(sorted(set(sheets))):
-        cells: dict[tuple[int, int], str] = {}
-        spans: list[tuple[int, int, int, int]] = []
-        pending: tuple[int, int] | None = None
-        begun = False
-        for where, kind, body in records:
-            if where < offset:
-                continue
-            if kind == 0x0A and begun:
-                break
-            begun = True
-            if kind == 0xE5:
-                for k in range(struct.unpack_from("<H", body)[0]):
-                    r0, r1, c0, c1 = struct.unpack_from("<HHHH", body, 2 + 8 * k)
-                    spans.append((r0, c0, r1 - r0 + 1, c1 - c0 + 1))
-            elif kind == 0x207 and pending:
-                cells[pending], pending = _string(body, 0)[0], None
-            elif kind in (0xFD, 0x203, 0x27E, 0x204, 0x205, 0x06, 0xBD):
-                r, c, xf = struct.unpack_from("<HHH", body)
-                if kind == 0xFD:
-                    i = struct.unpack_from("<I", body, 6)[0]
-                    cells[r, c] = strings[i] if i < len(strings) else ""
-                elif kind == 0x203:
-                    cells[r, c] = shown(struct.unpack_from("<d", body, 6)[0], xf)
-                elif kind == 0x27E:
-                    cells[r, c] = shown(_rk(struct.unpack_from("<I", body, 6)[0]), xf)
-                elif kind == 0x204:
-                    cells[r, c] = _string(body, 6)[0]
-                elif kind == 0x205:
-                    cells[r, c] = _ERRORS.get(body[6], f"#ERR{body[6]}") if body[7] else ("TRUE" if body[6] else "FALSE")
-                elif kind == 0xBD:
-                    for k in range((len(body) - 6) // 6):
-                        xf, rk = struct.unpack_from("<HI", body, 4 + 6 * k)
-                        cells[r, c + k] = shown(_rk(rk), xf)
-                elif body[12:14] == b"\xff\xff":
-                    pending = (r, c) if body[6] == 0 else None
-                    if body[6] in (1, 2):
-                        cells[r, c] = ("TRUE" if body[8] else "FALSE") if body[6] == 1 else _ERRORS.get(body[8], f"#ERR{body[8]}")
-                else:
-                    cells[r, c] = shown(struct.unpack_from("<d", body, 6)[0], xf)
-        high, wide = (max(r for r, _ in cells) + 1, max(c for _, c in cells) + 1) if cells else (0, 0)
-        yield Element("table", rows=[[cells.get((r, c), "") for c in range(wide)] for r in range(high)], section=number, name=name, level=int(hidden > 0), spans=spans)
-
-
-# hwp ------------------------------------------------------------------------------------------------
-
-_WIDE = {k for k in range(32)} - {0, 10, 13, 24, 25, 26, 27, 28, 29, 30, 31}
-
-
-def hwp_text(data: bytes) -> str:
-    """A paragraph's text: extended control characters take eight places."""
-    out, k, n = [], 0, len(data) // 2
-    while k < n:
-        c = struct.unpack_from("<H", data, 2 * k)[0]
-        if c >= 32:
-            out.append(data[2 * k : 2 * k + 2])
-        elif c in (10, 9, 24, 30, 31):
-            out.append({10: "\n", 9: "\t", 24: "-", 30: " ", 31: " "}[c].encode("utf-16-le"))
-        k += 8 if c in _WIDE else 1
-    return b"".join(out).decode("utf-16-le", "replace")
-
-
-def read_hwp(file: Compound) -> Iterator[Element]:
-    """The paragraphs of all sections of a version 5 file; tables' cells come as paragraphs of level 1."""
-    head = file.read("FileHeader")
-    flags = struct.unpack_from("<I", head, 36)[0] if len(head) >= 40 else 0
-    if not head.startswith(b"HWP Document File"):
-        raise PackageError("no HWP signature")
-    if flags & 2 or flags & 16:
-        raise PackageError("the file is encrypted")
-    body = "ViewText" if flags & 4 else "BodyText"
-    for section in range(1000):
-        name = f"{body}/Section{section}"
-        if name not in file.streams:
-            break
-        data = file.read(name)
-        data = inflate(data) if flags & 1 else data
-        at = 0
-        while at + 4 <= len(data):
-            x = struct.unpack_from("<I", data, at)[0]
-            tag, level, size, at = x & 0x3FF, x >> 10 & 0x3FF, x >> 20, at + 4
-            if size == 0xFFF and at + 4 <= len(data):
-                size, at = struct.unpack_from("<I", data, at)[0], at + 4
-            if tag == 67:
-                text = hwp_text(data[at : at + size])
-                if text.strip():
-                    yield Element("paragraph", text.strip(), int(level > 1), section=section)
-            at += size

@@ -4,45 +4,31 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
-from xml.etree.ElementTree import Element as Node
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from leafmill.sources.compound import Compound, read_doc, read_hwp, read_ppt, read_xls
-from leafmill.sources.package import Package, PackageError, child, children, detect, every
+from leafmill.sources.biff import read_xls
+from leafmill.sources.compound import Compound, read_doc, read_ppt
+from leafmill.sources.hwp import files_of, read_hwp
+from leafmill.sources.hwpx import read_hwpx
+from leafmill.sources.package import Package, PackageError, detect
 from leafmill.sources.slides import read_pptx
 from leafmill.sources.spread import read_xlsx
 from leafmill.sources.web import read_html
-from leafmill.sources.word import Element, read_docx
+from leafmill.sources.element import Element
+from leafmill.sources.word import read_docx
 
-ELEMENTS = "path string, format string, element int, section int, name string, kind string, level int, text string, rows array<array<string>>, spans array<struct<r:int,c:int,row_span:int,col_span:int>>, error string"
+ELEMENTS = "path string, format string, element int, section int, name string, kind string, level int, text string, rows array<array<string>>, spans array<struct<r:int,c:int,row_span:int,col_span:int>>, runs array<struct<text:string,marks:string,size:double>>, part string, error string"
 _ARROW = pa.schema([
     ("path", pa.string()), ("format", pa.string()), ("element", pa.int32()), ("section", pa.int32()), ("name", pa.string()), ("kind", pa.string()), ("level", pa.int32()), ("text", pa.string()),
-    ("rows", pa.list_(pa.list_(pa.string()))), ("spans", pa.list_(pa.struct([("r", pa.int32()), ("c", pa.int32()), ("row_span", pa.int32()), ("col_span", pa.int32())]))), ("error", pa.string()),
+    ("rows", pa.list_(pa.list_(pa.string()))), ("spans", pa.list_(pa.struct([("r", pa.int32()), ("c", pa.int32()), ("row_span", pa.int32()), ("col_span", pa.int32())]))),
+    ("runs", pa.list_(pa.struct([("text", pa.string()), ("marks", pa.string()), ("size", pa.float64())]))), ("part", pa.string()), ("error", pa.string()),
 ])
 
 
-def read_hwpx(package: Package) -> Iterator[Element]:
-    """The paragraphs and tables of a hwpx package, section by section."""
-    names = [n for n in package.parts if n.startswith("Contents/section") and n.endswith(".xml")]
-    for k, name in enumerate(sorted(names, key=lambda n: int("".join(c for c in n if c.isdigit()) or 0))):
-        yield from _hwpx(package.xml(name), k)
-
-
-def _hwpx(node: Node, section: int) -> Iterator[Element]:
-    for p in children(node, "p"):
-        text = "".join(t.text or "" for r in children(p, "run") for t in children(r, "t"))
-        if text.strip():
-            yield Element("paragraph", text, section=section)
-        for r in children(p, "run"):
-            for table in children(r, "tbl"):
-                rows = [["\n".join("".join(t.text or "" for t in every(q, "t")) for q in children(child(tc, "subList"), "p")) for tc in children(tr, "tc")] for tr in children(table, "tr")]
-                yield Element("table", rows=rows, section=section)
-
-
 def elements(path: str, content: bytes) -> tuple[str, list[Element]]:
     """The format and the elements of a file."""
     kind = detect(path, content)
@@ -66,17 +52,18 @@ def rows_of(path: str, content: bytes | None, fail: bool = False) -> Iterator[tu
             raise PackageError("no content")
         kind, found = elements(path or "", content)
         for k, e in enumerate(found):
-            yield path, kind, k, e.section, e.name, e.kind, e.level, e.text if e.rows is None else None, e.rows, e.spans, None
+            yield path, kind, k, e.section, e.name, e.kind, e.level, e.text if e.rows is None else None, e.rows, e.spans, e.runs, e.part or None, None
     except Exception as e:
         if fail:
             raise
-        yield path, detect(path or "", content or b""), None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"
+        yield path, detect(path or "", content or b""), *[None] * 10, f"{type(e).__name__}: {e}"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(_ARROW)
-    spans = [None if x is None else [dict(zip(("r", "c", "row_span", "col_span"), s)) for s in x] for x in columns[9]]
-    return pa.RecordBatch.from_arrays([pa.array(spans if k == 9 else c, _ARROW.field(k).type) for k, c in enumerate(columns)], schema=_ARROW)
+    for k, names in ((9, ("r", "c", "row_span", "col_span")), (10, ("text", "marks", "size"))):
+        columns[k] = [None if x is None else [dict(zip(names, s)) for s in x] for x in columns[k]]
+    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW.field(k).type) for k, c in enumerate(columns)], schema=_ARROW)
 
 
 def parse_files(files: DataFrame, path: str = "path", content: str = "content", fail: bool = False) -> DataFrame:
@@ -103,6 +90,9 @@ _TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif":
 def assets_of(content: bytes | None) -> list[tuple[str, str, str, int]]:
     """(part, filename, content type, bytes) of the pictures and embedded files of a package; none of what is no package."""
     try:
+        if (content or b"")[:4] == b"\xd0\xcf\x11\xe0":
+            stored = list(files_of(Compound(content)))
+            return [(n, n.rpartition("/")[2], _TYPES.get(n.lower().rpartition(".")[2], "application/octet-stream"), len(x)) for n, x in stored]
         parts = Package(content or b"").parts
     except PackageError:
         return []
@@ -169,7 +159,7 @@ class _OfficeReader(DataSourceReader):
         for path in partition.value:
             with open(path, "rb") as f:
                 for row in rows_of(path, f.read(), self.fail):
-                    yield (*row[:9], None if row[9] is None else [tuple(s) for s in row[9]], row[10])
+                    yield (*row[:9], *(None if x is None else [tuple(s) for s in x] for x in row[9:11]), *row[11:])
 
 
 def register(spark: SparkSession) -> None:

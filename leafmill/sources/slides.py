@@ -7,8 +7,8 @@ from fractions import Fraction
 from xml.etree.ElementTree import Element as Node
 
 from leafmill.sources.charts import charts_of
+from leafmill.sources.element import Element
 from leafmill.sources.package import Package, attribute, child, children, every, local
-from leafmill.sources.word import Element
 
 Place = tuple[Fraction, Fraction, Fraction, Fraction]  # x and y scale, x and y offset
 
@@ -65,23 +65,42 @@ def _markers(paragraphs: list[Node]) -> Iterator[tuple[Node, str]]:
             yield p, "  " * level + "- " if bullet is not None else ""
 
 
-def _slide(package: Package, part: str, section: int) -> Iterator[Element]:
+def _drawn(package: Package, part: str, section: int, masters: bool) -> Iterator[Element]:
+    """The shapes of a slide by place; of a layout (masters) those that aren't places for a slide's own text."""
     links = package.relations(part)
     order = sorted(enumerate(_shapes(child(package.xml(part), "cSld", "spTree"))), key=lambda s: (s[1][0], s[1][1], s[0]))
     for _, (_, _, node) in order:
         ph = next(iter(every(node, "ph")), None)
+        if masters and ph is not None:
+            continue
         title = ph is not None and attribute(ph, "type") in ("title", "ctrTitle")
         for table in every(node, "tbl"):
-            yield Element("table", rows=[["\n".join(_paragraph(p, links) for p in every(tc, "p")) for tc in children(tr, "tc")] for tr in children(table, "tr")], section=section)
+            yield Element("table", rows=[["\n".join(_paragraph(p, links) for p in every(tc, "p")) for tc in children(tr, "tc")] for tr in children(table, "tr")], section=section, part=part)
+        for ids in every(node, "relIds"):  # a diagram's texts lie in a part of their own
+            data = links.get(attribute(ids, "dm"), ("", "", True))[0]
+            for point in every(package.maybe(data), "pt"):
+                text = "\n".join(t for p in every(point, "p") if (t := "".join(x.text or "" for x in every(p, "t")).strip()))
+                if text:
+                    yield Element("paragraph", text, section=section, part=data)
         if local(node.tag) in ("sp", "cxnSp"):
             for p, marker in _markers(children(child(node, "txBody"), "p")):
                 text = _paragraph(p, links)
                 if text.strip():
-                    yield Element("heading" if title else "paragraph", marker + text, int(title), section=section)
+                    yield Element("heading" if title else "paragraph", marker + text, int(title), section=section, part=part)
         elif local(node.tag) == "pic":
             alt = next((attribute(x, "descr") for x in every(node, "cNvPr") if attribute(x, "descr")), "")
-            if alt:
-                yield Element("paragraph", f"![{alt}]()", section=section)
+            blip = next(iter(every(node, "blip")), None)
+            file = links.get(attribute(blip, "embed"), ("",))[0].rpartition("/")[2] if blip is not None else ""
+            if alt or file:
+                yield Element("paragraph", f"![{alt}]({file})", section=section, part=part)
+
+
+def _slide(package: Package, part: str, section: int, authors: dict[str, str]) -> Iterator[Element]:
+    links = package.relations(part)
+    for target, kind, _ in links.values():
+        if kind == "slideLayout" and target in package:
+            yield from _drawn(package, target, section, True)
+    yield from _drawn(package, part, section, False)
     yield from charts_of(package, part, section)
     for target, kind, _ in links.values():
         if kind == "notesSlide" and target in package:
@@ -91,19 +110,23 @@ def _slide(package: Package, part: str, section: int) -> Iterator[Element]:
                     for p in children(child(node, "txBody"), "p"):
                         text = _paragraph(p, {})
                         if text.strip():
-                            yield Element("note", text, section=section)
+                            yield Element("note", text, section=section, part=target)
         elif kind == "comments" and target in package:
             for cm in every(package.xml(target), "cm"):
-                text = "".join(t.text or "" for t in every(cm, "text", "t"))
+                said = child(cm, "text")
+                text = "".join([(said.text or "").strip() if said is not None else "", *(t.text or "" for t in every(cm, "t"))])
+                who = authors.get(attribute(cm, "authorId"), "")
                 if text.strip():
-                    yield Element("comment", text, section=section)
+                    yield Element("comment", f"{who}: {text}" if who else text, section=section, part=target)
 
 
 def read_pptx(package: Package) -> Iterator[Element]:
-    """The elements of all slides in the presentation's order."""
+    """The elements of all slides in the presentation's order: of a slide its layout's own shapes, its shapes by place, charts, notes
+    and comments with their authors."""
     links = package.relations("ppt/presentation.xml")
+    authors = {attribute(a, "id"): attribute(a, "name") for a in every(package.maybe("ppt/commentAuthors.xml"), "cmAuthor")}
     for k, s in enumerate(children(child(package.xml("ppt/presentation.xml"), "sldIdLst"), "sldId")):
         ids = [v for n, v in s.attrib.items() if n.endswith("}id")]
         target = links.get(ids[0] if ids else "", ("", "", True))[0]
         if target in package:
-            yield from _slide(package, target, k)
+            yield from _slide(package, target, k, authors)

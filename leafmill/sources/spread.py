@@ -7,10 +7,11 @@ from collections.abc import Iterator
 from datetime import date, timedelta
 from decimal import ROUND_HALF_UP, Decimal
 from fractions import Fraction
+from xml.etree.ElementTree import Element as Node
 
-from leafmill.sources.charts import charts_of
-from leafmill.sources.package import Package, PackageError, attribute, child, children, every
-from leafmill.sources.word import Element
+from leafmill.sources.charts import drawings_of
+from leafmill.sources.element import Element
+from leafmill.sources.package import Package, PackageError, attribute, child, children, every, local
 
 _BUILTIN = {1: "0", 2: "0.00", 3: "#,##0", 4: "#,##0.00", 9: "0%", 10: "0.00%", 11: "0.00E+00", 12: "# ?/?", 13: "# ??/??", 14: "yyyy-mm-dd", 15: "d-mmm-yy", 16: "d-mmm", 17: "mmm-yy", 18: "h:mm", 19: "h:mm:ss", 20: "h:mm", 21: "h:mm:ss", 22: "yyyy-mm-dd h:mm", 45: "mm:ss", 46: "[h]:mm:ss", 48: "##0.0E+0"}
 _REF = re.compile(r"\$?([A-Za-z]{1,3})\$?([0-9]+)")
@@ -153,41 +154,68 @@ def _text(node: object) -> str:
     return "".join(t.text or "" for t in every(node, "t"))
 
 
+_EDGES = {"oddHeader": "header", "evenHeader": "header", "firstHeader": "header", "oddFooter": "footer", "evenFooter": "footer", "firstFooter": "footer"}
+
+
+def header_text(code: str) -> str:
+    """The left, middle and right parts of a header or footer, without its codes for fonts, colours and fields."""
+    parts, at = {"L": "", "C": "", "R": ""}, "C"
+    for m in re.finditer(r'&(?:(&)|([LCR])|"[^"]*"?|K[0-9A-Fa-f+-]{0,6}|.|$)|([^&]+)', code, re.S):
+        if m[2]:
+            at = m[2]
+        else:
+            parts[at] += m[3] or m[1] or ("&" if m[0] == "&" else "")
+    return " | ".join(x.strip() for x in parts.values() if x.strip())
+
+
+def ragged(cells: dict[tuple[int, int], str]) -> list[list[str]]:
+    """Each row as far as the last column of all, and rows without cells empty, as long as that is a grid; cells that lie so far
+    apart that it would be mostly blank are rows that end with their last cell."""
+    if not cells:
+        return []
+    high, wide = max(r for r, _ in cells) + 1, max(c for _, c in cells) + 1
+    by: dict[int, dict[int, str]] = {}
+    for (r, c), text in cells.items():
+        by.setdefault(r, {})[c] = text
+    dense = high * wide <= max(10_000, 64 * len(cells))
+    return [[by.get(r, {}).get(c, "") for c in range(wide if dense else max(by[r], default=-1) + 1 if r in by else 0)] for r in range(high)]
+
+
 def read_xlsx(package: Package) -> Iterator[Element]:
-    """A table for each sheet in the workbook's order, named, and after it its charts; hidden sheets too (level 1). A formula
-    stands behind its value, a link and a comment behind a cell's text; merged cells have spans."""
-    links = package.relations("xl/workbook.xml")
-    strings = [_text(si) for si in children(package.maybe("xl/sharedStrings.xml"), "si")]
+    """The defined names, and for each sheet in the workbook's order its headers and footers, a table, named, and its
+    drawings; hidden sheets too (level 1). A formula stands behind its value, a link and a comment behind a cell's text;
+    merged cells have spans. Sheets are read row by row, whatever their size."""
+    book = "xl/workbook.xml"
+    links, root = package.relations(book), package.xml(book)
+    strings = ["".join(t.text or "" for t in every(si, "t")) for si in package.rows("xl/sharedStrings.xml", "si")] if "xl/sharedStrings.xml" in package else []
     styles = package.maybe("xl/styles.xml")
     codes = {int(attribute(n, "numFmtId")): attribute(n, "formatCode") for n in children(child(styles, "numFmts"), "numFmt")}
     formats = [codes.get(int(attribute(x, "numFmtId", "0")), _BUILTIN.get(int(attribute(x, "numFmtId", "0")), "")) for x in children(child(styles, "cellXfs"), "xf")]
-    for k, sheet in enumerate(children(child(package.xml("xl/workbook.xml"), "sheets"), "sheet")):
-        target = links.get(attribute(sheet, "id"), ("", "", True))[0]
+    for name in children(child(root, "definedNames"), "definedName"):
+        if attribute(name, "name") and (name.text or "").strip():
+            yield Element("paragraph", f"Defined name: {attribute(name, 'name').removeprefix('_xlnm.')} = {name.text.strip()}", part=book)
+    for k, sheet in enumerate(children(child(root, "sheets"), "sheet")):
+        target, label = links.get(attribute(sheet, "id"), ("", "", True))[0], attribute(sheet, "name")
         if target not in package:
             continue
-        cells, spans = _sheet(package, target, strings, formats)
-        rows: list[list[str]] = []
-        if cells:
-            high, wide = max(r for r, _ in cells) + 1, max(c for _, c in cells) + 1
-            rows = [[""] * wide for _ in range(high)] if high * wide <= 1_000_000 else []
-            for (r, c), text in cells.items():
-                if rows:
-                    rows[r][c] = text
-            if not rows:  # a sparse sheet of a huge extent: only rows that have cells
-                by: dict[int, dict[int, str]] = {}
-                for (r, c), text in cells.items():
-                    by.setdefault(r, {})[c] = text
-                rows = [[by[r].get(c, "") for c in range(max(by[r]) + 1)] for r in sorted(by)]
-        yield Element("table", rows=rows, section=k, name=attribute(sheet, "name"), level=int(attribute(sheet, "state", "visible") != "visible"), spans=spans)
-        yield from charts_of(package, target, k)
-
-
-def _sheet(package: Package, target: str, strings: list[str], formats: list[str]) -> tuple[dict[tuple[int, int], str], list[tuple[int, int, int, int]]]:
-    root, rels = package.xml(target), package.relations(target)
+        cells, spans, edges = _sheet(package, target, strings, formats)
+        for kind in ("header", "footer"):
+            for text in (header_text(x.text or "") for x in edges if _EDGES.get(local(x.tag)) == kind):
+                if text:
+                    yield Element(kind, text, section=k, name=label, part=target)
+        yield Element("table", rows=ragged(cells), section=k, name=label, level=int(attribute(sheet, "state", "visible") != "visible"), spans=spans, part=target)
+        yield from drawings_of(package, target, k)
+
+
+def _sheet(package: Package, target: str, strings: list[str], formats: list[str]) -> tuple[dict[tuple[int, int], str], list[tuple[int, int, int, int]], list[Node]]:
+    rels = package.relations(target)
     cells: dict[tuple[int, int], str] = {}
     shared: dict[str, tuple[int, int, str]] = {}
-    row_no = -1
-    for row in children(child(root, "sheetData"), "row"):
+    row_no, rest = -1, {"hyperlinks": [], "mergeCells": [], "headerFooter": []}
+    for row in package.rows(target, ("row", *rest)):
+        if local(row.tag) in rest:
+            rest[local(row.tag)] += list(row)
+            continue
         row_no = int(attribute(row, "r")) - 1 if attribute(row, "r") else row_no + 1
         col_no = -1
         for c in children(row, "c"):
@@ -220,11 +248,17 @@ def _sheet(package: Package, target: str, strings: list[str], formats: list[str]
                     text = f"{text} (={formula})".strip()
             if text:
                 cells[r, col_no] = text
-    for h in children(child(root, "hyperlinks"), "hyperlink"):
+    linked: dict[tuple[int, int], str] = {}
+    for h in rest["hyperlinks"]:  # a later range overrides
         url = rels.get(attribute(h, "id"), ("", "", False))[0] or ("#" + attribute(h, "location") if attribute(h, "location") else "")
         r0, c0, r1, c1 = span(attribute(h, "ref"))
-        for at in [k for k in cells if r0 <= k[0] <= r1 and c0 <= k[1] <= c1] or [(r0, c0)]:
-            cells[at] = f"{cells.get(at, attribute(h, 'display'))} <{url}>".strip()
+        inside = [(r, c) for r in range(r0, r1 + 1) for c in range(c0, c1 + 1) if (r, c) in cells] if (r1 - r0 + 1) * (c1 - c0 + 1) <= len(cells) else [k for k in cells if r0 <= k[0] <= r1 and c0 <= k[1] <= c1]
+        if not inside:
+            inside, cells[r0, c0] = [(r0, c0)], attribute(h, "display")
+        if url:
+            linked.update(dict.fromkeys(inside, url))
+    for at, url in linked.items():
+        cells[at] = f"{cells[at]} <{url}>".strip()
     for part, kind, _ in rels.values():
         if kind == "comments" and part in package:
             notes = package.xml(part)
@@ -234,8 +268,8 @@ def _sheet(package: Package, target: str, strings: list[str], formats: list[str]
                 at = place(attribute(n, "ref"))
                 cells[at] = f"{cells.get(at, '')} [comment: {authors[who] + ': ' if who < len(authors) and authors[who] else ''}{_text(n)}]".strip()
     spans = []
-    for m in children(child(root, "mergeCells"), "mergeCell"):
+    for m in rest["mergeCells"]:
         r0, c0, r1, c1 = span(attribute(m, "ref"))
         spans.append((r0, c0, r1 - r0 + 1, c1 - c0 + 1))
         cells.setdefault((r0, c0), "")
-    return cells, spans
+    return cells, spans, rest["headerFooter"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from html.parser import HTMLParser
 
-from leafmill.sources.word import Element
+from leafmill.sources.element import Element
 
 _SKIPPED = {"script", "style", "head", "template", "noscript"}
 _BREAKS = {"p", "div", "li", "br", "article", "section", "nav", "footer", "header", "ul", "ol", "table", "body", "main", "aside", "blockquote", "pre", "hr", *(f"h{k}" for k in range(1, 7))}
