@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill.sources import writers
-from leafmill.sources.reader import parse_files
+from leafmill.sources.reader import parse_assets, parse_files
 from leafmill.sources.web import read_html
 
 
@@ -108,6 +108,144 @@ def xls_cells(spark: SparkSession, sf: str) -> DataFrame:
     return _cells(_files(_customers(spark, sf), lambda r: writers.xls(_sheet(r), ["#,##0.00"]), "xls"))
 
 
+def _cell_text(files: DataFrame, key: str) -> DataFrame:
+    tables = parse_files(files).where("kind = 'table'").select(_id().alias(key), F.posexplode("rows").alias("r", "row"))
+    return tables.select(key, F.col("r").cast("bigint").alias("r"), F.posexplode("row").alias("c", "text")).select(key, "r", F.col("c").cast("bigint").alias("c"), "text")
+
+
+def _formula_book(r: dict) -> bytes:
+    """Key, balance, and two formulas a row: over the row's cells, and with a name and another sheet's cell."""
+    t, rows, tail = writers.tokens, [[c["c_custkey"], c["c_acctbal"]] for c in r["rows"]], b""
+    for k in range(len(rows)):
+        own = t((k, 0, k, 1), bytes([0x22, 1, 4, 0]), 2, b"\x05", (k, 1), 0, b"\x0d", 1, 1, b"\x13", bytes([0x22, 3, 1, 0]), b"\x03")
+        other = t(b"\x23\1\0\0\0", b"\x3a\1\0\0\0\1\0", b"\x05", 'say "x"', b"\x08", b"\x15", 1.5, b"\x14", b"\x06")
+        tail += writers.xls_formula(k, 2, own, 1.0) + writers.xls_formula(k, 3, other, 0.5)
+    tail += writers.xls_link(0, 0, 1, 0, "https://x.org/a") + writers.xls_link(1, 0, 1, 0, "https://x.org/b") + writers.xls_note(0, 1, "Ann") + writers.xls_edge("&L&\"Arial\"Left &P&RRight && more")
+    names = writers.xls_sheet_links((0, 0), (1, 1)) + writers.xls_name("Rate", t((0, 1)))
+    return writers.xls([("customers", rows), ("it's", [["x"]])], tails=[tail], globals_=names)
+
+
+def xls_formulas(spark: SparkSession, sf: str) -> DataFrame:
+    """A workbook of each nation's customers with formulas, a name, links that overlap and a note."""
+    found = parse_files(_files(_customers(spark, sf), _formula_book, "xls")).where("name = 'customers' and kind = 'table'")
+    rows = found.select(_id().alias("nation"), F.posexplode("rows").alias("r", "row"))
+    return rows.select("nation", F.col("r").cast("bigint").alias("r"), F.posexplode("row").alias("c", "text")).select("nation", "r", F.col("c").cast("bigint").alias("c"), "text")
+
+
+def xls_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The same workbooks' names, headers and sheets."""
+    found = parse_files(_files(_customers(spark, sf), _formula_book, "xls"))
+    return found.select(_id().alias("nation"), F.col("element").cast("bigint").alias("element"), "kind", "name", "part", "text")
+
+
+def _parts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = _table(spark, sf, "part").select("p_size", F.struct("p_partkey", "p_name", "p_brand", "p_type").alias("p"))
+    return rows.groupBy("p_size").agg(F.sort_array(F.collect_list("p")).alias("rows")).select(F.col("p_size").cast("string").alias("name"), "rows")
+
+
+def _runs(files: DataFrame, key: str) -> DataFrame:
+    found = parse_files(files).where("kind in ('paragraph', 'heading')").select(_id().alias(key), F.col("element").cast("bigint").alias("element"), "level", F.posexplode("runs").alias("n", "run"))
+    return found.select(key, "element", F.col("level").cast("bigint").alias("level"), F.col("n").cast("bigint").alias("n"), "run.text", "run.marks", F.col("run.size").alias("size_"))
+
+
+def _styled(r: dict) -> bytes:
+    run = lambda text, props: f'<w:r><w:rPr>{props}</w:rPr><w:t xml:space="preserve">{writers.escape(text)}</w:t></w:r>'
+    own = lambda p: run(p["p_name"], '<w:b/><w:sz w:val="28"/>') + run(" ", "") + run(p["p_brand"], '<w:rStyle w:val="Strong"/><w:u w:val="single"/>') + run(p["p_type"], '<w:b w:val="0"/><w:vertAlign w:val="superscript"/>')
+    styles = f'<w:styles {writers._W}><w:style w:type="character" w:styleId="Strong"><w:name w:val="Strong"/><w:rPr><w:i/><w:strike/></w:rPr></w:style></w:styles>'
+    return writers.docx([("xml", f"<w:p>{own(p)}</w:p>") for p in r["rows"]], {"word/styles.xml": styles})
+
+
+def docx_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A paragraph of runs for each part, one docx for each size."""
+    return _runs(_files(_parts(spark, sf), _styled, "docx"), "size")
+
+
+def _commented(r: dict) -> bytes:
+    """A paragraph of each turn with its comment; every second comment answers the one before."""
+    comments, below, body = "", "", []
+    for k, t in enumerate(r["turns"]):
+        comments += f'<w:comment w:id="{k}" w:author={writers.quoteattr(t["role"])}><w:p w14:paraId="P{k}"><w:r><w:t>{writers.escape(f"Note {k} of {len(t['text'])}")}</w:t></w:r></w:p></w:comment>'
+        below += f'<w15:commentEx w15:paraId="P{k}"' + (f' w15:paraIdParent="P{k - 1}"' if k % 2 else "") + "/>"
+        mark = f'<w:bookmarkStart w:name="b{k}"/><w:commentRangeStart w:id="{k}"/><w:r><w:t xml:space="preserve">{writers.escape(t["role"])}</w:t></w:r><w:commentRangeEnd w:id="{k}"/><w:r><w:commentReference w:id="{k}"/></w:r>'
+        body.append(("xml", f"<w:p>{mark}</w:p>"))
+    space = 'xmlns:w14="http://schemas.microsoft.com/office/word/2010/wordml" xmlns:w15="http://schemas.microsoft.com/office/word/2012/wordml"'
+    return writers.docx(body, {"word/comments.xml": f"<w:comments {writers._W} {space}>{comments}</w:comments>", "word/commentsExtended.xml": f"<w15:commentsEx {space}>{below}</w15:commentsEx>"})
+
+
+def docx_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """A docx of each conversation: comments with answers, bookmarks and the places that are commented on."""
+    found = parse_files(_files(_slides(spark, sf), _commented, "docx"))
+    return found.select(_id().alias("conv_id"), F.col("element").cast("bigint").alias("element"), "kind", "part", "text")
+
+
+def _named_book(r: dict) -> bytes:
+    """Names, a header, two text boxes and a picture out of order, and a link over another."""
+    ns = 'xmlns:xdr="http://schemas.openxmlformats.org/drawingml/2006/spreadsheetDrawing" xmlns:a="http://schemas.openxmlformats.org/drawingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+    at = lambda row, inner: f"<xdr:oneCellAnchor><xdr:from><xdr:col>1</xdr:col><xdr:row>{row}</xdr:row></xdr:from>{inner}</xdr:oneCellAnchor>"
+    box = lambda text: f"<xdr:sp><xdr:txBody><a:p><a:r><a:t>{text}</a:t></a:r></a:p></xdr:txBody></xdr:sp>"
+    picture = '<xdr:pic><xdr:nvPicPr><xdr:cNvPr id="2" name="Logo"/></xdr:nvPicPr><xdr:blipFill><a:blip r:embed="i"/></xdr:blipFill></xdr:pic>'
+    drawing = f"<xdr:wsDr {ns}>{at(9, box('below ' + r['name']))}{at(2, picture)}{at(1, box('above'))}</xdr:wsDr>"
+    tail = '<mergeCells><mergeCell ref="A1:B1"/></mergeCells><hyperlinks><hyperlink ref="A1:A2" r:id="u"/><hyperlink ref="A2" location="x"/></hyperlinks><headerFooter><oddHeader>&amp;L&amp;"Arial,Bold"Left&amp;Cmid &amp;P&amp;R&amp;K00FF00Right</oddHeader></headerFooter><drawing r:id="d"/>'
+    book = writers.xlsx([("data", [[c["c_custkey"], c["c_name"]] for c in r["rows"]])], tails=[tail], extra={
+        "xl/worksheets/_rels/sheet1.xml.rels": writers.relations(("u", "hyperlink", "http://x.org", "External"), ("d", "drawing", "../drawings/drawing1.xml")), "xl/drawings/drawing1.xml": drawing,
+        "xl/drawings/_rels/drawing1.xml.rels": writers.relations(("i", "image", "../media/image1.png")), "xl/media/image1.png": "png",
+        "xl/workbook.xml": f'<workbook {writers._S}><sheets><sheet name="data" sheetId="1" r:id="rId1"/></sheets><definedNames><definedName name="_xlnm.Print_Area">data!$A$1:$B${len(r["rows"])}</definedName></definedNames></workbook>',
+    })
+    return book
+
+
+def xlsx_parts(spark: SparkSession, sf: str) -> DataFrame:
+    """The names, headers, drawings and linked cells of a workbook of each nation."""
+    found = parse_files(_files(_customers(spark, sf), _named_book, "xlsx"))
+    first = F.when(F.col("kind") == "table", F.concat_ws(",", F.transform(F.slice("rows", 1, 3), lambda r: F.get(r, 0)))).otherwise(F.col("text"))
+    return found.select(_id().alias("nation"), F.col("element").cast("bigint").alias("element"), "kind", "part", first.alias("text"))
+
+
+def doc_assets(spark: SparkSession, sf: str) -> DataFrame:
+    """Pictures of a docx of each item of the benchmark, of a size by its text, and one stored in a hwp."""
+    items = _table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("name"), "text")
+    docx = _files(items, lambda r: writers.docx([("paragraph", "x")], {"word/media/image1.PNG": "x" * len(r["text"]), "word/embeddings/o.bin": "y", "word/other.bin": "z"}), "docx")
+    hwp = _files(items, lambda r: writers.hwp([["x"]], files={"BIN0001.jpg": b"x" * len(r["text"])}), "hwp")
+    return parse_assets(docx.unionAll(hwp)).select(_id().alias("item_id"), "part", "filename", "content_type", "length")
+
+
+def _grid(r: dict) -> tuple[list[list[str]], dict[tuple[int, int], tuple[int, int]]]:
+    rows = [[str(c["c_custkey"]), c["c_name"], f"{c['c_acctbal']:.2f}"] for c in r["rows"]]
+    return [["customers", "", ""], *rows], {(0, 0): (1, 3)}
+
+
+def hwp_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """A hwp of each nation with a table of its customers under a merged head."""
+    make = lambda r: writers.hwp([writers.hwp_paragraph("Before", controls=writers.hwp_table(*_grid(r))) + writers.hwp_paragraph("After")])
+    return _cell_text(_files(_customers(spark, sf), make, "hwp"), "nation")
+
+
+def hwpx_tables(spark: SparkSession, sf: str) -> DataFrame:
+    make = lambda r: writers.hwpx([["first"], [f"<hp:p><hp:run>{writers.hwpx_table(*_grid(r))}</hp:run></hp:p>"]], order=[1, 0])
+    return _cell_text(_files(_customers(spark, sf), make, "hwpx"), "nation")
+
+
+_SHAPES = [(10, 0), (20, 2), (16, 1 | 1 << 2), (10, 1 << 15), (10, 1 << 18)]
+
+
+def hwp_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """A paragraph of runs in several shapes for each part, one hwp for each size."""
+    own = lambda p: writers.hwp_paragraph([(p["p_name"], p["p_partkey"] % 3), (" " + p["p_brand"], 3), (p["p_type"], 4)])
+    make = lambda r: writers.hwp([b"".join(own(p) for p in r["rows"])], info=writers.hwp_info(_SHAPES))
+    return _runs(_files(_parts(spark, sf), make, "hwp"), "size")
+
+
+def hwp_objects(spark: SparkSession, sf: str) -> DataFrame:
+    """A hwp of each benchmark item: a heading by style, a header, a note, an equation and a picture."""
+    def make(r: dict) -> bytes:
+        inside = writers.hwp_control(b"daeh", paragraphs=["Head"]) + writers.hwp_control(b"  nf", paragraphs=["Note a", "Note b"]) + writers.hwp_equation(f"{r['name']} over 2") + writers.hwp_picture(0)
+        body = writers.hwp_paragraph("Chapter", style=1) + writers.hwp_paragraph("Text", controls=inside)
+        return writers.hwp([body], info=writers.hwp_info(_SHAPES[:1], ["바탕글", "개요 2"], [(1, "png")]), files={"BIN0001.png": b"p"})
+
+    items = _table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("name"))
+    return parse_files(_files(items, make, "hwp")).select(_id().alias("item_id"), F.col("element").cast("bigint").alias("element"), "kind", F.col("level").cast("bigint").alias("level"), "name", "part", "text")
+
+
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The text blocks of all pages in order."""
     pages = _table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("name"), "html")
@@ -126,7 +264,7 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("href").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (docx_elements, hwpx_elements, hwp_elements, doc_elements, pptx_elements, ppt_elements, xlsx_cells, xls_cells, page_blocks, page_links)}
+QUERIES = {f.__name__: f for f in (docx_elements, hwpx_elements, hwp_elements, doc_elements, pptx_elements, ppt_elements, xlsx_cells, xls_cells, xls_formulas, xls_parts, docx_runs, docx_comments, xlsx_parts, doc_assets, hwp_cells, hwpx_tables, hwp_runs, hwp_objects, page_blocks, page_links)}
 
 _L = "l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS text, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS element FROM l)"
 _LINES_AS = "WITH " + _L + " SELECT doc_id, element, {kind} AS kind, {text} AS text FROM u"
@@ -137,7 +275,26 @@ _CELLS = r"""WITH c AS (SELECT c_nationkey::BIGINT AS nation, row_number() OVER
     d AS (SELECT *, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || regexp_replace(reverse(regexp_replace(reverse((u // 100)::VARCHAR), '([0-9]{3})', '\1,', 'g')), '^,', '') || '.' || lpad((u % 100)::VARCHAR, 2, '0') AS money FROM c)
     SELECT nation, 'customers' AS sheet, r, c, text FROM (SELECT nation, r, unnest([0, 1, 2])::BIGINT AS c, unnest([c_custkey::VARCHAR, c_name, money]) AS text FROM d)"""
 
+_ROWS = "k AS (SELECT c_nationkey::BIGINT AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS r, c_custkey, c_name, c_acctbal FROM customer)"
+_PLAIN_NUMBER = "CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(c_acctbal AS BIGINT)::VARCHAR ELSE c_acctbal::VARCHAR END"
+_GRID = f"WITH {_ROWS} SELECT nation, r, c, text FROM (SELECT nation, r + 1 AS r, unnest([0, 1, 2])::BIGINT AS c, unnest([c_custkey::VARCHAR, c_name, printf('%.2f', c_acctbal)]) AS text FROM k UNION ALL SELECT DISTINCT nation, 0::BIGINT, unnest([0, 1, 2])::BIGINT, unnest(['customers', '', '']) FROM k)"
+_PART = "p AS (SELECT p_size::BIGINT AS size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey, p_name, p_brand, p_type) - 1 AS element, * FROM part)"
+
 ORACLE_SQL = {
+    "xls_formulas": f"""WITH {_ROWS} SELECT nation, r, c, text FROM (SELECT nation, r, unnest([0, 1, 2, 3])::BIGINT AS c, unnest([c_custkey::VARCHAR || CASE r WHEN 0 THEN ' <https://x.org/a>' WHEN 1 THEN ' <https://x.org/b>' ELSE '' END, {_PLAIN_NUMBER} || CASE r WHEN 0 THEN ' [comment: Ann]' ELSE '' END,
+        '1 (=SUM(A' || r + 1 || ':B' || r + 1 || ')*2+IF(B' || r + 1 || '>0,1,-1))', '0.5 (=(Rate*''it''''s''!$B$1&' || chr(34) || 'say ' || repeat(chr(34), 2) || 'x' || repeat(chr(34), 3) || ')/1.5%)']) AS text FROM k)""",
+    "xls_parts": "SELECT c_nationkey::BIGINT AS nation, e AS element, kind, name, part, text FROM (SELECT DISTINCT c_nationkey FROM customer), (VALUES (0, 'paragraph', '', 'Workbook', 'Defined name: Rate = B1'), (1, 'header', 'customers', 'Workbook#customers', 'Left # Right & more'), (2, 'table', 'customers', 'Workbook#customers', NULL), (3, 'table', 'it''s', 'Workbook#it''s', NULL)) AS v(e, kind, name, part, text)",
+    "docx_runs": f"WITH {_PART} SELECT size, element, 0::BIGINT AS level, (n - 1)::BIGINT AS n, [p_name, ' ', p_brand, p_type][n] AS text, ['b', '', 'isu', '^'][n] AS marks, [14.0, 0.0, 0.0, 0.0][n]::DOUBLE AS size_ FROM p, unnest([1, 2, 3, 4]) AS t(n)",
+    "docx_comments": r"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations), s AS (SELECT *, 'Note ' || k || ' of ' || length(text) AS note FROM t)
+        SELECT conv_id, k AS element, 'paragraph' AS kind, 'word/document.xml' AS part, '[bookmark: b' || k || '] ' || role || ' [comment ' || k || ': ' || note || ']' AS text FROM s
+        UNION ALL SELECT a.conv_id, a.m + a.k, 'comment', 'word/comments.xml', a.role || ': ' || a.note || coalesce(chr(10) || 'Reply from ' || b.role || ': ' || b.note, '') FROM s a LEFT JOIN s b ON b.conv_id = a.conv_id AND b.k = a.k + 1 AND b.k % 2 = 1""",
+    "xlsx_parts": f"""WITH {_ROWS}, g AS (SELECT nation, count(*) AS n, string_agg(c_custkey::VARCHAR || CASE r WHEN 0 THEN ' <http://x.org>' WHEN 1 THEN ' <#x>' ELSE '' END, ',' ORDER BY r) FILTER (r < 3) AS ids FROM k GROUP BY nation)
+        SELECT nation, e AS element, kind, part, CASE e WHEN 0 THEN 'Defined name: Print_Area = data!$A$1:$B$' || n WHEN 2 THEN ids WHEN 5 THEN 'below ' || nation ELSE text END AS text FROM g, (VALUES (0, 'paragraph', 'xl/workbook.xml', ''), (1, 'header', 'xl/worksheets/sheet1.xml', 'Left | mid | Right'), (2, 'table', 'xl/worksheets/sheet1.xml', ''), (3, 'paragraph', 'xl/drawings/drawing1.xml', 'above'), (4, 'image', 'xl/drawings/drawing1.xml', '![Logo](xl/media/image1.png)'), (5, 'paragraph', 'xl/drawings/drawing1.xml', '')) AS v(e, kind, part, text)""",
+    "doc_assets": "SELECT item_id, part, filename, kind AS content_type, CASE part WHEN 'word/embeddings/o.bin' THEN 1 ELSE length(text) END::BIGINT AS length FROM benchmark, (VALUES ('word/media/image1.PNG', 'image1.PNG', 'image/png'), ('word/embeddings/o.bin', 'o.bin', 'application/vnd.openxmlformats-officedocument.oleObject'), ('BinData/BIN0001.jpg', 'BIN0001.jpg', 'image/jpeg')) AS v(part, filename, kind)",
+    "hwp_cells": _GRID,
+    "hwpx_tables": _GRID,
+    "hwp_runs": f"WITH {_PART} SELECT size, element, CASE p_partkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END::BIGINT AS level, (n - 1)::BIGINT AS n, [p_name, ' ' || p_brand, p_type][n] AS text, CASE n WHEN 1 THEN ['', 'b', 'iu'][p_partkey % 3 + 1] WHEN 2 THEN '^' ELSE 's' END AS marks, CASE WHEN n = 1 THEN [10.0, 20.0, 16.0][p_partkey % 3 + 1] ELSE 10 END::DOUBLE AS size_ FROM p, unnest([1, 2, 3]) AS t(n)",
+    "hwp_objects": "SELECT item_id, e AS element, kind, level, name, part, CASE WHEN kind = 'equation' THEN item_id || ' over 2' ELSE v.text END AS text FROM benchmark, (VALUES (0, 'heading', 2, '', 'BodyText/Section0', 'Chapter'), (1, 'paragraph', 0, '', 'BodyText/Section0', 'Text'), (2, 'header', 0, 'header', 'BodyText/Section0', 'Head'), (3, 'note', 0, 'footnote', 'BodyText/Section0', 'Note a' || chr(10) || 'Note b'), (4, 'equation', 0, '', 'BodyText/Section0', ''), (5, 'image', 0, 'BIN0001.png', 'BinData/BIN0001.png', '')) AS v(e, kind, level, name, part, text)",
     "docx_elements": _LINES_AS.format(kind="CASE WHEN element = 0 THEN 'heading' ELSE 'paragraph' END", text="text"),
     "hwpx_elements": _LINES_AS.format(kind="'paragraph'", text="text"),
     "hwp_elements": _LINES_AS.format(kind="'paragraph'", text="trim(text)"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+import zlib
 from xml.sax.saxutils import escape, quoteattr
 
 _W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
@@ -166,11 +167,62 @@ def _biff_string(text: str, wide: bool = True) -> bytes:
     return struct.pack("<HB" if wide else "<BB", len(text.encode("utf-16-le")) // 2, 1) + text.encode("utf-16-le")
 
 
-def xls(sheets: list[tuple[str, list[list[object]]]], formats: list[str] = ()) -> bytes:
-    """A BIFF8 workbook of (name, rows), as xlsx()."""
+def tokens(*parts: object) -> bytes:
+    """A formula's tokens in reverse Polish order: (row, column) a relative reference, (r0, c0, r1, c1) a range, a number, text
+    in quotes by a str, a bool, and bytes as they are."""
+    out = b""
+    for x in parts:
+        if isinstance(x, bytes):
+            out += x
+        elif isinstance(x, bool):
+            out += bytes([0x1D, x])
+        elif isinstance(x, int):
+            out += struct.pack("<Bh", 0x1E, x)
+        elif isinstance(x, float):
+            out += struct.pack("<Bd", 0x1F, x)
+        elif isinstance(x, str):
+            out += bytes([0x17, len(x), 0]) + x.encode("cp1252")
+        elif len(x) == 2:
+            out += struct.pack("<BHH", 0x24, x[0], x[1] | 0xC000)
+        else:
+            out += struct.pack("<BHHHH", 0x25, x[0], x[2], x[1] | 0xC000, x[3] | 0xC000)
+    return out
+
+
+def xls_formula(r: int, c: int, formula: bytes, value: float = 0.0) -> bytes:
+    return _biff(0x06, struct.pack("<HHHdHIH", r, c, 0, value, 0, 0, len(formula)) + formula)
+
+
+def xls_link(r0: int, c0: int, r1: int, c1: int, url: str) -> bytes:
+    return _biff(0x1B8, struct.pack("<HHHH", r0, r1, c0, c1) + bytes(24) + url.encode("utf-16-le") + b"\0\0")
+
+
+def xls_note(r: int, c: int, author: str) -> bytes:
+    return _biff(0x1C, struct.pack("<HHHHHB", r, c, 0, 1, len(author), 1) + author.encode("utf-16-le"))
+
+
+def xls_merge(*ranges: tuple[int, int, int, int]) -> bytes:
+    """Ranges of first and last row, first and last column."""
+    return _biff(0xE5, struct.pack("<H", len(ranges)) + b"".join(struct.pack("<HHHH", *x) for x in ranges))
+
+
+def xls_edge(text: str, footer: bool = False) -> bytes:
+    return _biff(0x15 if footer else 0x14, _biff_string(text))
+
+
+def xls_name(name: str, formula: bytes) -> bytes:
+    return _biff(0x18, struct.pack("<HBBHHH", 0, 0, len(name), len(formula), 0, 0) + bytes(4) + b"\0" + name.encode("cp1252") + formula)
+
+
+def xls_sheet_links(*pairs: tuple[int, int]) -> bytes:
+    return _biff(0x17, struct.pack("<H", len(pairs)) + b"".join(struct.pack("<HHH", 0, *x) for x in pairs))
+
+
+def xls(sheets: list[tuple[str, list[list[object]]]], formats: list[str] = (), tails: list[bytes] = (), globals_: bytes = b"", days_1904: bool = False) -> bytes:
+    """A BIFF8 workbook of (name, rows), as xlsx(); tails are records at the end of each sheet, globals_ those of the book."""
     strings: dict[str, int] = {}
     bodies = []
-    for _, rows in sheets:
+    for number, (_, rows) in enumerate(sheets):
         out = _biff(0x809, struct.pack("<HH", 0x600, 0x10) + bytes(12))
         for r, row in enumerate(rows):
             for c, v in enumerate(row):
@@ -186,7 +238,7 @@ def xls(sheets: list[tuple[str, list[list[object]]]], formats: list[str] = ()) -
                     out += _biff(0x203, place + struct.pack("<d", v))
                 else:
                     out += _biff(0xFD, place + struct.pack("<I", strings.setdefault(str(v), len(strings))))
-        bodies.append(out + _biff(0x0A, b""))
+        bodies.append(out + (tails[number] if number < len(tails) else b"") + _biff(0x0A, b""))
     parts, now = [], struct.pack("<II", len(strings), len(strings))
     for s in strings:
         one = _biff_string(s)
@@ -195,6 +247,7 @@ def xls(sheets: list[tuple[str, list[list[object]]]], formats: list[str] = ()) -
         now += one
     shared = b"".join(_biff(0xFC if k == 0 else 0x3C, p) for k, p in enumerate([*parts, now]))
     head = _biff(0x809, struct.pack("<HH", 0x600, 5) + bytes(12)) + b"".join(_biff(0x41E, struct.pack("<H", 164 + k) + _biff_string(f)) for k, f in enumerate(formats))
+    head += globals_ + (_biff(0x22, b"\1\0") if days_1904 else b"")
     head += b"".join(_biff(0xE0, struct.pack("<HH", 0, f) + bytes(16)) for f in (0, *range(164, 164 + len(formats))))
     bounds = lambda at: b"".join(_biff(0x85, struct.pack("<IBB", a, 0, 0) + _biff_string(n, False)) for a, (n, _) in zip(at, sheets))
     begin = len(head) + len(bounds([0] * len(sheets))) + len(shared) + 4
@@ -223,29 +276,105 @@ def ppt(slides: list[tuple[str, list[str]]]) -> bytes:
     return compound({"PowerPoint Document": out})
 
 
-def hwp(sections: list[list[str]], packed: bool = True) -> bytes:
-    """A version 5 hwp file of paragraphs."""
-    import zlib
+def _hwp_record(tag: int, level: int, body: bytes) -> bytes:
+    size = min(len(body), 0xFFF)
+    return struct.pack("<I", tag | level << 10 | size << 20) + (struct.pack("<I", len(body)) if size == 0xFFF else b"") + body
 
-    head = b"HWP Document File".ljust(32, b"\0") + bytes([0, 0, 0, 5]) + struct.pack("<I", int(packed))
-    streams = {"FileHeader": head.ljust(256, b"\0")}
-    for k, paragraphs in enumerate(sections):
-        body = b""
-        for p in paragraphs:
-            raw = (p + "\r").encode("utf-16-le")
-            size = min(len(raw), 0xFFF)
-            body += struct.pack("<I", 66) + struct.pack("<I", 67 | 1 << 10 | size << 20) + (struct.pack("<I", len(raw)) if size == 0xFFF else b"") + raw
-        if packed:
-            worker = zlib.compressobj(wbits=-15)
-            body = worker.compress(body) + worker.flush()
-        streams[f"BodyText/Section{k}"] = body
-    return compound(streams)
-
-
-def hwpx(sections: list[list[str]]) -> bytes:
-    """A hwpx package of paragraphs."""
-    ns = 'xmlns:hp="http://www.hancom.co.kr/hwpml/2011/paragraph" xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section"'
-    parts = {"Contents/content.hpf": "<package/>"}
+
+def _wide(text: str) -> bytes:
+    raw = text.encode("utf-16-le")
+    return struct.pack("<H", len(raw) // 2) + raw
+
+
+def hwp_paragraph(runs: str | list[tuple[str, int]], level: int = 0, style: int = 0, controls: bytes = b"") -> bytes:
+    """A paragraph's records: text, or (text, shape) of each run; controls come below it."""
+    runs = [(runs, 0)] if isinstance(runs, str) else runs
+    text, at, places = "", 0, b""
+    for part, shape in runs:
+        places += struct.pack("<II", at, shape)
+        text, at = text + part, at + len(part.encode("utf-16-le")) // 2
+    own = _hwp_record(66, level, struct.pack("<IIHBB", at + 1, 0, 0, style, 0) + bytes(10))
+    return own + _hwp_record(67, level + 1, (text + "\r").encode("utf-16-le")) + _hwp_record(68, level + 1, places) + controls
+
+
+def hwp_table(rows: list[list[str]], spans: dict[tuple[int, int], tuple[int, int]] | None = None, level: int = 1) -> bytes:
+    """A table's records; cells that a span of another covers are left out."""
+    spans = spans or {}
+    covered = {(r + y, c + x) for (r, c), (high, wide) in spans.items() for y in range(high) for x in range(wide) if x or y}
+    out = _hwp_record(71, level, b" lbt" + bytes(40)) + _hwp_record(77, level + 1, struct.pack("<IHH", 0, len(rows), max(map(len, rows))) + bytes(10))
+    for r, row in enumerate(rows):
+        for c, text in enumerate(row):
+            if (r, c) not in covered:
+                high, wide = spans.get((r, c), (1, 1))
+                out += _hwp_record(72, level + 1, struct.pack("<IIHHHH", 1, 0, c, r, wide, high) + bytes(18)) + hwp_paragraph(text, level + 1)
+    return out
+
+
+def hwp_control(kind: bytes, level: int = 1, paragraphs: list[str] = (), record: bytes = b"") -> bytes:
+    """A control's records with paragraphs in a list, or a record of its own: b"daeh" a header, b"  nf" a footnote, b"deqe" an equation."""
+    inside = _hwp_record(72, level + 1, struct.pack("<II", len(paragraphs), 0)) + b"".join(hwp_paragraph(p, level + 1) for p in paragraphs) if paragraphs else b""
+    return _hwp_record(71, level, kind + bytes(8)) + inside + record
+
+
+def hwp_equation(script: str, level: int = 1) -> bytes:
+    return hwp_control(b"deqe", level, record=_hwp_record(88, level + 1, struct.pack("<I", 0) + _wide(script)))
+
+
+def hwp_picture(number: int, level: int = 1) -> bytes:
+    return hwp_control(b" osg", level, record=_hwp_record(76, level + 1, bytes(8)) + _hwp_record(85, level + 2, bytes(71) + struct.pack("<H", number)))
+
+
+def hwp_info(shapes: list[tuple[float, int]], styles: list[str] = (), files: list[tuple[int, str]] = ()) -> bytes:
+    """A DocInfo stream: shapes of (points, flags), styles' names, stored files of (number, ending)."""
+    out = _hwp_record(16, 0, struct.pack("<H", 1) + bytes(24)) + b"".join(_hwp_record(18, 0, struct.pack("<HH", 1, n) + _wide(e)) for n, e in files)
+    out += _hwp_record(19, 0, b"\0" + _wide("Batang")) + b"".join(_hwp_record(21, 0, bytes(42) + struct.pack("<iI", int(p * 100), f) + bytes(20)) for p, f in shapes)
+    out += _hwp_record(25, 0, struct.pack("<Iiii", 3, 100, 200, 50) + bytes(20))
+    return out + b"".join(_hwp_record(26, 0, _wide(n) + _wide("en") + struct.pack("<BBhHH", 0, k, 1042, 0, 0)) for k, n in enumerate(styles))
+
+
+def hwp(sections: list[list[str] | bytes], packed: bool = True, info: bytes | None = None, files: dict[str, bytes] | None = None) -> bytes:
+    """A version 5 hwp file of sections, each paragraphs or records."""
+    def pack(data: bytes) -> bytes:
+        if not packed:
+            return data
+        worker = zlib.compressobj(wbits=-15)
+        return worker.compress(data) + worker.flush()
+
+    streams = {"FileHeader": (b"HWP Document File".ljust(32, b"\0") + bytes([0, 0, 0, 5]) + struct.pack("<I", int(packed))).ljust(256, b"\0")}
+    if info is not None:
+        streams["DocInfo"] = pack(info)
+    for k, part in enumerate(sections):
+        streams[f"BodyText/Section{k}"] = pack(part if isinstance(part, bytes) else b"".join(hwp_paragraph(p) for p in part))
+    return compound(streams | {f"BinData/{n}": pack(x) for n, x in (files or {}).items()})
+
+
+_H = 'xmlns:hp="http://www.hancom.co.kr/hwpml/2011/paragraph" xmlns:hs="http://www.hancom.co.kr/hwpml/2011/section" xmlns:hh="http://www.hancom.co.kr/hwpml/2011/head"'
+
+
+def hwpx_run(text: str, shape: int | None = None) -> str:
+    return f"<hp:run{f' charPrIDRef={quoteattr(str(shape))}' if shape is not None else ''}><hp:t>{escape(text)}</hp:t></hp:run>"
+
+
+def hwpx_table(rows: list[list[str]], spans: dict[tuple[int, int], tuple[int, int]] | None = None) -> str:
+    spans = spans or {}
+    covered = {(r + y, c + x) for (r, c), (high, wide) in spans.items() for y in range(high) for x in range(wide) if x or y}
+    body = ""
+    for r, row in enumerate(rows):
+        cells = ""
+        for c, text in enumerate(row):
+            if (r, c) not in covered:
+                high, wide = spans.get((r, c), (1, 1))
+                cells += f'<hp:tc><hp:subList><hp:p>{hwpx_run(text)}</hp:p></hp:subList><hp:cellAddr colAddr="{c}" rowAddr="{r}"/><hp:cellSpan colSpan="{wide}" rowSpan="{high}"/></hp:tc>'
+        body += f"<hp:tr>{cells}</hp:tr>"
+    return f"<hp:tbl>{body}</hp:tbl>"
+
+
+def hwpx(sections: list[list[str]], head: str = "", order: list[int] | None = None, files: dict[str, bytes] | None = None) -> bytes:
+    """A hwpx package of sections of paragraphs; one that begins with <hp: is markup. head: shapes of characters; order: of the sections."""
+    parts: dict[str, str | bytes] = {}
+    items = "".join(f'<item id="s{k}" href="Contents/section{k}.xml"/>' for k in range(len(sections)))
+    parts["Contents/content.hpf"] = f"<package><manifest>{items}</manifest><spine>" + "".join(f'<itemref idref="s{k}"/>' for k in order or ()) + "</spine></package>"
+    parts["Contents/header.xml"] = f"<hh:head {_H}>{head}</hh:head>"
     for k, paragraphs in enumerate(sections):
-        parts[f"Contents/section{k}.xml"] = f"<hs:sec {ns}>" + "".join(f"<hp:p><hp:run><hp:t>{escape(p)}</hp:t></hp:run></hp:p>" for p in paragraphs) + "</hs:sec>"
-    return package(parts)
+        parts[f"Contents/section{k}.xml"] = f"<hs:sec {_H}>" + "".join(p if p.startswith("<hp:") else f"<hp:p>{hwpx_run(p)}</hp:p>" for p in paragraphs) + "</hs:sec>"
+    return package(parts | {f"BinData/{n}": x for n, x in (files or {}).items()})
