@@ -6,6 +6,7 @@ buffers that Spark hands over, and no Python string is made per word.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,8 +15,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # not a glibc system
+    _LIBC = None
+
 #: Bytes of text that are worked on at once; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Bytes by which a long run of letters is cut: before one in four characters of three bytes, one in 16 others.
 CUT_BYTES = 8
 
@@ -25,18 +31,11 @@ _FOLD = np.arange(1, 257, dtype=np.uint64)
 _FOLD[65:91] += np.uint64(32)
 _EXACT = np.arange(1, 257, dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_POWERS[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _POWERS[k] = np.cumprod(x, dtype=np.uint64)
-    return _POWERS
+#: Bytes that are hashed at once; the powers of the base are kept for so many.
+_BLOCK = 1 << 17
+_POWERS = np.full(_BLOCK, _BASE, np.uint64)
+_POWERS[0] = 1
+_POWERS = np.cumprod(_POWERS, dtype=np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -46,6 +45,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def run_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, fold: bool = True) -> np.ndarray:
+    """The hash of each data[start:end] (none empty): the sum of its bytes times powers of a base. Bytes
+    are taken in blocks of bounded size, so a long text needs no more memory than its runs."""
+    table, out = _FOLD if fold else _EXACT, np.zeros(len(start), np.uint64)
+    size = end - start
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(start):
+        done = int(upto[at - 1]) if at else 0
+        to = int(np.searchsorted(upto, done + _BLOCK, "right"))
+        if to == at:  # one run of more than a block
+            scale, total = 1, 0
+            for k in range(int(start[at]), int(end[at]), _BLOCK):
+                part = table[data[k : min(k + _BLOCK, int(end[at]))]]
+                total += scale * int((part * _POWERS[: len(part)]).sum(dtype=np.uint64))
+                scale = scale * pow(_BASE, _BLOCK, 1 << 64) % (1 << 64)
+            out[at] = total % (1 << 64)
+            to = at + 1
+        else:
+            n = size[at:to]
+            first = np.cumsum(n) - n
+            within = np.arange(int(n.sum())) - np.repeat(first, n)
+            out[at:to] = np.add.reduceat(table[data[within + np.repeat(start[at:to], n)]] * _POWERS[within], first)
+        at = to
+    return out
+
+
+def trim() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system: workers are used again by later stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; after the last, freed memory goes back to the system."""
+    yield from batches
+    trim()
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string array and where each row starts in them; null reads as empty."""
     if column.null_count:
@@ -98,70 +137,75 @@ class Words:
         last = word.copy()
         last[:-1] &= ~word[1:] | first[1:]
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
-        up, down = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum((_FOLD if fold else _EXACT)[data] * up[:n], out=total[1:])
         if longest and len(self.start) and (size := self.end - self.start).max() > longest:
             size = np.where(size > longest, np.maximum(size - CUT_BYTES, 0), 0)
             at = ragged(self.start + CUT_BYTES, size)
             at = at[data[at] & 0xC0 != 0x80]
-            by = mix((total[at] - total[at - CUT_BYTES]) * down[at - CUT_BYTES])
-            cut = at[by & np.where(data[at] >= 0xE0, 3, 15).astype(np.uint64) == 0]
+            by, table = np.zeros(len(at), np.uint64), _FOLD if fold else _EXACT
+            for k in range(CUT_BYTES):
+                by += table[data[at - CUT_BYTES + k]] * _POWERS[k]
+            cut = at[mix(by) & np.where(data[at] >= 0xE0, 3, 15).astype(np.uint64) == 0]
             self.start, self.end = np.sort(np.append(self.start, cut)), np.sort(np.append(self.end, cut))
             size = self.end - self.start
             parts = -(-size // longest)
             within = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
             self.start, end = np.repeat(self.start, parts) + within * longest, np.repeat(self.end, parts)
             self.end = np.minimum(self.start + longest, end)
-        self._total, self._down = total, down
-        self.hash = mix((total[self.end] - total[self.start]) * down[self.start])
+        self._data, self._fold = data, fold
+        self.hash = mix(run_hashes(data, self.start, self.end, fold))
         self.first = np.searchsorted(self.start, offsets)
         self.count = np.diff(self.first)
         self.text = np.repeat(np.arange(len(offsets) - 1), self.count)
 
     def prefix(self, size: int) -> np.ndarray:
         """The hash of each word's first bytes; of a shorter word, of all."""
-        end = np.minimum(self.end, self.start + size)
-        return mix((self._total[end] - self._total[self.start]) * self._down[self.start] + np.uint64(1))
+        return mix(run_hashes(self._data, self.start, np.minimum(self.end, self.start + size), self._fold) + np.uint64(1))
 
     def __len__(self) -> int:
         return len(self.start)
 
 
-def encode_units(text: np.ndarray, start: np.ndarray, encode: Callable[[list[bytes]], list[bytes]], known: dict[int, bytes] | None = None, most: int = 0) -> tuple[np.ndarray, np.ndarray]:
+class Remembered:
+    """Up to so many values by key: of two generations the older goes when the newer is full."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.new, self.old = most, {}, {}
+
+    def get(self, key: int) -> object | None:
+        found = self.new.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def put(self, key: int, value: object) -> None:
+        if 2 * len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
+def encode_units(text: np.ndarray, start: np.ndarray, encode: Callable[[list[bytes]], list[bytes]], known: Remembered | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of text, cut into units at `start`, and where each unit's begin. Each distinct unit is encoded
-    once, as 32-bit ids in bytes; `known`, if given, keeps up to `most` of them by a 64-bit hash for later
-    calls."""
+    once, as 32-bit ids in bytes; `known`, if given, keeps them by a 64-bit hash for later calls."""
     end = np.append(start[1:], len(text))
-    up, down = _powers(len(text) + 1)
-    total = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum(_EXACT[text] * up[: len(text)], out=total[1:])
-    one, where, which = np.unique(mix((total[end] - total[start]) * down[start]), return_index=True, return_inverse=True)
-    raw = text.tobytes()
-    if known is None:
-        found = encode([raw[x:y] for x, y in zip(start[where].tolist(), end[where].tolist())])
-        new = []
-    else:
-        found = [known.get(h) for h in one.tolist()]
-        new = [k for k, x in enumerate(found) if x is None]
-    if new:
-        if len(known) + len(new) > most:
-            known.clear()
-        begins, ends = start[where[new]].tolist(), end[where[new]].tolist()
-        for k, ids in zip(new, encode([raw[x:y] for x, y in zip(begins, ends)])):
-            found[k] = ids
-            if len(ids) < 256:
-                known[int(one[k])] = ids
-    count = np.array([len(x) >> 2 for x in found])
+    one, where, which = np.unique(mix(run_hashes(text, start, end, False)), return_index=True, return_inverse=True)
+    raw, keys = text.tobytes(), one.tolist()
+    found = [None] * len(keys) if known is None else [known.get(h) for h in keys]
+    new = [k for k, x in enumerate(found) if x is None]
+    begins, ends = start[where[new]].tolist(), end[where[new]].tolist()
+    for k, ids in zip(new, encode([raw[x:y] for x, y in zip(begins, ends)])):
+        found[k] = ids
+        if known is not None and len(ids) < 256:
+            known.put(keys[k], ids)
+    count = np.array([len(x) >> 2 for x in found], np.int64)
     flat = np.frombuffer(b"".join(found), np.int32)
     begin = np.cumsum(count) - count
     return flat[ragged(begin[which], count[which])], np.concatenate([[0], np.cumsum(count[which])])
 
 
-def suffix_array(symbols: np.ndarray, depth: int = 1 << 60) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+def suffix_array(symbols: np.ndarray, depth: int = 1 << 60, keep: bool = True) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
     """Suffix array by prefix doubling: the order of all suffixes by their first `depth` symbols at
     least, and for k = 1, 2, 4 ... the rank of every suffix by its first k symbols. Only suffixes
-    that are still tied are sorted again."""
+    that are still tied are sorted again. keep: all ranks are returned, else only the last."""
     n = len(symbols)
     order = np.argsort(symbols)
     by = symbols[order]
@@ -181,7 +225,7 @@ def suffix_array(symbols: np.ndarray, depth: int = 1 << 60) -> tuple[np.ndarray,
         new = np.ones(len(tied), bool)
         new[1:] = key[1:] != key[:-1]
         heads, group = np.flatnonzero(new), np.cumsum(new) - 1
-        rank = rank.copy()
+        rank = rank.copy() if keep else rank
         rank[at] = tied[heads][group]
         k *= 2
         levels.append((k, rank))
@@ -216,25 +260,43 @@ def ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(total)
 
 
+#: All folders made here lie below one of this name.
+_TEMPORARY = "_leafmill"
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, as in
-    tests on one machine, a folder below the warehouse is set for the session."""
+    """A new folder below spark.checkpoint.dir, which all executors share. Where that is unset, a session
+    on one machine, as in tests, gets a folder below its warehouse; on a cluster that is an error, as
+    executors don't share a machine's folders."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
-    return f"{folder.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{folder.rstrip('/')}/{_TEMPORARY}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as a table in the shared folder and read again: it cuts lineage and survives the
-    loss of executors."""
+    loss of executors. Nulls, repeated rows and empty tables come back as they are. forget() deletes it."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of stored() tables that nothing reads any more; only folders made here are touched."""
+    for df in tables:
+        for file in df.inputFiles()[:1]:
+            folder = file.rpartition("/")[0].rpartition("/")[0]
+            if f"/{_TEMPORARY}/" in folder:
+                jvm = df.sparkSession._jvm
+                path = jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, lengthened until no column of df has it (case doesn't count)."""
     taken = {c.lower() for c in df.columns}

@@ -7,8 +7,10 @@ score 0. Where two characters stand side by side that no piece holds together,
 nothing merges; there the path has one state, and a unit of text ends. A giant document is cut
 at fixed marks into chunks, whatever stands there: the states at a mark are the
 pieces that may end at or reach over it, a chunk yields the max-plus matrix
-between the states at its two marks, the matrices are combined associatively,
-and each chunk is then traced back by itself between the states found for it.
+between the states at its two marks, and the matrices of FAN_IN neighbours are
+combined associatively, level by level, up to the whole document. Downwards,
+every group hands its members the states at their marks, so that each chunk is
+traced back by itself; no task holds more than FAN_IN matrices of a document.
 
 The table of pieces is that of a public model, which is given by path.
 """
@@ -18,25 +20,28 @@ from __future__ import annotations
 import uuid
 from array import array
 from collections.abc import Iterator
-from functools import cached_property
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from leafmill.llm.common import encode_units, free_name, ragged, slices, stored, utf8
+from leafmill.llm.common import Remembered, encode_units, free_name, ragged, slices, stored, tidy, utf8
 
 #: The model's file; the folder must exist wherever the driver runs, executors get the table from it.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of a chunk; texts of more are encoded chunk by chunk. It must exceed twice the longest piece.
 CHUNK_CHARS = 32768
 #: Text units (mostly words) whose pieces a worker remembers.
-REMEMBERED = 800_000
+REMEMBERED = 300_000
+#: Neighbouring pieces of which a worker remembers whether they may stand side by side.
+PAIRS = 400_000
 #: Bytes of text that are worked on at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
+#: Matrices that are combined at once.
+FAN_IN = 16
 
 _MARK = "▁"
 START, END = -2, -3
@@ -75,11 +80,11 @@ class Pieces:
         #: The piece by its text, and -1 by each other end of a piece.
         self.ends = {t[k:]: -1 for t in self.made for k in range(len(t))} | self.made
         self.begins = {t[:k]: -1 for t in self.made for k in range(1, len(t))} | self.made
-        self.beside: dict[tuple[int, int], bool] = {}
-        self.known: dict[int, bytes] = {}
+        self.beside: dict[int, bool] = {}
+        self.known = Remembered(REMEMBERED)
 
     def __getstate__(self) -> dict[str, object]:
-        return {k: v for k, v in self.__dict__.items() if k != "table"} | {"beside": {}, "known": {}}
+        return {k: v for k, v in self.__dict__.items() if k != "table"} | {"beside": {}, "known": Remembered(REMEMBERED)}
 
     def _split(self, piece: int, text: str) -> None:
         """Remembers the last merge that makes a piece; a piece that merges don't make is never used."""
@@ -98,11 +103,11 @@ class Pieces:
         latest first, and each two parts that were beside the border at a time are looked up."""
         if a < 0 or b < 0:  # a border of a unit, or a character that no piece holds
             return True
-        found = self.beside.get((a, b))
+        found = self.beside.get(a << 32 | b)
         if found is None:
-            if len(self.beside) > 4_000_000:
+            if len(self.beside) >= PAIRS:
                 self.beside.clear()
-            found = self.beside[a, b] = self._allowed(a, b)
+            found = self.beside[a << 32 | b] = self._allowed(a, b)
         return found
 
     def _allowed(self, x: int, y: int) -> bool:
@@ -137,7 +142,7 @@ class Pieces:
                 elif piece is None:
                     break
                 if piece != -1 and at < stop and (before := last.get(at)) is not None:
-                    fits = beside((before[0], piece))
+                    fits = beside(before[0] << 32 | piece) if piece >= 0 else None
                     if self.allowed(before[0], piece) if fits is None else fits:
                         last[p] = (piece, at)
                         break
@@ -173,7 +178,7 @@ class Pieces:
             for piece, k in reversed(fits):
                 if k in dead:
                     continue
-                ok = beside((before, piece))
+                ok = beside(before << 32 | piece) if piece >= 0 else None
                 if self.allowed(before, piece) if ok is None else ok:
                     taken.append((piece, at))
                     at, before = k, piece
@@ -245,7 +250,7 @@ def encode_texts(pieces: Pieces, data: np.ndarray, offsets: np.ndarray) -> tuple
     first[1:] = ~pieces.pairs[text[:-1], text[1:]]
     first[begins[full]] = True
     start = np.flatnonzero(first)
-    ids, upto = encode_units(text, start, pieces.units, pieces.known, REMEMBERED)
+    ids, upto = encode_units(text, start, pieces.units, pieces.known)
     rows = np.searchsorted(start, begins)
     return _joined_spaces(pieces, ids, np.append(upto[rows], upto[-1]))
 
@@ -362,17 +367,6 @@ def combine(a: list[tuple[int, int, int, int]], b: list[tuple[int, int, int, int
     return list(dict.fromkeys((q, x, *o) for q, x, r, y in a for o in by.get((r, y), ())))
 
 
-def path(matrices: list[list[tuple[int, int, int, int]]]) -> list[State]:
-    """The states at all marks, from the first to the end of the text, on the one path of score 0."""
-    reach: list[set[State]] = [{(0, START)}]
-    for m in matrices:
-        reach.append({(r, y) for q, x, r, y in m if (q, x) in reach[-1]})
-    found: list[State] = [(0, START)]
-    for m, before in zip(reversed(matrices), reversed(reach[:-1])):
-        found.append(next((q, x) for q, x, r, y in m if (r, y) == found[-1] and (q, x) in before))
-    return found[::-1]
-
-
 def trace(pieces: Pieces, text: str, lead: int, size: int, into: State, out: State) -> list[int]:
     """The pieces of a chunk between the states at its marks; a piece over a mark belongs to the chunk it begins in."""
     stop, head, tail, _ = _bounds(text, lead, size, pieces)
@@ -394,26 +388,54 @@ def trace(pieces: Pieces, text: str, lead: int, size: int, into: State, out: Sta
 
 def _raw_units(pieces: Pieces, raw: bytes) -> list[int]:
     """The pieces of whole units, each space by itself."""
-    ids: list[int] = []
-    text = raw.decode()
-    at = 0
-    for k in range(1, len(text) + 1):
-        if k == len(text) or _is_cut(text, k, pieces):
-            ids += pieces.unit(text[at:k])
-            at = k
-    return ids
+    data = np.frombuffer(raw, np.uint8)
+    first = np.append(True, ~pieces.pairs[data[:-1], data[1:]])
+    return encode_units(data, np.flatnonzero(first), pieces.units, pieces.known)[0].tolist()
 
 
-_CHUNK = "row string, chunk int, lead int, text string"
-_MATRIX = T.ArrayType(T.StructType([T.StructField(k, T.IntegerType()) for k in ("q", "x", "r", "y")]))
+def down(matrices: list[list[tuple[int, int, int, int]]], into: State, out: State) -> list[State]:
+    """The states at the marks of neighbours, from the one before the first to that after the last, on the
+    one path of score 0 between two states."""
+    reach: list[set[State]] = [{into}]
+    for m in matrices:
+        reach.append({(r, y) for q, x, r, y in m if (q, x) in reach[-1]})
+    found: list[State] = [out]
+    for m, before in zip(reversed(matrices), reversed(reach[:-1])):
+        found.append(next((q, x) for q, x, r, y in m if (r, y) == found[-1] and (q, x) in before))
+    return found[::-1]
 
 
-def _giants(docs: DataFrame, pieces: Pieces, size: int, key: str, text: str) -> DataFrame:
-    """(key, row, text, ids) of the texts of more than one chunk. Chunks are told apart by a row name that is
-    written with them; nothing is collected but a document's matrices in one task, 16 by 16 a chunk at most."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(pieces)
-    kind = docs.schema[key].dataType.simpleString()
+_MATRIX = "array<struct<q:int,x:int,r:int,y:int>>"
+_ENTRY = pa.list_(pa.struct([(k, pa.int32()) for k in "qxry"]))
+
+
+def _matrices(column: pa.ChunkedArray) -> list[list[tuple[int, int, int, int]]]:
+    return [[(e["q"], e["x"], e["r"], e["y"]) for e in m] for m in column.to_pylist()]
+
+
+def _entries(matrices: list[list[tuple[int, int, int, int]]]) -> pa.Array:
+    return pa.array([[dict(zip("qxry", e)) for e in m] for m in matrices], _ENTRY)
+
+
+def _product(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The matrix of the neighbours in a group."""
+    table = table.sort_by("chunk")
+    return pa.table({"row": pa.array([key[0].as_py()]), "chunk": pa.array([key[1].as_py()], pa.int32()), "matrix": _entries([reduce(combine, _matrices(table.column("matrix")))])})
+
+
+def _handed_down(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """The states at both marks of each member of a group, from those of the group."""
+    table = table.sort_by("chunk")
+    q, x, r, y = (table.column(c)[0].as_py() for c in "qxry")
+    found = down(_matrices(table.column("matrix")), (q, x), (r, y))
+    rows = np.array([(*a, *b) for a, b in zip(found, found[1:])], np.int32)
+    return pa.table({"row": table.column("row"), "chunk": table.column("chunk"), **{c: pa.array(rows[:, k]) for k, c in enumerate("qxry")}})
+
+
+def _giants(docs: DataFrame, shared: object, size: int, schema: str) -> DataFrame:
+    """encode() of texts (doc_id, text) of more than one chunk. Chunks are told apart by a row name that is
+    written with them."""
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType.simpleString()
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -424,42 +446,65 @@ def _giants(docs: DataFrame, pieces: Pieces, size: int, key: str, text: str) ->
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         longest = shared.value.longest
         for b in batches:
-            for t, r in zip(b.column(0), b.column(1)):
-                own = " " + t.as_py().replace(_MARK, " ")
-                parts = list(chunks(own, size, longest))
-                for at in range(0, len(parts), 64):
-                    some = parts[at : at + 64]
-                    yield pa.RecordBatch.from_pydict({"row": [r.as_py()] * len(some), "chunk": pa.array([x[0] for x in some], pa.int32()), "lead": pa.array([x[1] for x in some], pa.int32()), "text": [x[2] for x in some]})
-
-    cut = stored(rows.select("text", "row").mapInArrow(split, _CHUNK).repartition("row", "chunk"), "chunks")
-
-    @F.udf(_MATRIX)
-    def matrices(own: str, lead: int) -> list[tuple[int, int, int, int]]:
-        return matrix(shared.value, own, lead, size)
-
-    @F.udf("array<struct<chunk:int,q:int,x:int,r:int,y:int>>")
-    def states_of(all_of: list) -> list[tuple[int, int, int, int, int]]:
-        found = path([[tuple(e) for e in m.matrix] for m in all_of])
-        return [(k, *found[k], *found[k + 1]) for k in range(len(found) - 1)]
-
-    @F.udf("array<int>")
-    def traced(own: str, lead: int, q: int, x: int, r: int, y: int) -> list[int]:
-        return trace(shared.value, own, lead, size, (q, x), (r, y))
-
-    @F.arrow_udf("array<int>")
-    def joined(lists: pa.Array) -> pa.Array:
-        ids, offsets = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-        ids, offsets = _joined_spaces(shared.value, ids.copy(), offsets)
-        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-
-    lines = cut.select("row", F.struct("chunk", matrices("text", "lead").alias("matrix")).alias("m")).groupBy("row").agg(F.sort_array(F.collect_list("m")).alias("all"))
-    found = lines.select("row", F.explode(states_of("all")).alias("s")).select("row", "s.*")
-    parts = cut.join(found, ["row", "chunk"]).select("row", F.struct("chunk", traced("text", "lead", "q", "x", "r", "y").alias("ids")).alias("p"))
-    whole = parts.groupBy("row").agg(F.sort_array(F.collect_list("p")).alias("p")).select("row", F.flatten("p.ids").alias("ids"))
-    return rows.join(whole, "row").select("doc_id", "text", joined("ids").alias("ids"))
-
-
-def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL_PATH, chunk_chars: int = CHUNK_CHARS, giants: bool | None = None) -> DataFrame:
+            for k in range(b.num_rows):
+                t = b.column(1)[k].as_py()
+                own, marked, some = " " + t.replace(_MARK, " "), _MARK in t, []
+                for part in chunks(own, size, longest):
+                    some.append(part)
+                    if len(some) == 16 or part[0] == (len(own) - 1) // size:
+                        same = [pa.repeat(x, len(some)) for x in (b.column(2)[k], pa.scalar(marked))] + [pa.concat_arrays([b.column(0).slice(k, 1)] * len(some))]
+                        yield pa.RecordBatch.from_arrays([same[0], pa.array([x[0] for x in some], pa.int32()), pa.array([x[1] for x in some], pa.int32()), pa.array([x[2] for x in some]), same[1], same[2]], names=["row", "chunk", "lead", "text", "marked", "doc_id"])
+                        some = []
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", AT_ONCE):
+            made = [matrix(shared.value, t, lead, size) for t, lead in zip(b.column(3).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, _entries(made)], names=[*b.schema.names, "matrix"])
+
+    chunk = f"row string, chunk int, lead int, text string, marked boolean, doc_id {kind}"
+    cut = rows.select("doc_id", "text", "row").mapInArrow(split, chunk).repartition("row", "chunk")
+    cut = stored(cut.mapInArrow(lambda b: tidy(scored(b)), f"{chunk}, matrix {_MATRIX}"), "chunks")
+    last = cut.agg(F.max("chunk")).first()[0]
+    if last is None:
+        return spark.createDataFrame([], schema)
+    levels, n = [cut.select("row", "chunk", "matrix")], last + 1
+    group = F.floor(F.col("chunk") / FAN_IN).cast("int")
+    while n > FAN_IN:
+        levels.append(stored(levels[-1].groupBy("row", group.alias("group")).applyInArrow(_product, f"row string, chunk int, matrix {_MATRIX}"), "products"))
+        n = -(-n // FAN_IN)
+    ends = [F.lit(k).cast("int").alias(c) for c, k in zip("qxry", (0, START, 0, START))]
+    found = None
+    for level in reversed(levels):
+        members = level.withColumn("group", group)
+        members = members.select("*", *ends) if found is None else members.join(found.withColumnRenamed("chunk", "group"), ["row", "group"])
+        found = members.groupBy("row", "group").applyInArrow(_handed_down, "row string, chunk int, q int, x int, r int, y int")
+
+    def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces = shared.value
+        data, at = pieces.table
+        for b in slices(batches, "text", AT_ONCE):
+            lists, same = [], []
+            for t, lead, q, x, r, y in zip(*(b.column(b.schema.get_field_index(c)).to_pylist() for c in ("text", "lead", "q", "x", "r", "y"))):
+                ids = np.array(trace(pieces, t, lead, size, (q, x), (r, y)), np.int32)
+                lists.append(ids)
+                same.append(data[ragged(at[ids], at[ids + 1] - at[ids])].tobytes() == t[lead + q : min(len(t), lead + size) + r].encode())
+            upto = np.cumsum([0, *map(len, lists)])
+            ids = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.concatenate(lists)))
+            own = [b.column(b.schema.get_field_index(c)) for c in ("row", "chunk", "marked", "doc_id")]
+            yield pa.RecordBatch.from_arrays([*own, ids, pa.array(same)], names=["row", "chunk", "marked", "doc_id", "ids", "same"])
+
+    def whole(table: pa.Table) -> pa.Table:
+        table = table.sort_by("chunk").combine_chunks()
+        ids = table.column("ids").chunk(0).flatten().to_numpy().copy()
+        ids, upto = _joined_spaces(shared.value, ids, np.array([0, len(ids)]))
+        good = not table.column("marked")[0].as_py() and all(table.column("same").to_pylist())
+        return pa.table([table.column("doc_id").slice(0, 1), pa.array([len(ids)], pa.int32()), pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32())), pa.array([good])], names=["doc_id", "n_tokens", "ids", "round_trip"])
+
+    parts = cut.drop("matrix").join(found, ["row", "chunk"]).mapInArrow(lambda b: tidy(traced(b)), f"row string, chunk int, marked boolean, doc_id {kind}, ids array<int>, same boolean")
+    return parts.groupBy("row").applyInArrow(whole, schema)
+
+
+def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str = MODEL_PATH, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids, round_trip) of every row of docs: the ids that the model gives its text,
     and whether decoding them gives the text again (not so for one that holds U+2581, which reads as a space).
 
@@ -469,7 +514,7 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
     pieces = Pieces(model)
     if chunk_chars <= 2 * pieces.longest:
         raise ValueError(f"chunk_chars must exceed {2 * pieces.longest}")
-    shared = docs.sparkSession.sparkContext.broadcast(pieces)
+    shared = docs.sparkSession.sparkContext.broadcast(pieces)  # the model's table, the same for all corpora
     kind = docs.schema[key].dataType.simpleString()
     out = f"doc_id {kind}, n_tokens int, ids array<int>, round_trip boolean"
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
@@ -487,10 +532,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", model: str
             yield pa.RecordBatch.from_arrays([part.column(0), count, lists, pa.array(same, mask=null)], names=["doc_id", "n_tokens", "ids", "round_trip"])
 
     large = F.length("text") > chunk_chars
-    small = rows.where(~large | F.col("text").isNull()).mapInArrow(run, out)
-    giant = _giants(rows.where(large), pieces, chunk_chars, "doc_id", "text")
-    again = decoded(giant, shared, "ids")
-    return small.unionByName(giant.select("doc_id", F.size("ids").alias("n_tokens"), "ids", (again == F.col("text")).alias("round_trip")))
+    small = rows.where(~large | F.col("text").isNull()).mapInArrow(lambda b: tidy(run(b)), out)
+    return small.unionByName(_giants(rows.where(large), shared, chunk_chars, out))
 
 
 def _same(data: np.ndarray, offsets: np.ndarray, other: np.ndarray, where: np.ndarray) -> np.ndarray:
@@ -507,11 +550,13 @@ def _same(data: np.ndarray, offsets: np.ndarray, other: np.ndarray, where: np.nd
 
 
 def decoded(df: DataFrame, shared: object, ids: str) -> F.Column:
-    """The text of a column of ids; bytes that form no character become U+FFFD."""
+    """The text of a column of ids; bytes that form no character become U+FFFD; null ids and those that
+    the model doesn't have, like its control ids, give nothing."""
 
     @F.arrow_udf("string")
     def text_of(lists: pa.Array) -> pa.Array:
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        flat[(flat < 0) | (flat >= len(shared.value.bytes_of))] = shared.value.unknown
         count = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
         data, where = decode_ids(shared.value, flat, np.concatenate([[0], np.cumsum(count)]).astype(np.int64))
         raw, null = data.tobytes(), np.array(lists.is_null())
@@ -521,7 +566,7 @@ def decoded(df: DataFrame, shared: object, ids: str) -> F.Column:
 
 
 def decode(df: DataFrame, ids: str = "ids", model: str = MODEL_PATH) -> DataFrame:
-    """df with the text of its column of ids; a null list gives null, an empty one an empty text. The
-    new column is `text`, with trailing underscores if df has that name."""
+    """df with the text of its column of ids; a null list gives null, an empty one an empty text, ids that
+    the model doesn't have nothing. Repeated rows are each decoded. The new column is `text`, with trailing underscores if df has that name."""
     shared = df.sparkSession.sparkContext.broadcast(Pieces(model))
     return df.withColumn(free_name(df, "text"), decoded(df, shared, ids))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Words, free_name, mix, neighbour_lcp, slices, suffix_array, utf8
+from leafmill.llm.common import Words, free_name, mix, neighbour_lcp, slices, suffix_array, tidy, utf8
 
 #: Words that a repeated sequence has at least, whatever its occurrences.
 MIN_WORDS = 8
@@ -133,6 +133,10 @@ def _measure(data: np.ndarray, offsets: np.ndarray, least: int) -> dict[str, np.
 
 
 def _run(batches: Iterator[pa.RecordBatch], least: int, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
+    yield from tidy(_measured(batches, least, text, names))
+
+
+def _measured(batches: Iterator[pa.RecordBatch], least: int, text: str, names: list[str]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, text):
         found = _measure(*utf8(part.column(part.schema.get_field_index(text))), least)
         columns = [part.column(i) for i in range(part.num_columns)] + [pa.array(found[c.split()[0]]) for c in _OUT.split(", ")]

@@ -19,12 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import _EXACT, _FOLD, _powers, mix, slices, utf8
+from leafmill.llm.common import mix, run_hashes, slices, tidy, trim, utf8
 
 #: Documents of the sample, and sentences made from it, that the field is trained on; passes over them.
 TRAIN_DOCS = 256
 TRAIN_SENTENCES = 1800
 EPOCHS = 40
+#: Characters of a document from which sentences are made at most.
+TRAIN_CHARS = 65_536
 REDACTED = b"[SECRET]"
 
 OUT, BEGIN, INSIDE = 0, 1, 2
@@ -84,12 +86,8 @@ class Tokens:
         mixed = (lower > 0) * 1 + (upper > 0) * 2 + (digits > 0) * 4
         shape = 40 + ((size * 8 + mixed) * 4 + np.searchsorted([1, 3, 6], flips, "right")) * 2 + (hexes == length)
         self.shape = np.where(sign[s], np.searchsorted(np.flatnonzero(_KIND == 2), data[s]), shape).astype(np.int32)
-        up, down = _powers(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_FOLD[data] * up[:n], out=total[1:])
-        self.hash = mix((total[e] - total[s]) * down[s])
-        np.cumsum(_EXACT[data] * up[:n], out=total[1:])
-        self.head = mix((total[np.minimum(e, s + 4)] - total[s]) * down[s] + np.uint64(1))
+        self.hash = mix(run_hashes(data, s, e))
+        self.head = mix(run_hashes(data, s, np.minimum(e, s + 4), False) + np.uint64(1))
         self.glued = np.zeros(len(s), np.int32)
         self.glued[1:] = (s[1:] == e[:-1]) & (self.text[1:] == self.text[:-1])
         texts = len(offsets) - 1
@@ -405,13 +403,14 @@ def spans_of(data: np.ndarray, offsets: np.ndarray, field: Field) -> tuple[np.nd
 
 
 def sample(docs: DataFrame, text: str, count: int) -> list[str]:
-    """At most `count` whole texts of docs: those of the least hashes, so that neither the order nor
-    the partitions of docs matter. Of the whole table only hashes are sorted."""
+    """At most `count` texts of docs, the first TRAIN_CHARS characters of each: those of the least hashes, so that
+    neither the order nor the partitions of docs matter. Of the whole table only hashes are sorted. Null
+    texts take no part; equal ones count once; an empty table gives none."""
     texts = docs.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("hash")).where("text is not null")
     least = [r[0] for r in texts.select("hash").distinct().orderBy("hash").limit(count).collect()]
     if not least:
         return []
-    found = texts.where(F.col("hash") <= least[-1]).dropDuplicates(["hash"]).collect()
+    found = texts.where(F.col("hash") <= least[-1]).select(F.substring("text", 1, TRAIN_CHARS), "hash").dropDuplicates(["hash"]).collect()
     return [r[0] for r in sorted(found, key=lambda r: r[1])]
 
 
@@ -432,7 +431,7 @@ def scan(docs: DataFrame, field: Field | None = None, key: str = "doc_id", text:
             numbers = [pa.array(x, pa.int64()) for x in (start - offsets[doc], end - offsets[doc], count)]
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), *numbers, pa.array(score, pa.float64())], names=["doc_id", "start_byte", "end_byte", "n_tokens", "score"])
 
-    return docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, start_byte bigint, end_byte bigint, n_tokens bigint, score double")
+    return docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(lambda b: tidy(run(b)), f"doc_id {kind}, start_byte bigint, end_byte bigint, n_tokens bigint, score double")
 
 
 def redact(docs: DataFrame, field: Field | None = None, text: str = "text", train_docs: int = TRAIN_DOCS) -> DataFrame:
@@ -457,6 +456,7 @@ def redact(docs: DataFrame, field: Field | None = None, text: str = "text", trai
                     rows[d] = b"".join([*pieces, raw[at:]]).decode()
                 column = pa.array(rows, pa.string())
             out.append(column.cast(pa.string()))
+        trim()
         return pa.concat_arrays(out) if out else pa.array([], pa.string())
 
     return docs.withColumn(text, clean(F.col(f"`{text}`")))

@@ -359,7 +359,7 @@ def test_chunks_give_the_librarys_pieces(library, table):
         for size in (33, 50):
             parts = list(pieces.chunks(own, size, table.longest))
             matrices = [pieces.matrix(table, x, lead, size) for _, lead, x in parts]
-            marks = pieces.path(matrices)
+            marks = pieces.down(matrices, (0, pieces.START), (0, pieces.START))
             ids = [i for (_, lead, x), a, b in zip(parts, marks, marks[1:]) for i in pieces.trace(table, x, lead, size, a, b)]
             assert pieces._joined_spaces(table, np.array(ids, np.int32), np.array([0, len(ids)]))[0].tolist() == library.encode(t)
             left = matrices[0]
