@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -22,14 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import free_name, slices, stored
+from leafmill.llm.common import forget, free_name, slices, stored, tidy, trim
 
 #: Setting of the session that has the secret key; without it, replacements can be repeated by anyone.
 KEY_SETTING = "spark.leafmill.pii.key"
-#: Rows of documents with changed replacements up to which they are broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 200_000
-#: Rounds of the collision check; each leaves few of what the one before left.
-MOST_ROUNDS = 50
+#: Entities with changed replacements up to which every worker has them all (some 100 bytes each); beyond it the
+#: documents that hold them are joined by a hash of their text.
+WORKER_ENTITIES = 100_000
+#: Attempts after which a form that has no free place is widened, a step for each further so many.
+WIDER = 8
 
 _GIVEN = {
     ("latin", "m"): "Adam Albert Andreas Anton Benjamin Carlos Charles Christian Daniel David Diego Edward Emil Eric Felix Frank Fernando George Gustav Henry Hugo Ivan Jacob James Javier John Jorge Joseph Julian Karl Leon Louis Lukas Marco Martin Michael Miguel Nicolas Oliver Oscar Pablo Patrick Paul Peter Philip Pierre Richard Robert Samuel Simon Stefan Thomas Victor Walter William".split(),
@@ -110,24 +112,21 @@ def _number(text: str, a: int, b: int) -> Entity | None:
 
 
 def _names(text: str) -> Iterator[Entity]:
-    surnames: dict[str, str] = {}
+    surnames: set[str] = set()
 
-    def add(at: int, word: str, gender: str) -> Iterator[Entity]:
+    def add(at: int, word: str) -> Entity:
         known = _GENDER.get(word.lower())
-        if known:
-            yield Entity(at, at + len(word), f"given-{known[1]}", word.lower())
-        else:
-            surnames.setdefault(word, gender)
-            yield Entity(at, at + len(word), "surname", word.lower())
+        if not known:
+            surnames.add(word)
+        return Entity(at, at + len(word), f"given-{known[1]}" if known else "surname", word.lower())
 
     for m in _TITLED.finditer(text):
         if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"):
             continue
-        title = re.match(r"\w+", m[0])[0].lower()
         for g in (1, 2, 3):
             if not m[g] or not (m[g].istitle() or m[g].isupper() and not m[0][:2].isupper()):
                 break
-            yield from add(m.start(g), m[g], _TITLES[title])
+            yield add(m.start(g), m[g])
     for m in _NAMED.finditer(text):
         if m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] in "_-"):
             continue
@@ -135,9 +134,9 @@ def _names(text: str) -> Iterator[Entity]:
         if not m[1].istitle() and len(given) < 2:
             continue
         for g in given:
-            yield from add(m.start() + g.start(), g[0], "")
+            yield add(m.start() + g.start(), g[0])
         if m[1].istitle():
-            yield from add(m.start(1), m[1], _GENDER[given[0][0].lower()][1])
+            yield add(m.start(1), m[1])
     for m in _HAN_TITLED.finditer(text):
         yield Entity(*m.span(1), f"han-{'m' if m[2] == '先生' else 'f'}", m[1])
     for word in surnames:  # later mentions of a person by the surname alone
@@ -174,7 +173,7 @@ class _Stream:
     """Numbers drawn from a keyed hash of what is named."""
 
     def __init__(self, key: bytes, *what: object) -> None:
-        self.key, self.what, self.block, self.data = key[:64], "\0".join(map(str, what)).encode(), 0, b""
+        self.key, self.what, self.block, self.data = key if len(key) <= 64 else hashlib.blake2b(key).digest(), "\0".join(map(str, what)).encode(), 0, b""
 
     def below(self, n: int) -> int:
         if len(self.data) < 4:
@@ -198,8 +197,10 @@ def _letter(c: str, draw: _Stream) -> str:
 
 
 def surrogate(kind: str, canonical: str, attempt: int, key: bytes) -> str:
-    """The canonical form of the replacement; another for each attempt, never the thing itself. Up to
-    MOST_ROUNDS attempts vary the form's free letters and digits; names grow by a syllable."""
+    """The canonical form of the replacement; another for each attempt, never the thing itself.
+    The first attempts vary the form's free letters and digits. A form may have no free place left (there are
+    65,536 addresses 192.168.x.x), so further ones widen it: names grow by syllables, numbers by digits, e-mail
+    addresses by letters, private addresses to 10.x.x.x and then to local IPv6 ones, public to IPv6 ones."""
     for again in range(100):
         new = _surrogate(kind, canonical, attempt, _Stream(key, kind, canonical, attempt, again))
         if new != canonical:
@@ -211,16 +212,22 @@ def _surrogate(kind: str, canonical: str, attempt: int, draw: _Stream) -> str:
     if kind == "email":
         local, _, domain = canonical.partition("@")
         labels = domain.split(".")
+        local += "a" * (attempt // WIDER)
         return "".join(_letter(c, draw) for c in local) + "@" + ".".join(["".join(_letter(c, draw) for c in x) for x in labels[:-1]] + labels[-1:])
     if kind == "ip":
         old = canonical.split(".")
+        private = old[0] in ("10", "127") or old[:2] == ["192", "168"] or old[0] == "172" and 16 <= int(old[1]) < 32
+        if attempt >= 3 * WIDER:
+            return ("fd00" if private else "2001:db8") + "".join(f":{draw.below(65536):x}" for _ in range(7 if private else 6))
+        if private and old[0] != "127" and attempt >= WIDER:
+            old = ["10", "0", "0", "0"]
         keep = 1 if old[0] in ("10", "127") else 2 if old[:2] == ["192", "168"] or old[0] == "172" and 16 <= int(old[1]) < 32 else 0
         new = old[:keep] + [str(draw.below(256)) for _ in old[keep:]]
         if not keep:
             new[0] = draw.pick([str(k) for k in range(1, 224) if k not in (10, 127, 172, 192)])
         return ".".join(new)
     if kind == "card":
-        body = canonical[0] + "".join(str(draw.below(10)) for _ in canonical[2:])
+        body = canonical[0] + "".join(str(draw.below(10)) for _ in canonical[2:] + "0" * (attempt // WIDER))
         return body + next(d for d in "0123456789" if _luhn(body + d) == _luhn(canonical))
     if kind == "phone":
         keep = max(0, len(canonical) - 10)
@@ -232,7 +239,7 @@ def _surrogate(kind: str, canonical: str, attempt: int, draw: _Stream) -> str:
             new[0] = "0"
         elif len(canonical) == 9 and canonical[0] in "6789":
             new[0] = draw.pick("6789")
-        return canonical[:keep] + "".join(new)
+        return canonical[:keep] + "".join(new) + "".join(str(draw.below(10)) for _ in range(attempt // WIDER))
     script = script_of(canonical)
     if kind.startswith("han"):
         return draw.pick(_HAN) + "".join(draw.pick(_HAN_GIVEN[kind[-1]]) for _ in canonical[1:]) + "".join(draw.pick(_HAN_GIVEN[kind[-1]]) for _ in range(attempt // 8))
@@ -249,8 +256,9 @@ def rendered(original: str, kind: str, new: str) -> str:
     if kind == "ip":
         return new
     if kind in ("card", "phone"):
-        digits = iter("".join(c for c in original if c.isdigit())[: sum(c.isdigit() for c in original) - len(new)] + new)
-        return "".join(next(digits) if c.isdigit() else c for c in original)
+        old = "".join(c for c in original if c.isdigit())
+        digits = iter(old[: max(0, len(old) - len(new))] + new)
+        return "".join(next(digits) if c.isdigit() else c for c in original) + "".join(digits)  # a widened one has more
     if kind == "email":
         return "".join(n.upper() if o.isupper() else n for o, n in zip(original, new)) if len(original) == len(new) else new
     return new.upper() if original.isupper() and len(original) > 1 else re.sub(_WORD.replace("['’-](?=[^\\W\\d_])", "['’]"), lambda m: m[0][0].upper() + m[0][1:], new)
@@ -268,24 +276,27 @@ def replace(text: str, key: bytes, attempts: dict[tuple[str, str], int] | None =
 
 def settle(named: DataFrame, key: bytes, make: Callable[[str, str, int, bytes], str] = surrogate) -> DataFrame:
     """(kind, canonical, attempt, surrogate) of all distinct entities in named (kind, canonical), without
-    two of a kind that share a surrogate and without a surrogate that is itself an entity."""
+    two of a kind that share a surrogate and without a surrogate that is itself an entity. Repeated rows
+    count once, rows with a null don't count, no rows give none. Forms widen with the attempts, so rounds
+    come to an end however many entities there are."""
 
     @F.arrow_udf("string")
     def made(kind: pa.Array, canonical: pa.Array, attempt: pa.Array) -> pa.Array:
         return pa.array([make(*x, key) for x in zip(kind.to_pylist(), canonical.to_pylist(), attempt.to_pylist())], pa.string())
 
-    real = stored(named.select("kind", "canonical").distinct(), "entities")
+    real = stored(named.select("kind", "canonical").dropna().distinct(), "entities")
     now = stored(real.withColumn("attempt", F.lit(0)).withColumn("surrogate", made("kind", "canonical", "attempt")), "surrogates")
-    for _ in range(MOST_ROUNDS):
+    while True:
         winners = now.groupBy("kind", "surrogate").agg(F.min(F.struct("attempt", "canonical")).alias("first"), F.count("*").alias("n"))
         losers = now.join(winners.where("n > 1"), ["kind", "surrogate"]).where("canonical <> first.canonical").select("kind", "canonical")
         taken = now.join(real.select("kind", F.col("canonical").alias("surrogate")), ["kind", "surrogate"], "left_semi").select("kind", "canonical")
         clash = stored(losers.unionAll(taken).distinct(), "clashes")
         if clash.isEmpty():
+            forget(clash, real)
             return now
         again = now.join(clash, ["kind", "canonical"], "left_semi").withColumn("attempt", F.col("attempt") + 1).withColumn("surrogate", made("kind", "canonical", "attempt"))
-        now = stored(now.join(clash, ["kind", "canonical"], "left_anti").unionByName(again), "surrogates")
-    raise ValueError(f"surrogates still collide after {MOST_ROUNDS} rounds")
+        before, now = now, stored(now.join(clash, ["kind", "canonical"], "left_anti").unionByName(again), "surrogates")
+        forget(before, clash)
 
 
 def pseudonymize(docs: DataFrame, text: str = "text", key: bytes | None = None, make: Callable[[str, str, int, bytes], str] = surrogate) -> DataFrame:
@@ -294,10 +305,14 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes | None = None,
     A null text stays null with a null n_entities; an empty one stays empty; repeated rows and null
     keys don't matter; a column named n_entities stays and the new one gets a trailing underscore.
     Texts are read twice: for the entities of all documents, which are shuffled by what they name to
-    be told apart, and to be rewritten where they are. Only what a collision changed is joined."""
+    be told apart, and to be rewritten where they are. Workers have the few replacements that a collision
+    changed; only if these exceed WORKER_ENTITIES, the documents that hold them are joined."""
     spark = docs.sparkSession
     if key is None:
-        key = spark.conf.get(KEY_SETTING, "demonstration").encode()
+        key = spark.conf.get(KEY_SETTING, "").encode()
+        if not key:
+            warnings.warn(f"{KEY_SETTING} is not set: a published key is used, with which anyone can repeat the replacements", stacklevel=2)
+            key = b"demonstration"
     count, name = free_name(docs, "n_entities"), free_name(docs, "text_hash")
     special_name = free_name(docs, "changed")
 
@@ -307,19 +322,22 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes | None = None,
             h, k, c = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(k, pa.string()), pa.array(c, pa.string())], names=["h", "kind", "canonical"])
 
-    named = stored(docs.select(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text")).mapInArrow(find, "h bigint, kind string, canonical string"), "named")
-    changed = settle(named, key, make).where("attempt > 0").select("kind", "canonical", "attempt")
-    special = stored(named.join(changed, ["kind", "canonical"]).distinct().groupBy("h").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("changed")), "changed")
-    size = special.count()
+    named = stored(docs.select(F.xxhash64(F.col(f"`{text}`")).alias("h"), F.col(f"`{text}`").alias("text")).mapInArrow(lambda b: tidy(find(b)), "h bigint, kind string, canonical string"), "named")
+    changed = stored(settle(named, key, make).where("attempt > 0").select("kind", "canonical", "attempt"), "changed")
+    few = changed.count() <= WORKER_ENTITIES
+    shared = spark.sparkContext.broadcast({(r.kind, r.canonical): r.attempt for r in changed.collect()} if few else {})
 
     def swap(texts: pa.Array, lists: pa.Array | None) -> pa.Array:
         found, out, counts = all_entities(texts), [], []
         for k, some in enumerate(found):
-            changed = lists[k].as_py() if some and lists is not None else None
-            attempts = {(x["kind"], x["canonical"]): x["attempt"] for x in changed} if changed else None
+            attempts = shared.value
+            if lists is not None and some:
+                attempts = {(x["kind"], x["canonical"]): x["attempt"] for x in lists[k].as_py() or ()}
             out.append(replace(texts[k].as_py(), key, attempts, make, some)[0] if some else texts[k].as_py())
             counts.append(None if some is None else len(some))
-        return pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=["text", "n"])
+        made = pa.StructArray.from_arrays([pa.array(out, pa.string()), pa.array(counts, pa.int32())], names=["text", "n"])
+        trim()
+        return made
 
     def one(texts: pa.Array) -> pa.Array:
         return swap(texts, None)
@@ -327,11 +345,11 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes | None = None,
     def two(texts: pa.Array, lists: pa.Array) -> pa.Array:
         return swap(texts, lists)
 
-    if size:
-        special = special.select(F.col("h").alias(name), F.col("changed").alias(special_name))
-        joined = docs.withColumn(name, F.xxhash64(F.col(f"`{text}`"))).join(F.broadcast(special) if size <= BROADCAST_ROWS else special, name, "left")
-        new = F.arrow_udf(two, "text string, n int")(F.col(f"`{text}`"), F.col(special_name))
-    else:
+    if few:
         joined, new = docs, F.arrow_udf(one, "text string, n int")(F.col(f"`{text}`"))
+    else:
+        special = named.join(changed, ["kind", "canonical"]).distinct().groupBy("h").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias(special_name)).withColumnRenamed("h", name)
+        joined = docs.withColumn(name, F.xxhash64(F.col(f"`{text}`"))).join(special, name, "left")
+        new = F.arrow_udf(two, "text string, n int")(F.col(f"`{text}`"), F.col(special_name))
     made = joined.withColumn(name, new)
     return made.select(*[F.col(f"`{name}`.text").alias(c) if c == text else F.col(f"`{c}`") for c in docs.columns], F.col(f"`{name}`.n").alias(count))
