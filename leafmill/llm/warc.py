@@ -11,7 +11,8 @@ are several passes.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,9 @@ import pyarrow.parquet as pq
 from pyarrow.fs import FileSelector, FileSystem
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from leafmill.llm.common import local_uri, shared_folder
+from leafmill.llm.common import local_uri, shared_folder, tidy
 
 #: Runs that a task merges at once; its memory is BATCH_ROWS index rows of each.
 FAN_IN = 256
@@ -29,7 +31,7 @@ BATCH_ROWS = 2048
 #: Captures that a merging task takes, about.
 RANGE_ROWS = 1_000_000
 #: Sampled keys for each range from which the ranges' borders are chosen. Borders only share out work.
-SAMPLES = 64
+SAMPLES = 256
 #: Bytes of a run's row group, the least that a task reads of it.
 GROUP_BYTES = 4 << 20
 
@@ -57,10 +59,14 @@ def _number(x: Column) -> Column:
 
 def captures(pages: DataFrame, url: str = "url", at: str = "timestamp", key: str = "page_id", body: str = "html") -> DataFrame:
     """(sort_key, urlkey, micros (the timestamp), page_id, url, digest, n_bytes) of every capture; digest and n_bytes
-    are null for a null body. sort_key orders by urlkey, timestamp, page_id and digest, nulls first."""
+    are null for a null body. sort_key orders by urlkey, timestamp, page_id and digest, nulls first. The key
+    keeps its type: whole numbers are ordered as such, all others as text."""
     stamp, own = F.col(f"`{at}`").cast("timestamp"), F.col(f"`{key}`")
-    rows = pages.select(surt(F.col(f"`{url}`")).alias("urlkey"), F.unix_micros(stamp).alias("micros"), own.cast("bigint").alias("page_id"), F.col(f"`{url}`").alias("url"), F.sha1(F.col(f"`{body}`")).alias("digest"), F.octet_length(F.col(f"`{body}`")).cast("bigint").alias("n_bytes"))
-    order = F.concat(F.encode("urlkey", "utf-8"), F.lit(b"\0"), F.encode(F.concat_ws(",", _number(F.col("micros")), _number(F.col("page_id")), F.coalesce("digest", F.lit("")), F.coalesce("url", F.lit(""))), "utf-8"))
+    rows = pages.select(surt(F.col(f"`{url}`")).alias("urlkey"), F.unix_micros(stamp).alias("micros"), own.alias("page_id"), F.col(f"`{url}`").alias("url"), F.sha1(F.col(f"`{body}`")).alias("digest"), F.octet_length(F.col(f"`{body}`")).cast("bigint").alias("n_bytes"))
+    whole = isinstance(pages.schema[key].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    place = _number(F.col("page_id").cast("bigint")) if whole else F.when(F.col("page_id").isNull(), "!").otherwise(F.concat(F.lit("+"), F.col("page_id").cast("string")))
+    tail = F.encode(F.concat_ws("\0", _number(F.col("micros")), place, F.coalesce("digest", F.lit("")), F.coalesce("url", F.lit(""))), "utf-8")
+    order = F.concat(F.encode("urlkey", "utf-8"), F.lit(b"\0"), tail)
     return rows.select(order.alias(KEY), *rows.columns)
 
 
@@ -204,99 +210,118 @@ def _open(folder: str, names: list[str]) -> list[Run]:
     return [Run(fs, f"{where}/{n}") for n in names]
 
 
-def _runs_of(folder: str) -> list[str]:
+def _files(folder: str) -> dict[int, str]:
+    """The files of a folder by the number of the task that wrote them."""
     fs, where = FileSystem.from_uri(local_uri(folder))
-    return sorted(f.base_name for f in fs.get_file_info(FileSelector(where)) if f.base_name.endswith(".parquet") and f.size)
+    found = (f.base_name for f in fs.get_file_info(FileSelector(where)) if f.base_name.endswith(".parquet") and f.size)
+    return {int(re.match(r"part-(\d+)", n)[1]): n for n in found}
 
 
-def _borders(spark: SparkSession, folder: str, names: list[str], range_rows: int) -> list[bytes]:
-    """Keys that cut the captures of runs into ranges of about range_rows."""
-    runs = spark.read.parquet(*[f"{folder}/{n}" for n in names]).select(KEY)
-    count = runs.count()
-    ranges = max(1, -(-count // range_rows))
+def _borders(spark: SparkSession, folder: str, range_rows: int) -> list[bytes]:
+    """Keys that cut the captures of runs into ranges of about range_rows; the driver gets one for each range."""
+    runs = spark.read.parquet(folder).select(KEY)
+    ranges = max(1, -(-runs.count() // range_rows))
     if ranges == 1:
         return []
-    some = runs.where(F.pmod(F.xxhash64(KEY), F.lit(max(1, range_rows // SAMPLES))) == 0).distinct().orderBy(KEY)
-    keys = [bytes(r[0]) for r in some.collect()]
-    return list(dict.fromkeys(keys[k * len(keys) // ranges] for k in range(1, ranges) if keys))
+    some = runs.where(F.pmod(F.xxhash64(KEY), F.lit(max(1, range_rows // SAMPLES))) == 0).distinct()
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = min((min(b.column(0).to_pylist()) for b in batches if b.num_rows), default=None)
+        yield pa.RecordBatch.from_arrays([pa.array([] if found is None else [found], pa.binary())], names=[KEY])
+
+    return sorted(bytes(r[0]) for r in some.repartitionByRange(ranges, KEY).mapInArrow(least, f"{KEY} binary").collect())[1:]
+
+
+class _Runs:
+    """Sorted runs, each cut at the same edges into files: names[run][k] has the keys from edges[k - 1] to edges[k]."""
+
+    def __init__(self, folder: str, names: list[list[str | None]], edges: list[bytes]) -> None:
+        self.folder, self.names, self.edges = folder, names, edges
+
+    def at(self, key: bytes, some: slice = slice(None)) -> tuple[int, list[Run]]:
+        """The cut that a key lies in, and that cut's files."""
+        k = bisect_right(self.edges, key)
+        return k, _open(self.folder, [n[k] for n in self.names[some] if n[k]])
 
 
 def merged(folder: str, spark: SparkSession, schema: str, fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
     """All rows of the runs in a folder (columns as in schema, after sort_key) in order, with `position`
     (0 for the least) and `capture` (1 for the first of its urlkey): partition by partition, row by row."""
-    while len(names := _runs_of(folder)) > fan_in:
-        groups = [names[k : k + fan_in] for k in range(0, len(names), fan_in)]
-        folder, before = f"{shared_folder(spark)}/runs", folder
-
-        def wider(batches: Iterator[pa.RecordBatch], source: str = before, groups: list[list[str]] = groups) -> Iterator[pa.RecordBatch]:
+    runs = _Runs(folder, [[n] for _, n in sorted(_files(folder).items())], [])
+    if not runs.names:
+        return spark.createDataFrame([], f"position bigint, capture bigint, {schema}")
+    borders = _borders(spark, folder, range_rows)
+    while len(runs.names) > fan_in:
+        groups = -(-len(runs.names) // fan_in)
+        # each group's share of the ranges; powers of two, so that a pass cuts where the one before it did
+        step = 1 << max(0, ((len(borders) + 1) // max(1, -(-(len(borders) + 1) // groups))).bit_length() - 1)
+        edges = borders[step - 1 :: step]
+        cuts, folder = len(edges) + 1, f"{shared_folder(spark)}/runs"
+
+        def wider(batches: Iterator[pa.RecordBatch], runs: _Runs = runs, edges: list[bytes] = edges, cuts: int = cuts) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for g in b.column(0).to_pylist():
-                    runs = _open(source, groups[g])
-                    for r in runs:
-                        r.seek(0, 0)
-                    for table, _ in merge(runs, None):
+                for number in b.column(0).to_pylist():
+                    group, k = divmod(number, cuts)
+                    begin = edges[k - 1] if k else b""
+                    _, own = runs.at(begin, slice(group * fan_in, (group + 1) * fan_in))
+                    for r in own:
+                        r.seek(*r.rank(begin)[1:])
+                    for table, _ in merge(own, edges[k] if k < len(edges) else None):
                         yield from table.to_batches()
 
-        spark.range(0, len(groups), 1, len(groups)).mapInArrow(wider, f"{KEY} binary, {schema}").write.option("parquet.block.size", GROUP_BYTES).parquet(folder)
-    if not names:
-        return spark.createDataFrame([], f"position bigint, capture bigint, {schema}")
-    borders = _borders(spark, folder, names, range_rows)
+        spark.range(0, groups * cuts, 1, groups * cuts).mapInArrow(wider, f"{KEY} binary, {schema}").write.option("parquet.block.size", GROUP_BYTES).parquet(folder)
+        files = _files(folder)
+        runs = _Runs(folder, [[files.get(g * cuts + k) for k in range(cuts)] for g in range(groups)], edges)
+    before = [0]
+    if runs.edges:
+        cut = F.pmod(F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).cast("int"), F.lit(len(runs.edges) + 1))
+        count = dict(spark.read.parquet(runs.folder).groupBy(cut.alias("cut")).count().collect())
+        before = np.cumsum([0, *(count.get(k, 0) for k in range(len(runs.edges)))]).tolist()
     ends: list[bytes | None] = [None, *borders, None]
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in b.column(0).to_pylist():
-                yield from _one_range(_open(folder, names), ends[k] or b"", ends[k + 1])
+                yield from _one_range(runs, before, ends[k] or b"", ends[k + 1])
 
-    return spark.range(0, len(borders) + 1, 1, len(borders) + 1).mapInArrow(ranges, f"position bigint, capture bigint, {schema}")
+    return spark.range(0, len(borders) + 1, 1, len(borders) + 1).mapInArrow(lambda b: tidy(ranges(b)), f"position bigint, capture bigint, {schema}")
 
 
-def _one_range(runs: list[Run], begin: bytes, stop: bytes | None) -> Iterator[pa.RecordBatch]:
-    places = [r.rank(begin) for r in runs]
-    position = sum(p[0] for p in places)
-    for r, (_, group, row) in zip(runs, places):
+def _one_range(runs: _Runs, before: list[int], begin: bytes, stop: bytes | None) -> Iterator[pa.RecordBatch]:
+    cut, own = runs.at(begin)
+    places = [r.rank(begin) for r in own]
+    position = before[cut] + sum(p[0] for p in places)
+    for r, (_, group, row) in zip(own, places):
         r.seek(group, row)
     history, first = None, position  # the urlkey that is being read, and the position of its first capture
-    others = None
-    for table, keys in merge(runs, stop):
+    for table, keys in merge(own, stop):
         url = [k[: k.index(b"\0")] for k in keys]
         capture = np.empty(len(url), np.int64)
         for i, u in enumerate(url):
             if u != history:
+                first = position + i
                 if history is None:  # an earlier range may have captures of this URL
-                    others = others or _open_again(runs)
-                    first = sum(r.rank(u + b"\0")[0] for r in others)
-                else:
-                    first = position + i
+                    cut, others = runs.at(u + b"\0")
+                    first = before[cut] + sum(r.rank(u + b"\0")[0] for r in others)
                 history = u
             capture[i] = position + i - first + 1
-        own = table.drop_columns([KEY])
-        columns = [pa.array(np.arange(position, position + len(url))), pa.array(capture), *(own.column(n).combine_chunks() for n in own.column_names)]
-        yield from pa.table(columns, names=["position", "capture", *own.column_names]).to_batches()
+        rows = table.drop_columns([KEY])
+        columns = [pa.array(np.arange(position, position + len(url))), pa.array(capture), *(rows.column(n).combine_chunks() for n in rows.column_names)]
+        yield from pa.table(columns, names=["position", "capture", *rows.column_names]).to_batches()
         position += len(url)
 
 
-def _open_again(runs: list[Run]) -> list[Run]:
-    """The same files, without moving where runs are read."""
-    out = []
-    for r in runs:
-        other = Run.__new__(Run)
-        other.file, other.sizes, other._heads = r.file, r.sizes, {}
-        out.append(other)
-    return out
-
-
-_SCHEMA = "urlkey string, micros bigint, page_id bigint, url string, digest string, n_bytes bigint"
+_SCHEMA = "urlkey string, micros bigint, page_id {key}, url string, digest string, n_bytes bigint"
 
 
 def capture_index(pages: DataFrame, url: str = "url", at: str = "timestamp", key: str = "page_id", body: str = "html", fan_in: int = FAN_IN, range_rows: int = RANGE_ROWS) -> DataFrame:
     """Every capture in the order of urlkey, timestamp, page_id and digest: position, capture (its
     number in its URL's history), urlkey, timestamp, page_id, url, digest and n_bytes.
 
-    Null keys and times come first; a null or empty URL has the empty urlkey; repeated rows stay side by
+    Keys keep their type. Null keys and times come first; a null or empty URL has the empty urlkey; repeated rows stay side by
     side; a null body has a null digest; other columns don't matter. Runs lie in the shared folder."""
     spark = pages.sparkSession
     folder = f"{shared_folder(spark)}/runs"
     captures(pages, url, at, key, body).sortWithinPartitions(KEY).write.option("parquet.block.size", GROUP_BYTES).parquet(folder)
-    found = merged(folder, spark, _SCHEMA, fan_in, range_rows)
+    found = merged(folder, spark, _SCHEMA.format(key=pages.schema[key].dataType.simpleString()), fan_in, range_rows)
     return found.select("position", "capture", "urlkey", F.timestamp_micros("micros").alias("timestamp"), "page_id", "url", "digest", "n_bytes")
