@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import Words, slices, utf8
+from leafmill.llm.common import Words, slices, tidy, utf8
 
 #: Labelled documents, the least by a hash of their key, that the chain is fitted on; the sample is bounded by it.
 TRAIN_DOCS = 8_000
@@ -28,7 +28,11 @@ THRESHOLD = 0.3
 PREFIX_BYTES = 6
 #: Features need a difference between the rates of a category's documents and of others by so many standard errors, and so many documents.
 LEAST_Z, LEAST_DOCS = 5.0, 3
-#: Categories that the labels don't have are told by words, within documents that are labelled toxic.
+#: Features of a document that fitting uses at most (those of the least hashes); scoring uses all.
+TRAIN_FEATURES = 20_000
+#: Columns of the labels that are links of the chain before the last, if the labels have them.
+EARLIER = ("quality",)
+#: Categories that the labels don't have are derived from words, within documents that are labelled toxic.
 LEXICON = {
     "insult": "idiot moron clown loser scum fool imbecile stupid dumb jerk".split(),
     "contempt": "worthless pathetic disgusting trash garbage useless filth vile".split(),
@@ -138,22 +142,29 @@ def fit(row: np.ndarray, found: np.ndarray, labels: np.ndarray, names: Sequence[
     return Chain(list(names), every[keep], weights, links, bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lexicon: dict[str, list[str]] = LEXICON, most: int = TRAIN_DOCS) -> Chain:
-    """A chain over the categories of `lexicon` and, last, `label`, fitted on at most `most` labelled
-    documents. Null labels, keys and texts are left out; of several labels or texts of a key all count."""
-    names = [*lexicon, label]
-    chosen = labels.select(F.col(f"`{key}`").alias("k"), F.col(f"`{label}`").cast("int").alias("y")).where("k is not null and y is not null").orderBy(F.xxhash64("k"), "k", "y").limit(most)
+def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", lexicon: dict[str, list[str]] = LEXICON, most: int = TRAIN_DOCS, earlier: Sequence[str] = EARLIER) -> Chain:
+    """A chain over the labels' columns `earlier`, the categories of `lexicon` (which are derived from words, not
+    labelled) and, last, `label`, fitted on at most `most` labelled documents. Null labels, keys and texts are
+    left out, a null in an earlier column counts as 0; of several labels or texts of a key all count. Without
+    labels every probability is small."""
+    earlier = [c for c in earlier if c in labels.columns and c != label]
+    names = [*earlier, *lexicon, label]
+    bits = [F.coalesce(F.col(f"`{c}`").cast("int") > 0, F.lit(False)).cast("int") * 2 ** (k + 1) for k, c in enumerate(earlier)]
+    mark = sum(bits, F.when(F.col(f"`{label}`").isNotNull(), (F.col(f"`{label}`").cast("int") > 0).cast("int")))
+    chosen = labels.select(F.col(f"`{key}`").alias("k"), mark.alias("y")).where("k is not null and y is not null").orderBy(F.xxhash64("k"), "k", "y").limit(most)
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             row, hashes = features(*utf8(part.column(1)))
+            fits = np.arange(len(row)) - np.searchsorted(row, row) < TRAIN_FEATURES
+            row, hashes = row[fits], hashes[fits]
             offsets = np.searchsorted(row, np.arange(part.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(hashes.view(np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), lists], names=["h", "y", "found"])
 
     # the labels are bounded by `most`, so they may be broadcast
     rows = docs.select(F.col(f"`{key}`").alias("k"), F.col(f"`{text}`").alias("text")).where("text is not null").join(F.broadcast(chosen), "k").select(F.xxhash64("k", "text").alias("h"), "text", "y")
-    got = rows.mapInArrow(found, "h bigint, y int, found array<bigint>").toArrow().combine_chunks()
+    got = rows.mapInArrow(lambda b: tidy(found(b)), "h bigint, y int, found array<bigint>").toArrow().combine_chunks()
     if not got.num_rows:
         return Chain(names, np.zeros(0, np.uint64), np.zeros((0, len(names))), np.zeros((len(names),) * 2), np.full(len(names), -5.0))
     got = got.sort_by([("h", "ascending"), ("y", "ascending")]).combine_chunks()
@@ -161,10 +172,13 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     size = lists.value_lengths().to_numpy()
     hashes = lists.flatten().to_numpy().view(np.uint64)
     row = np.repeat(np.arange(len(size)), size)
-    toxic = got.column("y").to_numpy() > 0
+    marks = got.column("y").to_numpy()
+    toxic = marks & 1 > 0
     y = np.zeros((len(size), len(names)), bool)
     y[:, -1] = toxic
-    for j, words in enumerate(lexicon.values()):
+    for j in range(len(earlier)):
+        y[:, j] = marks & 2 ** (j + 1) > 0
+    for j, words in enumerate(lexicon.values(), len(earlier)):
         hit = np.isin(hashes, np.array([word_hash(w) for w in words], np.uint64))
         y[np.unique(row[hit]), j] = True
         y[:, j] &= toxic
@@ -184,7 +198,7 @@ def score(docs: DataFrame, chain: Chain, key: str = "doc_id", text: str = "text"
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x) for x in p.T)], names=["doc_id", *columns])
 
     out = ", ".join([f"doc_id {kind}", *(f"`{c}` double" for c in columns)])
-    return docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, out)
+    return docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(lambda b: tidy(run(b)), out)
 
 
 def toxic(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", threshold: float = THRESHOLD) -> DataFrame:
