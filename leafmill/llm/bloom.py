@@ -117,7 +117,7 @@ def _shard_of(a: Column, shards: int) -> Column:
 def build(universe: DataFrame, key: str, listed: Column, shard_keys: int = SHARD_KEYS, rates: tuple[float, float] = RATES) -> tuple[str, int, int]:
     """Writes the cascades that tell the keys of the rows of universe for which `listed` holds from all
     others; a key is listed if any of its rows is. Returns their folder, the shards and their bytes.
-    Null keys take no part."""
+    Null keys take no part, repeated ones count once, an empty universe has no cascades."""
     path = f"{shared_folder(universe.sparkSession)}/cascades"
     keys = universe.select(F.col(f"`{key}`").alias("key"), F.coalesce(listed, F.lit(False)).alias("listed")).where("key is not null").select(*_hashes(F.col("key")), "listed")
     keys = keys.groupBy("a", "b").agg(F.max("listed").alias("listed"))
@@ -140,11 +140,14 @@ def _load(path: str, shard: int | None) -> dict[int, Cascade]:
     if (shard in have) if shard is not None else (-1 in have):
         return have
     fs, where = FileSystem.from_uri(local_uri(path))
-    found = ds.dataset(where, filesystem=fs, format="parquet", partitioning=ds.partitioning(pa.schema([("shard", pa.int32())]), flavor="hive"))
-    table = found.to_table(filter=None if shard is None else ds.field("shard") == shard)
     by: dict[int, list[dict]] = {}
-    for row in table.to_pylist():
-        by.setdefault(row["shard"], []).append(row)
+    if shard is not None:  # only the folder of this shard is listed
+        where = f"{where}/shard={shard}"
+        by = {shard: ds.dataset(where, filesystem=fs, format="parquet").to_table().to_pylist()} if fs.get_file_info(where).type else {}
+    else:
+        found = ds.dataset(where, filesystem=fs, format="parquet", partitioning=ds.partitioning(pa.schema([("shard", pa.int32())]), flavor="hive"))
+        for row in found.to_table().to_pylist():
+            by.setdefault(row["shard"], []).append(row)
     made: dict[int, Cascade] = {}
     for s, rows in by.items():
         rows.sort(key=lambda r: r["level"])

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.common import SLICE_BYTES, encode_units, local_uri, shared_folder, slices, utf8
+from leafmill.llm.common import SLICE_BYTES, encode_units, local_uri, shared_folder, slices, tidy, utf8
 
 #: The vocabulary's file: a line for each token, its bytes in base64 and its id. It must exist on every executor.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -55,7 +55,10 @@ class FrameWriter:
         self.compressor = zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
 
     def frame(self, data: bytes) -> tuple[int, int, int, int]:
-        """Writes a frame; returns its number, offset, compressed size and checksum."""
+        """Writes a frame; returns its number, offset, compressed size and checksum. The seek table has 32
+        bits for a size, so content of 4 GiB and more is refused."""
+        if len(data) >= 1 << 32:
+            raise ValueError("a frame holds less than 4 GiB")
         packed = self.compressor.compress(data)
         check = xxhash.xxh64_intdigest(data) & 0xFFFFFFFF
         self.out.write(packed)
@@ -205,12 +208,14 @@ def write(docs: DataFrame, folder: str | None = None, key: str = "doc_id", text:
     the frame) and n_tokens of every row of docs.
 
     A null text has a null n_tokens and an empty one 0, both without a frame; null keys are carried;
-    repeated rows are each written; other columns don't matter. There is no shuffle."""
+    repeated rows are each written; other columns don't matter; an empty table gives an empty index. Spark's
+    texts have less than 2 GiB, whose ids fit a frame if they are of two bytes; with a larger vocabulary a
+    text of 2**30 ids or more is an error. There is no shuffle."""
     folder = folder or f"{shared_folder(docs.sparkSession)}/tokens"
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _shard(batches, f"{folder}/shards", vocabulary, pattern, frame_bytes)
+        return tidy(_shard(batches, f"{folder}/shards", vocabulary, pattern, frame_bytes))
 
     docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"doc_id {kind}, {_OUT}").write.parquet(f"{folder}/index")
     return folder, docs.sparkSession.read.schema(f"doc_id {kind}, {_OUT}").parquet(f"{folder}/index")
@@ -236,7 +241,8 @@ def read(folder: str, rows: Iterable[dict], vocabulary: str = VOCABULARY, patter
 
 def read_back(folder: str, index: DataFrame, vocabulary: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(doc_id, ids, text) of the index's rows (all, or those that a filter leaves), read from their
-    frames alone, shard by shard."""
+    frames alone, shard by shard. A null text comes back as null ids and text, an empty one empty; null keys
+    and repeated rows come back as they are."""
     kind = index.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
