@@ -286,15 +286,18 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that shared_folder() named, with all in it; no other is touched."""
+    if f"/{_TEMPORARY}/" in path:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(*tables: DataFrame) -> None:
-    """Deletes the files of stored() tables that nothing reads any more; only folders made here are touched."""
+    """Deletes the files of stored() tables that nothing reads any more."""
     for df in tables:
         for file in df.inputFiles()[:1]:
-            folder = file.rpartition("/")[0].rpartition("/")[0]
-            if f"/{_TEMPORARY}/" in folder:
-                jvm = df.sparkSession._jvm
-                path = jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+            discard(df.sparkSession, file.rpartition("/")[0].rpartition("/")[0])
 
 
 def free_name(df: DataFrame, name: str) -> str:

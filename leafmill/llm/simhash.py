@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import SLICE_BYTES, Words, forget, free_name, local_uri, mix, ragged, shared_folder, stored, tidy, trim, utf8
+from leafmill.llm.common import SLICE_BYTES, Words, discard, forget, free_name, local_uri, mix, ragged, shared_folder, stored, tidy, trim, utf8
 
 #: Differing bits, of 128, up to which two documents are near duplicates.
 MAX_BITS = 18
@@ -338,14 +338,15 @@ def _join_unit(folder: str, blocks: int, unit: dict[str, int], all_pairs: bool)
             yield pa.RecordBatch.from_arrays([pa.array(map(min, a, b), pa.binary()), pa.array(map(max, a, b), pa.binary())], names=["a", "b"])
 
 
-def near_fingerprints(leaves: DataFrame, count: int, all_pairs: bool = False, task_leaves: int = TASK_LEAVES, blocks: int | None = None) -> DataFrame:
+def near_fingerprints(leaves: DataFrame, count: int, all_pairs: bool = False, task_leaves: int = TASK_LEAVES, blocks: int | None = None, made: list[str] | None = None) -> DataFrame:
     """Pairs (a, b), a < b, of the distinct fingerprints in leaves.fp that are within MAX_BITS; by
     default only those of a spanning forest of each unit of work, which leave the same groups. The
     forest makes the result of a group of any size no larger than the group. Null fingerprints don't
     take part; no leaves give no pairs.
 
     Every leaf is written once for each block, below the subtree that it is in; the driver gets the
-    subtrees' sizes, at most 2**MOST_BITS of a block. A unit reads two subtrees, or parts of them."""
+    subtrees' sizes, at most 2**MOST_BITS of a block. A unit reads two subtrees, or parts of them. made, if given, gets
+    the folder that the result is read from."""
     spark = leaves.sparkSession
     leaves = leaves.select("fp").where("fp is not null")
     blocks = blocks or plan(count)
@@ -379,6 +380,8 @@ def near_fingerprints(leaves: DataFrame, count: int, all_pairs: bool = False, ta
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(node), k), pa.int32()), pa.array(node, pa.int32()), pa.array(part, pa.int32())], names=["fp", "block", "node", "part"])
 
     folder = f"{shared_folder(spark)}/subtrees"
+    if made is not None:
+        made.append(folder.rpartition("/")[0])
     placed = leaves.mapInArrow(place, "fp binary, block int, node int, part int")
     placed.repartition("block", "node", "part").write.partitionBy("block", "node", "part").parquet(folder)
 
@@ -416,11 +419,13 @@ def _spread(nodes: np.ndarray, top: int) -> np.ndarray:
     return out
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, made: list[str] | None = None) -> DataFrame:
     """(node, root) of every node in edges (a, b): root is the least node that it is connected with.
     Alternating stars; each round is written to the shared folder, and the one before it deleted. Edges
     with a null end or from a node to itself, and repeated ones, don't count; no edges give no rows."""
     edges = stored(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    for folder in made or ():  # what the edges came from
+        discard(edges.sparkSession, folder)
     before = None
     while True:
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -461,7 +466,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     every = stored(docs.sparkSession.createDataFrame([], schema).unionAll(rows), "prints")
     rows = every.where("fp is not null")
     leaves = stored(rows.select("fp").distinct(), "leaves")
-    labels = components(near_fingerprints(leaves, leaves.count()))
+    made: list[str] = []
+    labels = components(near_fingerprints(leaves, leaves.count(), made=made), made)
+    forget(leaves)
     member = rows.join(labels, rows.fp == labels.node, "left").select("doc_id", "row", F.coalesce("root", "fp").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row"))).alias("kept")
     heads = member.groupBy("root").agg(F.count("*").alias("group_size"), first).where("group_size > 1")
