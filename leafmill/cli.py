@@ -8,7 +8,7 @@ import sys
 from pyspark.sql import SparkSession
 
 from leafmill.operators import render
-from leafmill.sources.reader import read_files
+from leafmill.sources.reader import gathered_files
 
 _TO = {"markdown": render.to_markdown, "json": render.to_json, "text": render.to_plain_text}
 
@@ -25,7 +25,7 @@ def main(args: list[str] | None = None) -> int:
             p.add_argument("--to", choices=_TO, default="markdown")
     a = parser.parse_args(args)
     spark = SparkSession.builder.appName("leafmill").getOrCreate()
-    elements = read_files(spark, a.source)
+    elements = gathered_files(spark, a.source)
     if a.command == "batch":
         done = _TO[a.to](elements)
         done.write.mode("overwrite").partitionBy("format").parquet(a.out)

@@ -119,8 +119,15 @@ def jaccard(a: Column, b: Column, both_empty: float = 1.0) -> Column:
     return F.when(every == 0, F.lit(both_empty)).otherwise(F.size(F.array_intersect(a, b)) / every)
 
 
-_LATEX = {"alpha": r"\\alpha", "beta": r"\\beta", "gamma": r"\\gamma", "theta": r"\\theta", "lambda": r"\\lambda", "pi": r"\\pi", "sigma": r"\\sigma", "omega": r"\\omega", "times": r"\\times", "leq": r"\\leq", "geq": r"\\geq", "neq": r"\\neq", "inf": r"\\infty", "sum": r"\\sum", "int": r"\\int", "sin": r"\\sin", "cos": r"\\cos", "log": r"\\log"}
-LATEX_STEPS = [(rf"(?<![\\a-zA-Z]){k}(?![a-zA-Z])", v) for k, v in _LATEX.items()] + [(r"(?<![\\a-zA-Z])sqrt\s*\{", r"\\sqrt{"), (r"\{([^{}]*)\}\s*over\s*\{([^{}]*)\}", r"\\frac{$1}{$2}"), (r"(\S+)\s+over\s+(\S+)", r"\\frac{$1}{$2}")]
+_GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega".split()
+_FUNCTIONS = "sum int prod lim sin cos tan log ln exp".split()
+_WORDS = {"times": "times", "pm": "pm", "inf": "infty", "cdot": "cdot", "approx": "approx", "leq": "leq", "geq": "geq", "neq": "neq"}
+#: Names become commands: letters of the Greek alphabet in both cases, functions, operators; then signs, roots and fractions.
+LATEX_STEPS = [
+    (rf"(?<![\\a-zA-Z])({'|'.join([*_GREEK, *(g.title() for g in _GREEK), *_FUNCTIONS])})(?![a-zA-Z])", r"\\$1"), *((rf"(?<![\\a-zA-Z]){k}(?![a-zA-Z])", rf"\\{v}") for k, v in _WORDS.items()),
+    ("<=", r"\\leq "), (">=", r"\\geq "), ("!=", r"\\neq "), (r"(?<![\\a-zA-Z])sqrt\s*\{([^}]*)\}", r"\\sqrt{$1}"), (r"(?<![\\a-zA-Z])sqrt\s+(\w+)", r"\\sqrt{$1}"),
+    (r"\{([^{}]*)\}\s*over\s*\{([^{}]*)\}", r"\\frac{$1}{$2}"), (r"(\S+)\s+over\s+(\S+)", r"\\frac{$1}{$2}"),
+]
 
 
 def latex(script: Column | str) -> Column:

@@ -5,14 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.functions.text import latex
 from leafmill.operators.structure import pipe_table
 
 _NAMELESS = r"(?i)^\s*(sheet|hoja)\s*[0-9]*\s*$"
 
 
 def _ordered(elements: DataFrame) -> DataFrame:
-    """(path, format, items, error): a document's elements in order, gathered in one row."""
-    item = F.struct("element", "section", "name", "kind", "level", "text", "rows")
+    """(path, format, items, error): a document's elements in order, in one row. gathered_files() gives such rows as they
+    are read; only elements that are rows by themselves must come together by path, which shuffles them."""
+    if "items" in elements.columns:
+        return elements
+    item = F.struct("element", "section", "name", "kind", "level", "text", "rows", "spans", "runs", "part")
     return elements.groupBy("path").agg(F.first("format", ignorenulls=True).alias("format"), F.sort_array(F.collect_list(F.when(F.col("element").isNotNull(), item))).alias("items"), F.first("error", ignorenulls=True).alias("error"))
 
 
@@ -28,6 +32,8 @@ def _markdown(e: Column) -> Column:
     return (
         F.when(e["rows"].isNotNull(), pipe_table(F.transform(e["rows"], lambda r: F.transform(r, lambda c: F.regexp_replace(c, "\r?\n", " ")))))
         .when(e["kind"] == "heading", F.concat(F.repeat(F.lit("#"), F.greatest(F.least(e["level"], F.lit(6)), F.lit(1))), F.lit(" "), e["text"]))
+        .when(e["kind"] == "equation", F.concat(F.lit("$$ "), latex(e["text"]), F.lit(" $$")))
+        .when(e["kind"] == "image", F.when(e["text"] != "", e["text"]).otherwise(F.concat(F.lit("![image]("), e["name"], F.lit(")"))))
         .when(e["kind"].isin("header", "footer"), F.concat(F.lit("<!-- "), e["kind"], F.lit(": "), e["text"], F.lit(" -->")))
         .when(e["kind"] == "note", F.concat(F.lit("[^"), e["name"], F.lit("]: "), e["text"])).when(e["kind"] == "comment", F.concat(F.lit("[comment: "), e["text"], F.lit("]"))).otherwise(e["text"])
     )
@@ -46,10 +52,12 @@ def to_plain_text(elements: DataFrame) -> DataFrame:
 
 
 def to_json(elements: DataFrame) -> DataFrame:
-    """(path, format, json, error): metadata and elements."""
+    """(path, format, json, error): metadata, elements with their runs, spans and parts, and the pictures and files that they name."""
     count = lambda *k: F.size(F.filter("items", lambda e: e["kind"].isin(*k)))
     meta = F.struct(F.col("format").alias("source_format"), count("paragraph").alias("paragraphs"), count("heading").alias("headings"), count("table").alias("tables"), F.col("error"))
-    return _ordered(elements).select("path", "format", F.to_json(F.struct(meta.alias("metadata"), F.col("items").alias("elements"))).alias("json"), "error")
+    shown = F.filter("items", lambda e: e["kind"] == "image")
+    assets = F.transform(shown, lambda e: F.struct(e["name"].alias("filename"), e["part"].alias("source_path"), e["section"].alias("section")))
+    return _ordered(elements).select("path", "format", F.to_json(F.struct(meta.alias("metadata"), F.col("items").alias("elements"), assets.alias("assets"))).alias("json"), "error")
 
 
 def batch_summary(rendered: DataFrame) -> DataFrame:

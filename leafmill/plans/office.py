@@ -303,6 +303,11 @@ ORACLE_SQL = {
     "ppt_elements": _SLIDES.format(text="trim(text)"),
     "xlsx_cells": _CELLS,
     "xls_cells": _CELLS,
+    "page_blocks": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '\s+', ' ', 'g'), '<head>.*?</head>', '', 'g'), '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages),
+        b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<h1[^>]*>', chr(10) || chr(1), 'g'), '<li[^>]*>', chr(10) || chr(2), 'g'), '</?(h1|p|div|li|br|article|nav|footer|ul|body|section|header|ol|table|main|aside)( [^>]*)?/?>', chr(10), 'g'), '<[a-zA-Z/][^>]*>', '', 'g') AS h FROM a),
+        c AS (SELECT page_id, unnest(string_split(h, chr(10))) AS x, generate_subscripts(string_split(h, chr(10)), 1) AS k FROM b),
+        d AS (SELECT page_id, k, ascii(x) AS mark, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(ltrim(x, chr(1) || chr(2)), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), ' +', ' ', 'g'), ' ([,.;:!?])', '\1', 'g')) AS text FROM c)
+        SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY k) - 1 AS element, CASE WHEN mark = 1 THEN 'heading' ELSE 'paragraph' END AS kind, (mark = 1)::BIGINT AS level, CASE WHEN mark = 2 THEN '- ' ELSE '' END || text AS text FROM d WHERE text <> ''""",
     "page_links": """WITH h AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<(script|style|head)[^>]*>.*?</(script|style|head)>', '', 'g'), '<a href="([^"]*)"', 1)) AS href FROM pages)
         SELECT replace(replace(replace(href, '&amp;', '&'), '&quot;', '"'), '&lt;', '<') AS href, count(*) AS n, count(DISTINCT page_id) AS pages FROM h GROUP BY 1""",
 }

@@ -6,6 +6,7 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
@@ -83,6 +84,33 @@ def parse_files(files: DataFrame, path: str = "path", content: str = "content",
     return files.select(path, content).mapInArrow(run, ELEMENTS)
 
 
+_ITEM = "struct<element:int,section:int,name:string,kind:string,level:int,text:string,rows:array<array<string>>,spans:array<struct<r:int,c:int,row_span:int,col_span:int>>,runs:array<struct<text:string,marks:string,size:double>>,part:string>"
+GATHERED = f"path string, format string, items array<{_ITEM}>, error string"
+
+
+def gather_files(files: DataFrame, path: str = "path", content: str = "content", fail: bool = False) -> DataFrame:
+    """(path, format, items, error): a row for each file with its elements in order, from the task that reads it. Nothing is
+    shuffled; what render makes of it stays in that task."""
+    names = [f.name for f in _ARROW if f.name not in ("path", "format", "error")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for p, c in zip(b.column(0), b.column(1)):
+                made = _batch(list(rows_of(p.as_py(), c.as_py(), fail)))
+                good = made.filter(pa.compute.is_valid(made.column("element")))
+                items = pa.StructArray.from_arrays([good.column(n) for n in names], names=names)
+                error = made.column("error")[-1] if made.num_rows else pa.scalar(None, pa.string())
+                kind = made.column("format")[0].as_py() if made.num_rows else elements(p.as_py() or "", c.as_py())[0]
+                yield pa.RecordBatch.from_arrays([pa.array([p.as_py()], pa.string()), pa.array([kind], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items), pa.array([error.as_py()], pa.string())], names=["path", "format", "items", "error"])
+
+    return files.select(path, content).mapInArrow(run, GATHERED)
+
+
+def gathered_files(spark: SparkSession, folder: str, pattern: str = "*", fail: bool = False) -> DataFrame:
+    """gather_files() of all files below a folder."""
+    return gather_files(_binary(spark, folder, pattern), fail=fail)
+
+
 ASSETS = "path string, part string, filename string, content_type string, length bigint"
 _TYPES = {"png": "image/png", "jpg": "image/jpeg", "jpeg": "image/jpeg", "gif": "image/gif", "bmp": "image/bmp", "tif": "image/tiff", "tiff": "image/tiff", "svg": "image/svg+xml", "wmf": "image/x-wmf", "emf": "image/x-emf", "docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "xlsx": "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "pptx": "application/vnd.openxmlformats-officedocument.presentationml.presentation", "bin": "application/vnd.openxmlformats-officedocument.oleObject"}
 
@@ -112,10 +140,13 @@ def parse_assets(files: DataFrame, path: str = "path", content: str = "content")
     return files.select(path, content).mapInArrow(run, ASSETS)
 
 
+def _binary(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+
+
 def read_files(spark: SparkSession, folder: str, pattern: str = "*", fail: bool = False) -> DataFrame:
     """The elements of all files below a folder, on any file system that Spark reads."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return parse_files(files, fail=fail)
+    return parse_files(_binary(spark, folder, pattern), fail=fail)
 
 
 class OfficeSource(DataSource):
