@@ -58,12 +58,13 @@ def is_key_value(line: Column) -> Column:
 LIST_MARKERS = [
     (r"^\s*[□☐]\s*", "- [ ] "),
     (r"^\s*[☑☒✓✔]\s*", "- [x] "),
-    (r"^\s*\[[xX]\]\s+", "- [x] "),
-    (r"^\s*\[ \]\s+", "- [ ] "),
-    (r"^\s*[•·▪◦●○■‣∙]\s*", "- "),
-    (r"^\s*\(([0-9]{1,3})\)\s+", "$1. "),
-    (r"^\s*([0-9]{1,3})\s?[).:]\s+", "$1. "),
-    (r"^\s*(?:[a-zA-Z]|[ivxIVX]{1,5})[.)]\s+", "- "),
+    (r"^\s*\[\s*[xX✓✔]\s*\]\s*", "- [x] "),
+    (r"^\s*\[\s*\]\s*", "- [ ] "),
+    (r"^\s*[•·▪◦●○■‣∙・]\s*", "- "),
+    (r"^\s*\(([0-9]{1,3})\)\s*", "$1. "),
+    (r"^\s*([0-9]{1,3})\s*[):]\s*", "$1. "),
+    (r"^\s*([0-9]{1,3})\.\s+", "$1. "),
+    (r"^\s*(?:[a-zA-Z]|[ivxlcdmIVXLCDM]{2,8})[.)]\s+", "- "),
     (r"^\s*[①-⑩]\s*", "- "),
 ]
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.plans.structure import _MARKED
 from leafmill.sources import writers
 from leafmill.sources.reader import parse_assets, parse_files
 from leafmill.sources.web import read_html
@@ -275,6 +276,10 @@ _CELLS = r"""WITH c AS (SELECT c_nationkey::BIGINT AS nation, row_number() OVER
     d AS (SELECT *, CASE WHEN c_acctbal < 0 THEN '-' ELSE '' END || regexp_replace(reverse(regexp_replace(reverse((u // 100)::VARCHAR), '([0-9]{3})', '\1,', 'g')), '^,', '') || '.' || lpad((u % 100)::VARCHAR, 2, '0') AS money FROM c)
     SELECT nation, 'customers' AS sheet, r, c, text FROM (SELECT nation, r, unnest([0, 1, 2])::BIGINT AS c, unnest([c_custkey::VARCHAR, c_name, money]) AS text FROM d)"""
 
+def _marked(line: str) -> str:
+    return _MARKED.replace("(line,", f"({line},").replace("ELSE line END", f"ELSE {line} END")
+
+
 _ROWS = "k AS (SELECT c_nationkey::BIGINT AS nation, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS r, c_custkey, c_name, c_acctbal FROM customer)"
 _PLAIN_NUMBER = "CASE WHEN c_acctbal = floor(c_acctbal) THEN CAST(c_acctbal AS BIGINT)::VARCHAR ELSE c_acctbal::VARCHAR END"
 _GRID = f"WITH {_ROWS} SELECT nation, r, c, text FROM (SELECT nation, r + 1 AS r, unnest([0, 1, 2])::BIGINT AS c, unnest([c_custkey::VARCHAR, c_name, printf('%.2f', c_acctbal)]) AS text FROM k UNION ALL SELECT DISTINCT nation, 0::BIGINT, unnest([0, 1, 2])::BIGINT, unnest(['customers', '', '']) FROM k)"
@@ -298,9 +303,9 @@ ORACLE_SQL = {
     "docx_elements": _LINES_AS.format(kind="CASE WHEN element = 0 THEN 'heading' ELSE 'paragraph' END", text="text"),
     "hwpx_elements": _LINES_AS.format(kind="'paragraph'", text="text"),
     "hwp_elements": _LINES_AS.format(kind="'paragraph'", text="trim(text)"),
-    "doc_elements": r"SELECT conv_id * 1000 + turn AS turn_id, 0::BIGINT AS element, 'paragraph' AS kind, trim(regexp_replace(text, '[|\t:=\n]', ' ', 'g')) AS text FROM conversations WHERE trim(regexp_replace(text, '[|\t:=\n]', ' ', 'g')) <> ''",
+    "doc_elements": rf"WITH t AS (SELECT conv_id * 1000 + turn AS turn_id, trim(regexp_replace(text, '[|\t:=\n]', ' ', 'g')) AS x FROM conversations) SELECT turn_id, 0::BIGINT AS element, 'paragraph' AS kind, {_marked('x')} AS text FROM t WHERE length(x) > 1 OR regexp_full_match(x, '[0-9]')",
     "pptx_elements": _SLIDES.format(text="text"),
-    "ppt_elements": _SLIDES.format(text="trim(text)"),
+    "ppt_elements": _SLIDES.format(text=_marked("trim(text)")),
     "xlsx_cells": _CELLS,
     "xls_cells": _CELLS,
     "page_blocks": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '\s+', ' ', 'g'), '<head>.*?</head>', '', 'g'), '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages),

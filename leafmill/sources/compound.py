@@ -1,15 +1,11 @@
-"""Compound files (the container of legacy office formats) and the text of their documents."""
+"""Compound files, the container of legacy office formats."""
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
-from collections.abc import Iterator
 
-from leafmill.operators.structure import parse
 from leafmill.sources.package import PackageError
-from leafmill.sources.element import Element
 
 MAX_INFLATED = 200 << 20
 _END = 0xFFFFFFFA
@@ -99,96 +95,3 @@ def inflate(data: bytes, most: int = MAX_INFLATED) -> bytes:
     if worker.unconsumed_tail:
         raise PackageError(f"stream inflates beyond {most} bytes")
     return out
-
-
-def _lines(text: str, section: int = 0) -> Iterator[Element]:
-    for b in parse(text):
-        if b["rows"] is not None:
-            yield Element("table", rows=b["rows"], section=section)
-        else:
-            yield Element("heading" if b["kind"] == "heading" else "paragraph", b["text"], int(b["kind"] == "heading"), section=section)
-
-
-# doc ------------------------------------------------------------------------------------------------
-
-
-def doc_text(file: Compound) -> str:
-    """The text of a doc file, by its piece table; without one, the stretch that its header names."""
-    main = file.read("WordDocument")
-    flags = struct.unpack_from("<H", main, 10)[0]
-    tables = ["1Table", "0Table"] if flags & 0x0200 else ["0Table", "1Table"]
-    at, size = struct.unpack_from("<II", main, 0x1A2) if len(main) >= 0x1AA else (0, 0)
-    for name in tables:
-        if name in file.streams and size:
-            found = _pieces(main, file.read(name)[at : at + size])
-            if found:
-                return found
-    first, last = struct.unpack_from("<II", main, 0x18) if len(main) >= 0x20 else (0, 0)
-    raw = main[first:last]
-    return raw.decode("utf-16-le" if raw.count(0) > len(raw) / 4 else "cp1252", "replace")
-
-
-def _pieces(main: bytes, clx: bytes) -> str:
-    at = 0
-    while at < len(clx) and clx[at] == 1:
-        at += 3 + struct.unpack_from("<H", clx, at + 1)[0]
-    if at + 5 > len(clx) or clx[at] != 2:
-        return ""
-    size = struct.unpack_from("<I", clx, at + 1)[0]
-    plc = clx[at + 5 : at + 5 + size]
-    n = (len(plc) - 4) // 12
-    if n < 1:
-        return ""
-    ends = struct.unpack_from(f"<{n + 1}I", plc)
-    out = []
-    for k in range(n):
-        fc, chars = struct.unpack_from("<I", plc, 4 * (n + 1) + 8 * k + 2)[0], max(0, ends[k + 1] - ends[k])
-        if fc & 0x40000000:
-            begin = (fc & 0x3FFFFFFF) >> 1
-            out.append(main[begin : begin + chars].decode("cp1252", "replace"))
-        else:
-            out.append(main[fc : fc + 2 * chars].decode("utf-16-le", "replace"))
-    return "".join(out)
-
-
-def clean_text(text: str) -> str:
-    """Control characters of word processors as lines, tabs or nothing; fields by what they show."""
-    text = re.sub('\x13\\s*HYPERLINK\\s+"([^"]*)"[^\x14\x15]*\x14([^\x15]*)\x15', r"\2 <\1>", text)
-    text = re.sub("\x13[^\x14\x15]*\x14([^\x15]*)\x15", r"\1", text)
-    text = re.sub("\x13[^\x15]*\x15", "", text)
-    text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\x0b", "\n").replace("\x0c", "\n\n").replace("\x07", "\t").replace("\x1e", "-").replace("‑", "-").replace("\x1f", "").replace("\xad", "").replace("\0", "")
-    return re.sub("[\x01-\x08\x0e-\x1d]", " ", re.sub("\t+\n|\t\t+", lambda m: "\n" if m[0].endswith("\n") else "\t\n", text))
-
-
-def read_doc(file: Compound) -> Iterator[Element]:
-    return _lines(clean_text(doc_text(file)))
-
-
-# ppt ------------------------------------------------------------------------------------------------
-
-
-def _records(data: bytes, depth: int = 0) -> Iterator[tuple[int, int, bytes]]:
-    """(type, depth, content) of all records, containers before what they hold."""
-    at = 0
-    while at + 8 <= len(data):
-        options, kind, size = struct.unpack_from("<HHI", data, at)
-        body = data[at + 8 : at + 8 + size]
-        yield kind, depth, body
-        if options & 15 == 15 and depth < 20:
-            yield from _records(body, depth + 1)
-        at += 8 + size
-
-
-def read_ppt(file: Compound) -> Iterator[Element]:
-    """The texts of all slides; a title (text type 0 or 6) is a heading."""
-    section, kind = -1, 4
-    for record, depth, body in _records(file.read("PowerPoint Document")):
-        if record in (1006, 1008):  # a slide, or its notes
-            section += record == 1006
-        elif record == 3999 and len(body) >= 4:
-            kind = struct.unpack_from("<I", body)[0]
-        elif record in (4000, 4008):
-            text = body.decode("utf-16-le" if record == 4000 else "cp1252", "replace")
-            for line in re.split("[\r\n\x0b]+", text.replace("\0", "")):
-                if line.strip():
-                    yield Element("heading" if kind in (0, 6) else "paragraph", line.strip(), int(kind in (0, 6)), section=max(section, 0))

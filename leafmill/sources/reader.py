@@ -12,9 +12,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from leafmill.sources.biff import read_xls
-from leafmill.sources.compound import Compound, read_doc, read_ppt
+from leafmill.sources.compound import Compound
 from leafmill.sources.hwp import files_of, read_hwp
 from leafmill.sources.hwpx import read_hwpx
+from leafmill.sources.legacy import read_doc, read_ppt
 from leafmill.sources.package import Package, PackageError, detect
 from leafmill.sources.slides import read_pptx
 from leafmill.sources.spread import read_xlsx

@@ -7,7 +7,8 @@ import pytest
 
 from leafmill.operators import render
 from leafmill.sources import writers as W
-from leafmill.sources.compound import Compound, clean_text, inflate
+from leafmill.sources.compound import Compound, inflate
+from leafmill.sources.legacy import clean_text
 from leafmill.sources.package import Package, PackageError, detect
 from leafmill.sources.reader import elements, parse_assets, parse_files, read_files, register, rows_of
 from leafmill.sources.spread import render as shown
