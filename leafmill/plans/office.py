@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.plans.structure import _MARKED
 from leafmill.sources import writers
+from leafmill.sources.checks import package_checks as package_checks_of
 from leafmill.sources.reader import parse_assets, parse_files
 from leafmill.sources.web import read_html
 
@@ -247,6 +248,17 @@ def hwp_objects(spark: SparkSession, sf: str) -> DataFrame:
     return parse_files(_files(items, make, "hwp")).select(_id().alias("item_id"), F.col("element").cast("bigint").alias("element"), "kind", F.col("level").cast("bigint").alias("level"), "name", "part", "text")
 
 
+def package_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """A docx of each document, every third without text, every fifth with a picture, every seventh cut in two."""
+    def make(r: dict) -> bytes:
+        n = int(r["name"])
+        book = writers.docx([("paragraph", "" if n % 3 == 0 else r["text"])], {"word/media/a.png": "x"} if n % 5 == 0 else {})
+        return book[: len(book) // 2] if n % 7 == 0 else book
+
+    found = package_checks_of(_files(_docs(spark, sf).where("text is not null"), make, "docx"))
+    return found.select(_id().alias("doc_id"), "valid", "semantic_empty")
+
+
 def page_blocks(spark: SparkSession, sf: str) -> DataFrame:
     """The text blocks of all pages in order."""
     pages = _table(spark, sf, "pages").select(F.col("page_id").cast("string").alias("name"), "html")
@@ -265,7 +277,7 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("href").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (docx_elements, hwpx_elements, hwp_elements, doc_elements, pptx_elements, ppt_elements, xlsx_cells, xls_cells, xls_formulas, xls_parts, docx_runs, docx_comments, xlsx_parts, doc_assets, hwp_cells, hwpx_tables, hwp_runs, hwp_objects, page_blocks, page_links)}
+QUERIES = {f.__name__: f for f in (docx_elements, hwpx_elements, hwp_elements, doc_elements, pptx_elements, ppt_elements, xlsx_cells, xls_cells, xls_formulas, xls_parts, docx_runs, docx_comments, xlsx_parts, doc_assets, hwp_cells, hwpx_tables, hwp_runs, hwp_objects, package_checks, page_blocks, page_links)}
 
 _L = "l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS text, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS element FROM l)"
 _LINES_AS = "WITH " + _L + " SELECT doc_id, element, {kind} AS kind, {text} AS text FROM u"
@@ -308,6 +320,7 @@ ORACLE_SQL = {
     "ppt_elements": _SLIDES.format(text=_marked("trim(text)")),
     "xlsx_cells": _CELLS,
     "xls_cells": _CELLS,
+    "package_checks": "SELECT doc_id, doc_id % 7 <> 0 AS valid, doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND (doc_id % 3 = 0 OR regexp_full_match(text, '\\s*')) AS semantic_empty FROM documents WHERE text IS NOT NULL",
     "page_blocks": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '\s+', ' ', 'g'), '<head>.*?</head>', '', 'g'), '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages),
         b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<h1[^>]*>', chr(10) || chr(1), 'g'), '<li[^>]*>', chr(10) || chr(2), 'g'), '</?(h1|p|div|li|br|article|nav|footer|ul|body|section|header|ol|table|main|aside)( [^>]*)?/?>', chr(10), 'g'), '<[a-zA-Z/][^>]*>', '', 'g') AS h FROM a),
         c AS (SELECT page_id, unnest(string_split(h, chr(10))) AS x, generate_subscripts(string_split(h, chr(10)), 1) AS k FROM b),
