@@ -13,13 +13,14 @@ from pyspark.sql import functions as F
 from leafmill.functions.text import lines
 from leafmill.operators.structure import blocks
 
-#: Rows of a small side up to which it is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 100_000
+#: Rows and bytes of a small side up to which it is broadcast; beyond either the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 16 << 20
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has few rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df with a broadcast hint if it has few rows and bytes (of its rows as JSON); at most BROADCAST_ROWS are looked at."""
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count("*"), F.sum(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def quality(docs: DataFrame) -> DataFrame:

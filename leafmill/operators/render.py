@@ -64,3 +64,37 @@ def batch_summary(rendered: DataFrame) -> DataFrame:
     """total, success, failed and success_rate (percent) of rendered documents."""
     failed = F.count_if(F.col("error").isNotNull())
     return rendered.agg(F.count("*").alias("total"), (F.count("*") - failed).alias("success"), failed.alias("failed"), F.round((F.count("*") - failed) * 100.0 / F.greatest(F.count("*"), F.lit(1)), 4).alias("success_rate"))
+
+
+def find_all(elements: DataFrame, kind: str) -> DataFrame:
+    """The elements of a kind, in order within a document; a kind that there isn't gives none. Headings count as paragraphs."""
+    kinds = ("paragraph", "heading") if kind == "paragraph" else (kind,)
+    if "items" not in elements.columns:
+        return elements.where(F.col("kind").isin(*kinds))
+    return elements.select("path", "format", F.explode(F.filter("items", lambda e: e["kind"].isin(*kinds))).alias("e")).select("path", "format", "e.*")
+
+
+def _empty_cells(e: Column) -> Column:
+    """Blank cells of a table, without those that a merged range covers."""
+    def covered(r: Column, c: Column) -> Column:
+        return F.exists(e["spans"], lambda s: r.between(s["r"], s["r"] + s["row_span"] - 1) & c.between(s["c"], s["c"] + s["col_span"] - 1) & ~((s["r"] == r) & (s["c"] == c)))
+
+    rows = F.transform(e["rows"], lambda row, r: F.size(F.filter(row, lambda x, c: (F.trim(x) == "") & ~F.coalesce(covered(r, c), F.lit(False)))))
+    return F.aggregate(F.coalesce(rows, F.array().cast("array<int>")), F.lit(0), lambda a, b: a + b)
+
+
+def check_quality(elements: DataFrame) -> DataFrame:
+    """(path, format, counts, issues, score) of read documents: blank paragraphs, blank cells, equations that could not be read,
+    pictures without a file and errors are issues; the score is 100 less their share, and 0 without paragraphs."""
+    of = lambda *k: F.filter("items", lambda e: e["kind"].isin(*k))
+    counts = {
+        "paragraphs": F.size(of("paragraph", "heading")), "tables": F.size(of("table")), "equations": F.size(of("equation")), "images": F.size(of("image")),
+        "empty_paragraphs": F.size(F.filter(of("paragraph", "heading"), lambda e: F.trim(F.coalesce(e["text"], F.lit(""))) == "")), "empty_cells": F.aggregate(F.transform(of("table"), _empty_cells), F.lit(0), lambda a, b: a + b),
+        "failed_equations": F.size(F.filter(of("equation"), lambda e: (e["text"] == "") | e["text"].rlike("파싱 실패|데이터 부족"))), "missing_images": F.size(F.filter(of("image"), lambda e: F.coalesce(e["part"], F.lit("")) == "")),
+        "errors": F.when(F.col("error").isNull(), 0).otherwise(1),
+    }
+    out = _ordered(elements).select("path", "format", *[c.cast("bigint").alias(k) for k, c in counts.items()])
+    issues = sum((F.col(k) for k in ("empty_cells", "failed_equations", "missing_images", "errors")), F.col("empty_paragraphs"))
+    total = F.col("paragraphs") + F.col("tables") + F.col("equations") + F.col("images")
+    score = F.when(F.col("paragraphs") == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (1 - issues / total) * 100)))
+    return out.select("*", issues.alias("issues"), score.alias("score"))

@@ -9,10 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.operators import render
 from leafmill.plans.structure import _MARKED
 from leafmill.sources import writers
 from leafmill.sources.checks import package_checks as package_checks_of
-from leafmill.sources.reader import parse_assets, parse_files
+from leafmill.sources.reader import gather_files, parse_assets, parse_files
 from leafmill.sources.web import read_html
 
 
@@ -248,6 +249,19 @@ def hwp_objects(spark: SparkSession, sf: str) -> DataFrame:
     return parse_files(_files(items, make, "hwp")).select(_id().alias("item_id"), F.col("element").cast("bigint").alias("element"), "kind", F.col("level").cast("bigint").alias("level"), "name", "part", "text")
 
 
+def document_quality(spark: SparkSession, sf: str) -> DataFrame:
+    """A hwp of each benchmark item: a table with blank and merged cells, an equation and pictures, some of which fail."""
+    def make(r: dict) -> bytes:
+        n = int(r["name"])
+        grid = [["head", ""], *[["a", "" if k < n % 4 else "b"] for k in range(3)]]
+        inside = writers.hwp_table(grid, {(0, 0): (1, 2)}) + writers.hwp_equation("" if n % 2 else "x over y") + b"".join(writers.hwp_picture(k) for k in range(n % 3))
+        return writers.hwp([writers.hwp_paragraph("Text", controls=inside)], info=writers.hwp_info(_SHAPES[:1], files=[(1, "png")]), files={"BIN0001.png": b"p"})
+
+    items = _table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("name"))
+    found = render.check_quality(gather_files(_files(items, make, "hwp")))
+    return found.select(_id().alias("item_id"), *found.columns[2:-1], F.round("score", 9).alias("score"))
+
+
 def package_checks(spark: SparkSession, sf: str) -> DataFrame:
     """A docx of each document, every third without text, every fifth with a picture, every seventh cut in two."""
     def make(r: dict) -> bytes:
@@ -277,7 +291,7 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("href").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (docx_elements, hwpx_elements, hwp_elements, doc_elements, pptx_elements, ppt_elements, xlsx_cells, xls_cells, xls_formulas, xls_parts, docx_runs, docx_comments, xlsx_parts, doc_assets, hwp_cells, hwpx_tables, hwp_runs, hwp_objects, package_checks, page_blocks, page_links)}
+QUERIES = {f.__name__: f for f in (docx_elements, hwpx_elements, hwp_elements, doc_elements, pptx_elements, ppt_elements, xlsx_cells, xls_cells, xls_formulas, xls_parts, docx_runs, docx_comments, xlsx_parts, doc_assets, hwp_cells, hwpx_tables, hwp_runs, hwp_objects, document_quality, package_checks, page_blocks, page_links)}
 
 _L = "l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS text, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS element FROM l)"
 _LINES_AS = "WITH " + _L + " SELECT doc_id, element, {kind} AS kind, {text} AS text FROM u"
@@ -320,6 +334,8 @@ ORACLE_SQL = {
     "ppt_elements": _SLIDES.format(text=_marked("trim(text)")),
     "xlsx_cells": _CELLS,
     "xls_cells": _CELLS,
+    "document_quality": """WITH q AS (SELECT item_id, 1::BIGINT AS paragraphs, 1::BIGINT AS tables, 1::BIGINT AS equations, item_id % 3 AS images, 0::BIGINT AS empty_paragraphs, least(item_id % 4, 3) AS empty_cells, item_id % 2 AS failed_equations, greatest(item_id % 3 - 1, 0) AS missing_images, 0::BIGINT AS errors FROM benchmark)
+        SELECT *, empty_cells + failed_equations + missing_images AS issues, round(greatest(0, (1 - (empty_cells + failed_equations + missing_images) / (3 + images)) * 100), 9)::DOUBLE AS score FROM q""",
     "package_checks": "SELECT doc_id, doc_id % 7 <> 0 AS valid, doc_id % 7 <> 0 AND doc_id % 5 <> 0 AND (doc_id % 3 = 0 OR regexp_full_match(text, '\\s*')) AS semantic_empty FROM documents WHERE text IS NOT NULL",
     "page_blocks": r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '\s+', ' ', 'g'), '<head>.*?</head>', '', 'g'), '<(script|style)[^>]*>.*?</(script|style)>|<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g') AS h FROM pages),
         b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<h1[^>]*>', chr(10) || chr(1), 'g'), '<li[^>]*>', chr(10) || chr(2), 'g'), '</?(h1|p|div|li|br|article|nav|footer|ul|body|section|header|ol|table|main|aside)( [^>]*)?/?>', chr(10), 'g'), '<[a-zA-Z/][^>]*>', '', 'g') AS h FROM a),
