@@ -116,6 +116,13 @@ def _cell_text(files: DataFrame, key: str) -> DataFrame:
     return tables.select(key, F.col("r").cast("bigint").alias("r"), F.posexplode("row").alias("c", "text")).select(key, "r", F.col("c").cast("bigint").alias("c"), "text")
 
 
+def pdf_elements(spark: SparkSession, sf: str) -> DataFrame:
+    """A PDF of each document, ten lines a page."""
+    pages = lambda x: [x[k : k + 10] for k in range(0, len(x), 10)] or [[]]
+    found = parse_files(_files(_docs(spark, sf), lambda r: writers.pdf(pages(_lines(r["text"]))), "pdf"))
+    return found.where("kind is not null").select(_id().alias("doc_id"), F.col("element").cast("bigint").alias("element"), F.col("section").cast("bigint").alias("page"), "text")
+
+
 def _formula_book(r: dict) -> bytes:
     """Key, balance, and two formulas a row: over the row's cells, and with a name and another sheet's cell."""
     t, rows, tail = writers.tokens, [[c["c_custkey"], c["c_acctbal"]] for c in r["rows"]], b""
@@ -291,7 +298,7 @@ def page_links(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("href").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-QUERIES = {f.__name__: f for f in (docx_elements, hwpx_elements, hwp_elements, doc_elements, pptx_elements, ppt_elements, xlsx_cells, xls_cells, xls_formulas, xls_parts, docx_runs, docx_comments, xlsx_parts, doc_assets, hwp_cells, hwpx_tables, hwp_runs, hwp_objects, document_quality, package_checks, page_blocks, page_links)}
+QUERIES = {f.__name__: f for f in (docx_elements, hwpx_elements, hwp_elements, doc_elements, pptx_elements, ppt_elements, xlsx_cells, xls_cells, xls_formulas, xls_parts, docx_runs, docx_comments, xlsx_parts, doc_assets, hwp_cells, hwpx_tables, hwp_runs, hwp_objects, document_quality, package_checks, pdf_elements, page_blocks, page_links)}
 
 _L = "l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS ls FROM documents), u AS (SELECT doc_id, unnest(ls) AS text, CAST(generate_subscripts(ls, 1) - 1 AS BIGINT) AS element FROM l)"
 _LINES_AS = "WITH " + _L + " SELECT doc_id, element, {kind} AS kind, {text} AS text FROM u"
@@ -327,6 +334,7 @@ ORACLE_SQL = {
     "hwp_runs": f"WITH {_PART} SELECT size, element, CASE p_partkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END::BIGINT AS level, (n - 1)::BIGINT AS n, [p_name, ' ' || p_brand, p_type][n] AS text, CASE n WHEN 1 THEN ['', 'b', 'iu'][p_partkey % 3 + 1] WHEN 2 THEN '^' ELSE 's' END AS marks, CASE WHEN n = 1 THEN [10.0, 20.0, 16.0][p_partkey % 3 + 1] ELSE 10 END::DOUBLE AS size_ FROM p, unnest([1, 2, 3]) AS t(n)",
     "hwp_objects": "SELECT item_id, e AS element, kind, level, name, part, CASE WHEN kind = 'equation' THEN item_id || ' over 2' ELSE v.text END AS text FROM benchmark, (VALUES (0, 'heading', 2, '', 'BodyText/Section0', 'Chapter'), (1, 'paragraph', 0, '', 'BodyText/Section0', 'Text'), (2, 'header', 0, 'header', 'BodyText/Section0', 'Head'), (3, 'note', 0, 'footnote', 'BodyText/Section0', 'Note a' || chr(10) || 'Note b'), (4, 'equation', 0, '', 'BodyText/Section0', ''), (5, 'image', 0, 'BIN0001.png', 'BinData/BIN0001.png', '')) AS v(e, kind, level, name, part, text)",
     "docx_elements": _LINES_AS.format(kind="CASE WHEN element = 0 THEN 'heading' ELSE 'paragraph' END", text="text"),
+    "pdf_elements": "WITH " + _L + " SELECT doc_id, element, element // 10 AS page, trim(text, ' ') AS text FROM u",
     "hwpx_elements": _LINES_AS.format(kind="'paragraph'", text="text"),
     "hwp_elements": _LINES_AS.format(kind="'paragraph'", text="trim(text)"),
     "doc_elements": rf"WITH t AS (SELECT conv_id * 1000 + turn AS turn_id, trim(regexp_replace(text, '[|\t:=\n]', ' ', 'g')) AS x FROM conversations) SELECT turn_id, 0::BIGINT AS element, 'paragraph' AS kind, {_marked('x')} AS text FROM t WHERE length(x) > 1 OR regexp_full_match(x, '[0-9]')",

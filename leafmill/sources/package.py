@@ -200,6 +200,8 @@ def detect(name: str, content: bytes) -> str:
             if part in parts:
                 return kind
         return "hwpx" if any(p.startswith("Contents/section") for p in parts) else "zip"
+    if b"%PDF-" in content[:1024]:
+        return "pdf"
     ending = name.lower().rpartition(".")[2] if "." in name else ""
     if content[:8] == b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1":
         return ending if ending in ("doc", "xls", "ppt", "hwp") else "cfb"

@@ -17,6 +17,7 @@ from leafmill.sources.hwp import files_of, read_hwp
 from leafmill.sources.hwpx import read_hwpx
 from leafmill.sources.legacy import read_doc, read_ppt
 from leafmill.sources.package import Package, PackageError, detect
+from leafmill.sources.pdf import read_pdf
 from leafmill.sources.slides import read_pptx
 from leafmill.sources.spread import read_xlsx
 from leafmill.sources.web import read_html
@@ -42,6 +43,8 @@ def elements(path: str, content: bytes) -> tuple[str, list[Element]]:
             kind = next((k for s, k in (("WordDocument", "doc"), ("Workbook", "xls"), ("Book", "xls"), ("PowerPoint Document", "ppt"), ("FileHeader", "hwp")) if s in file.streams), "cfb")
         if kind != "cfb":
             return kind, list({"doc": read_doc, "xls": read_xls, "ppt": read_ppt, "hwp": read_hwp}[kind](file))
+    if kind == "pdf":
+        return kind, list(read_pdf(content))
     if kind in ("html", "htm"):
         return "html", read_html(content.decode("utf-8", "replace"))[0]
     raise PackageError("the format isn't known")

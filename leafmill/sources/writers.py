@@ -378,3 +378,21 @@ def hwpx(sections: list[list[str]], head: str = "", order: list[int] | None = No
     for k, paragraphs in enumerate(sections):
         parts[f"Contents/section{k}.xml"] = f"<hs:sec {_H}>" + "".join(p if p.startswith("<hp:") else f"<hp:p>{hwpx_run(p)}</hp:p>" for p in paragraphs) + "</hs:sec>"
     return package(parts | {f"BinData/{n}": x for n, x in (files or {}).items()})
+
+
+def pdf(pages: list[list[str]], packed: bool = True) -> bytes:
+    """A PDF of pages of lines, in a font of 16-bit codes that its map names."""
+    objects: list[bytes] = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type0 /BaseFont /F /Encoding /Identity-H /ToUnicode 4 0 R >>"]
+
+    def stream(data: bytes) -> bytes:
+        raw = zlib.compress(data) if packed else data
+        return b"<< /Length %d%s >>\nstream\n%s\nendstream" % (len(raw), b" /Filter /FlateDecode" if packed else b"", raw)
+
+    objects.append(stream(b"1 begincodespacerange <0000> <FFFF> endcodespacerange 1 beginbfrange <0000> <FFFF> <0000> endbfrange"))
+    kids = []
+    for lines in pages:
+        body = b"BT /F1 10 Tf 50 800 Td 12 TL " + b" ".join(b"<%s> Tj T*" % x.encode("utf-16-be").hex().encode() for x in lines) + b" ET"
+        kids.append(b"%d 0 R" % (len(objects) + 1))
+        objects += [b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (len(objects) + 2), stream(body)]
+    objects[1] = b"<< /Type /Pages /Count %d /Kids [%s] /Resources << /Font << /F1 3 0 R >> >> >>" % (len(kids), b" ".join(kids))
+    return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, x) for k, x in enumerate(objects, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF\n"

@@ -166,3 +166,21 @@ def test_scores_without_expectations(spark):
     cells = row.withColumn("expected_tables", F.array(F.array(F.array(F.lit("x.y"), F.lit("xzy"), F.lit("2"), F.lit("")))))
     got = scoring.score_output(cells).first()
     assert (got.expected_table_cells_total, got.expected_table_cells_found, got.accuracy) == (3, 2, 2 / 3)
+
+
+def test_pdf_strings_arrays_forms_and_object_streams():
+    import zlib
+
+    content = b"q 1 0 0 1 0 100 cm BT /F1 12 Tf 1 0 0 1 10 700 Tm (Par\\(en\\)s \\101) Tj 0 -20 Td [(Hel) 20 (lo) -300 (there)] TJ ET Q /X1 Do /I1 Do BT /F1 12 Tf 300 800 Td (right) Tj ET BI /W 1 ID xyz EI"
+    form = b"BT /F1 12 Tf 5 50 Td (in form) ' ET"
+    packed = b"6 0 7 60 << /Type /Font /Subtype /Type1 /BaseFont /Helvetica >>".ljust(8 + 60) + b"(other)"
+    first = 8
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [3 0 R] >>", 3: b"<< /Type /Page /Contents [4 0 R] /Resources << /Font << /F1 6 0 R >> /XObject << /X1 5 0 R /I1 9 0 R >> >> >>"}
+    stream = lambda head, raw: b"<< %s /Length %d >> stream\r\n%s\nendstream" % (head, len(raw), raw)
+    objects |= {4: stream(b"", content), 5: stream(b"/Type /XObject /Subtype /Form", form), 8: stream(b"/Type /ObjStm /N 2 /First %d /Filter /FlateDecode" % first, zlib.compress(packed)), 9: stream(b"/Subtype /Image", b"x")}
+    data = b"%PDF-1.5\n" + b"".join(b"%d 0 obj %s endobj\n" % x for x in objects.items())
+    got = elements("a.pdf", data)[1]
+    assert [(e.kind, e.text or e.name) for e in got] == [("paragraph", "Parens A right".replace("Parens", "Par(en)s")), ("paragraph", "Hello there"), ("paragraph", "in form"), ("image", "I1"), ("image", "inline")]
+    with pytest.raises(PackageError):
+        elements("a.pdf", data + b"trailer << /Encrypt 5 0 R >>")
+    assert elements("a.pdf", W.pdf([["one"], ["two"]], packed=False)[:-60])[1][0].text == "one"
