@@ -293,11 +293,16 @@ def discard(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def folders(*tables: DataFrame) -> list[str]:
+    """The folders of stored() tables."""
+    return [file.rpartition("/")[0].rpartition("/")[0] for df in tables for file in df.inputFiles()[:1]]
+
+
 def forget(*tables: DataFrame) -> None:
     """Deletes the files of stored() tables that nothing reads any more."""
     for df in tables:
-        for file in df.inputFiles()[:1]:
-            discard(df.sparkSession, file.rpartition("/")[0].rpartition("/")[0])
+        for folder in folders(df):
+            discard(df.sparkSession, folder)
 
 
 def free_name(df: DataFrame, name: str) -> str:

@@ -326,6 +326,8 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: bytes | None = None,
     changed = stored(settle(named, key, make).where("attempt > 0").select("kind", "canonical", "attempt"), "changed")
     few = changed.count() <= WORKER_ENTITIES
     shared = spark.sparkContext.broadcast({(r.kind, r.canonical): r.attempt for r in changed.collect()} if few else {})
+    if few:
+        forget(named, changed)
 
     def swap(texts: pa.Array, lists: pa.Array | None) -> pa.Array:
         found, out, counts = all_entities(texts), [], []

@@ -59,8 +59,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's URL key, and whether it is listed."""
-    return bloom.filter_urls(_table(spark, sf_dir, "pages").select("page_id", "url"), hosts=LISTED_HOSTS)
+    """Every page's URL key, and whether it is listed: by its host, or as the key of a page whose id is divisible by 50."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    keys = pages.where("page_id % 50 = 0").select(bloom.url_key("url").alias("url_key"))
+    return bloom.filter_urls(pages, keys, LISTED_HOSTS)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,5 +105,5 @@ ORACLE_SQL: dict[str, str] = {
         keyed AS (
             SELECT page_id, url, nullif(regexp_replace(regexp_replace(regexp_replace(bare, '^([^/]*@)?(www\.|m\.)?', ''), '^([^/:]*):[0-9]*', '\1'), '/+$', ''), '') AS url_key FROM bare),
         hosts AS (SELECT *, regexp_extract(url_key, '^[^/]*') AS host FROM keyed)
-        SELECT page_id, url, url_key, coalesce({_HOSTS}, false) AS listed FROM hosts""",
+        SELECT page_id, url, url_key, coalesce({_HOSTS}, false) OR coalesce(url_key IN (SELECT url_key FROM hosts WHERE page_id % 50 = 0 AND url_key IS NOT NULL), false) AS listed FROM hosts""",
 }

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from leafmill.llm.common import SLICE_BYTES, Words, discard, forget, free_name, local_uri, mix, ragged, shared_folder, stored, tidy, trim, utf8
+from leafmill.llm.common import SLICE_BYTES, Words, discard, folders, forget, free_name, local_uri, mix, ragged, shared_folder, stored, tidy, trim, utf8
 
 #: Differing bits, of 128, up to which two documents are near duplicates.
 MAX_BITS = 18
@@ -456,11 +456,12 @@ def _row_hash(docs: DataFrame) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit("second"), *parts).alias("b"))
 
 
-def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", temporary: list[str] | None = None) -> DataFrame:
     """(doc_id, row, root, kept_id, kept_row, group_size) for every row of docs that has near or
     exact duplicates: root names the group, kept is its first row by key (null keys last), row is a
     hash of the whole row. Groups are connected components of pairs within MAX_BITS. Rows of equal
-    content count one by one in group_size. Texts without words (null, empty, only signs) are in no group."""
+    content count one by one in group_size. Texts without words (null, empty, only signs) are in no group.
+    temporary, if given, gets the folders that the result is read from."""
     schema = T.StructType([T.StructField("doc_id", docs.schema[key].dataType), T.StructField("row", T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])), T.StructField("fp", T.BinaryType())])
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), _row_hash(docs).alias("row"), fingerprint(F.col(f"`{text}`")).alias("fp"))
     every = stored(docs.sparkSession.createDataFrame([], schema).unionAll(rows), "prints")
@@ -469,6 +470,8 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     made: list[str] = []
     labels = components(near_fingerprints(leaves, leaves.count(), made=made), made)
     forget(leaves)
+    if temporary is not None:
+        temporary += folders(every, labels)
     member = rows.join(labels, rows.fp == labels.node, "left").select("doc_id", "row", F.coalesce("root", "fp").alias("root"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id"), F.col("row"))).alias("kept")
     heads = member.groupBy("root").agg(F.count("*").alias("group_size"), first).where("group_size > 1")
@@ -484,7 +487,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs without near duplicates, and the first row (by key, null keys last) of each
     group; of repeated rows one stays. Texts without words all stay. Columns are those of docs."""
-    found = stored(groups(docs, key, text), "groups")
+    temporary: list[str] = []
+    found = stored(groups(docs, key, text, temporary), "groups")
+    for folder in temporary:
+        discard(docs.sparkSession, folder)
     gone = found.where("row <> kept_row").select("row").distinct()
     twice = found.where("row = kept_row").groupBy("row").count().where("count > 1").select("row")
     name = free_name(docs, "row")
