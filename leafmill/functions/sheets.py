@@ -52,16 +52,15 @@ def grouped(units: Column) -> Column:
 
 
 def fixed(value: Column, places: int, commas: bool = False) -> Column:
-    """A number with so many decimals, halves away from zero as spreadsheets show them. From 10**15 on, where a double has
-    no decimals to speak of, its digits come without rounding or commas."""
-    large = F.abs(value) >= 1e15
-    units = F.when(~large, F.round(F.abs(value) * 10**places)).cast("bigint")
+    """A number with so many decimals, halves away from zero as spreadsheets show them. What doesn't fit
+    64 bits so, and has no decimals to speak of, comes by its digits, without commas."""
+    units = F.round(F.abs(value) * 10**places).try_cast("bigint")
     whole = F.floor(units / 10**places).cast("bigint")
     text = grouped(whole) if commas else whole.cast("string")
     if places:
         text = F.concat(text, F.lit("."), F.lpad((units % 10**places).cast("string"), places, "0"))
-    huge = F.when(large, F.coalesce(value.try_cast("decimal(38,0)").cast("string"), value.cast("string")))
-    return F.coalesce(huge, F.when((value < 0) & (units > 0), F.concat(F.lit("-"), text)).otherwise(text))
+    shown = F.when((value < 0) & (units > 0), F.concat(F.lit("-"), text)).otherwise(text)
+    return F.coalesce(shown, value.try_cast("decimal(38,0)").cast("string"), value.cast("string"))
 
 
 def currency(value: Column, sign: str = "$") -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,13 +45,23 @@ def tokens(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), 0)
 
 
-def keywords(docs: DataFrame, most: int = 20, pattern: str = r"\p{L}{3,}") -> DataFrame:
-    """The most frequent tokens: token, n, docs; ties by token. Occurrences and documents are counted in one pass, combined
-    before the shuffle, which so has a row for each token of a task."""
-    every = tokens(F.col("text"), pattern)
-    one = lambda n, d: lambda t: F.struct(t.alias("token"), F.lit(n).alias("n"), F.lit(d).alias("d"))
-    found = docs.select(F.explode(F.concat(F.transform(every, one(1, 0)), F.transform(F.array_distinct(every), one(0, 1)))).alias("x"))
-    return found.groupBy("x.token").agg(F.sum("x.n").alias("n"), F.sum("x.d").alias("docs")).orderBy(F.desc("n"), "token").limit(most)
+def keywords(docs: DataFrame, most: int = 20, pattern: str = r"[^\W\d_]{3,}") -> DataFrame:
+    """The most frequent tokens of lower-case text: token, n, docs; ties by token; a pattern of Python's. Each batch of
+    documents is counted by itself, so that only counts are shuffled, one for each token of a batch."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token = re.compile(pattern)
+        for batch in batches:
+            every: Counter[str] = Counter()
+            once: Counter[str] = Counter()
+            for text in batch.column(0).to_pylist():
+                found = token.findall(text.lower()) if text else []
+                every.update(found)
+                once.update(set(found))
+            yield pa.RecordBatch.from_arrays([pa.array(list(every), pa.string()), pa.array(list(every.values()), pa.int64()), pa.array([once[t] for t in every], pa.int64())], names=["token", "n", "docs"])
+
+    found = docs.select("text").mapInArrow(count, "token string, n bigint, docs bigint")
+    return found.groupBy("token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).orderBy(F.desc("n"), "token").limit(most)
 
 
 #: Items whose tokens a worker holds at once; more are taken in blocks, each against all documents.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -41,25 +43,39 @@ def _counted(data: bytes, at: int) -> tuple[str, int]:
     return (data[at + 2 : end].decode("utf-16-le", "replace").rstrip("\0"), end) if end <= len(data) else ("", at + 2)
 
 
-def text_places(data: bytes) -> list[tuple[int, str]]:
-    """Each character of a paragraph's text and its place in 16-bit units; extended control characters take eight."""
-    out, k, n = [], 0, len(data) // 2
-    while k < n:
-        c = struct.unpack_from("<H", data, 2 * k)[0]
-        size = 8 if c in _WIDE else 1
-        if 0xD800 <= c < 0xDC00 and k + 1 < n:
-            size = 2
-        if c >= 32:
-            out.append((k, data[2 * k : 2 * (k + size)].decode("utf-16-le", "replace")))
-        elif c in _PLAIN:
-            out.append((k, _PLAIN[c]))
-        k += size
+def text_parts(data: bytes) -> list[tuple[int, int, str | None]]:
+    """Stretches of a paragraph's text by their first and last 16-bit unit: None for plain ones, else what a control
+    character stands for. Extended control characters take eight units."""
+    units = array("H", data[: len(data) & ~1])
+    if sys.byteorder == "big":
+        units.byteswap()
+    out, at = [], 0
+    for k in [k for k, u in enumerate(units) if u < 32]:
+        if k < at:  # inside an extended one
+            continue
+        if k > at:
+            out.append((at, k, None))
+        c = units[k]
+        at = k + (8 if c in _WIDE else 1)
+        if c in _PLAIN:
+            out.append((k, at, _PLAIN[c]))
+    if at < len(units):
+        out.append((at, len(units), None))
     return out
 
 
+def part_text(data: bytes, parts: list[tuple[int, int, str | None]], begin: int = 0, end: int = 1 << 32) -> str:
+    """The text of the stretches from one unit to another."""
+    found = []
+    for a, b, text in parts:
+        if a < end and b > begin:
+            found.append(data[2 * max(a, begin) : 2 * min(b, end)].decode("utf-16-le", "replace") if text is None else text if begin <= a else "")
+    return "".join(found)
+
+
 def hwp_text(data: bytes) -> str:
     """A paragraph's text."""
-    return "".join(c for _, c in text_places(data))
+    return part_text(data, text_parts(data))
 
 
 @dataclass
@@ -194,24 +210,21 @@ class _Section:
     def paragraph(self, node: _Node) -> Iterator[Element]:
         text = node.of(_TEXT)
         if text:
-            places = text_places(text[-1].body)
-            whole = "".join(c for _, c in places)
+            body = text[-1].body
+            parts = text_parts(body)
+            whole = part_text(body, parts)
             if whole.strip():
-                runs = self.runs(places, node.of(_SHAPES))
+                runs = self.runs(body, parts, node.of(_SHAPES))
                 level = self.info.heading(node.body[10] if len(node.body) > 10 else -1, runs)
                 yield self.element("heading" if level else "paragraph", text=whole.strip(), level=level, runs=runs)
         for ctrl in node.of(_CTRL):
             yield from self.control(ctrl)
 
-    def runs(self, places: list[tuple[int, str]], shapes: list[_Node]) -> list[Run]:
+    def runs(self, body: bytes, parts: list[tuple[int, int, str | None]], shapes: list[_Node]) -> list[Run]:
         starts = shape_starts(shapes[-1].body) if shapes else []
-        out, k = [], 0
+        out = []
         for n, (begin, shape) in enumerate(starts or [(0, -1)]):
-            end = starts[n + 1][0] if n + 1 < len(starts) else 1 << 32
-            text = ""
-            while k < len(places) and places[k][0] < end:
-                text += places[k][1]
-                k += 1
+            text = part_text(body, parts, begin, starts[n + 1][0] if n + 1 < len(starts) else 1 << 32)
             own = self.info.shapes[shape] if 0 <= shape < len(self.info.shapes) else Shape()
             if text:
                 out.append((text, own.marks, own.size))

@@ -278,7 +278,8 @@ class Font:
                         at = code - a
                         found = (to[at] if at < len(to) else "") if isinstance(to, list) else to[:-1] + chr(ord(to[-1]) + at) if to and ord(to[-1]) + at < 0x110000 else ""
                         break
-            out.append(found if found is not None else ("�" if self.wide else bytes([code]).decode("cp1252", "replace")))
+                self.one[code] = found = found if found is not None else ("�" if self.wide else bytes([code]).decode("cp1252", "replace"))
+            out.append(found)
         return "".join(out)
 
 

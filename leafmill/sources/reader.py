@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute
@@ -66,9 +67,14 @@ def rows_of(path: str, content: bytes | None, fail: bool = False) -> Iterator[tu
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [()] * len(_ARROW)
-    for k, names in ((9, ("r", "c", "row_span", "col_span")), (10, ("text", "marks", "size"))):
-        columns[k] = [None if x is None else [dict(zip(names, s)) for s in x] for x in columns[k]]
-    return pa.RecordBatch.from_arrays([pa.array(c, _ARROW.field(k).type) for k, c in enumerate(columns)], schema=_ARROW)
+    for k in (9, 10):  # lists of structs, from their flat fields
+        lists = [x or () for x in columns[k]]
+        kind = _ARROW.field(k).type
+        fields = list(zip(*(s for x in lists for s in x))) or [()] * kind.value_type.num_fields
+        flat = pa.StructArray.from_arrays([pa.array(f, kind.value_type.field(j).type) for j, f in enumerate(fields)], fields=list(kind.value_type))
+        upto = list(accumulate(map(len, lists), initial=0))
+        columns[k] = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), flat, mask=pa.array([x is None for x in columns[k]], pa.bool_()))
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, _ARROW.field(k).type) for k, c in enumerate(columns)], schema=_ARROW)
 
 
 def parse_files(files: DataFrame, path: str = "path", content: str = "content", fail: bool = False) -> DataFrame:
