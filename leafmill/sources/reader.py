@@ -33,11 +33,11 @@ _ARROW = pa.schema([
 ])
 
 
-def elements(path: str, content: bytes) -> tuple[str, list[Element]]:
-    """The format and the elements of a file."""
+def elements(path: str, content: bytes, guards: dict[str, int] | None = None) -> tuple[str, list[Element]]:
+    """The format and the elements of a file. guards: other max_part and max_ratio than package.py has, for large files that are trusted."""
     kind = detect(path, content)
     if kind in ("docx", "xlsx", "pptx", "hwpx"):
-        return kind, list({"docx": read_docx, "xlsx": read_xlsx, "pptx": read_pptx, "hwpx": read_hwpx}[kind](Package(content)))
+        return kind, list({"docx": read_docx, "xlsx": read_xlsx, "pptx": read_pptx, "hwpx": read_hwpx}[kind](Package(content, **(guards or {}))))
     if kind in ("doc", "xls", "ppt", "hwp", "cfb"):
         file = Compound(content)
         if kind == "cfb":
@@ -51,12 +51,12 @@ def elements(path: str, content: bytes) -> tuple[str, list[Element]]:
     raise PackageError("the format isn't known")
 
 
-def rows_of(path: str, content: bytes | None, fail: bool = False) -> Iterator[tuple]:
+def rows_of(path: str, content: bytes | None, fail: bool = False, guards: dict[str, int] | None = None) -> Iterator[tuple]:
     """Rows of ELEMENTS. A file that can't be read has one row with its error, or raises if `fail`."""
     try:
         if content is None:
             raise PackageError("no content")
-        kind, found = elements(path or "", content)
+        kind, found = elements(path or "", content, guards)
         for k, e in enumerate(found):
             yield path, kind, k, e.section, e.name, e.kind, e.level, e.text if e.rows is None else None, e.rows, e.spans, e.runs, e.part or None, None
     except Exception as e:
@@ -77,7 +77,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, _ARROW.field(k).type) for k, c in enumerate(columns)], schema=_ARROW)
 
 
-def parse_files(files: DataFrame, path: str = "path", content: str = "content", fail: bool = False) -> DataFrame:
+def parse_files(files: DataFrame, path: str = "path", content: str = "content", fail: bool = False, guards: dict[str, int] | None = None) -> DataFrame:
     """The elements of files (path, content), such as spark.read.format("binaryFile") gives them. Contents
     are never shuffled."""
 
@@ -85,7 +85,7 @@ def parse_files(files: DataFrame, path: str = "path", content: str = "content",
         for b in batches:
             rows: list[tuple] = []
             for p, c in zip(b.column(0), b.column(1)):
-                rows += rows_of(p.as_py(), c.as_py(), fail)
+                rows += rows_of(p.as_py(), c.as_py(), fail, guards)
                 if len(rows) >= 2000:
                     yield _batch(rows)
                     rows = []
@@ -98,7 +98,7 @@ _ITEM = "struct<element:int,section:int,name:string,kind:string,level:int,text:s
 GATHERED = f"path string, format string, items array<{_ITEM}>, error string"
 
 
-def gather_files(files: DataFrame, path: str = "path", content: str = "content", fail: bool = False) -> DataFrame:
+def gather_files(files: DataFrame, path: str = "path", content: str = "content", fail: bool = False, guards: dict[str, int] | None = None) -> DataFrame:
     """(path, format, items, error): a row for each file with its elements in order, from the task that reads it. Nothing is
     shuffled; what render makes of it stays in that task."""
     names = [f.name for f in _ARROW if f.name not in ("path", "format", "error")]
@@ -106,19 +106,19 @@ def gather_files(files: DataFrame, path: str = "path", content: str = "content",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for p, c in zip(b.column(0), b.column(1)):
-                made = _batch(list(rows_of(p.as_py(), c.as_py(), fail)))
+                made = _batch(list(rows_of(p.as_py(), c.as_py(), fail, guards)))
                 good = made.filter(pa.compute.is_valid(made.column("element")))
                 items = pa.StructArray.from_arrays([good.column(n) for n in names], names=names)
                 error = made.column("error")[-1] if made.num_rows else pa.scalar(None, pa.string())
-                kind = made.column("format")[0].as_py() if made.num_rows else elements(p.as_py() or "", c.as_py())[0]
+                kind = made.column("format")[0].as_py() if made.num_rows else elements(p.as_py() or "", c.as_py(), guards)[0]
                 yield pa.RecordBatch.from_arrays([pa.array([p.as_py()], pa.string()), pa.array([kind], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(items)], pa.int32()), items), pa.array([error.as_py()], pa.string())], names=["path", "format", "items", "error"])
 
     return files.select(path, content).mapInArrow(run, GATHERED)
 
 
-def gathered_files(spark: SparkSession, folder: str, pattern: str = "*", fail: bool = False) -> DataFrame:
+def gathered_files(spark: SparkSession, folder: str, pattern: str = "*", fail: bool = False, guards: dict[str, int] | None = None) -> DataFrame:
     """gather_files() of all files below a folder."""
-    return gather_files(_binary(spark, folder, pattern), fail=fail)
+    return gather_files(_binary(spark, folder, pattern), fail=fail, guards=guards)
 
 
 ASSETS = "path string, part string, filename string, content_type string, length bigint"
@@ -154,14 +154,14 @@ def _binary(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
 
 
-def read_files(spark: SparkSession, folder: str, pattern: str = "*", fail: bool = False) -> DataFrame:
+def read_files(spark: SparkSession, folder: str, pattern: str = "*", fail: bool = False, guards: dict[str, int] | None = None) -> DataFrame:
     """The elements of all files below a folder, on any file system that Spark reads."""
-    return parse_files(_binary(spark, folder, pattern), fail=fail)
+    return parse_files(_binary(spark, folder, pattern), fail=fail, guards=guards)
 
 
 class OfficeSource(DataSource):
     """spark.read.format("office").load(folder) on a local or mounted file system; option mode is
-    PERMISSIVE (default, errors are rows) or FAILFAST. One task reads about 32 MB of files."""
+    PERMISSIVE (default, errors are rows) or FAILFAST; maxPartBytes and maxRatio are the guards. One task reads about 32 MB of files."""
 
     @classmethod
     def name(cls) -> str:
@@ -183,6 +183,7 @@ class _OfficeReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.folder, self.fail = options.get("path", "."), options.get("mode", "PERMISSIVE").upper() == "FAILFAST"
         self.most = int(options.get("maxPartitionBytes", 32 << 20))
+        self.guards = {k: int(options[o]) for k, o in (("max_part", "maxPartBytes"), ("max_ratio", "maxRatio")) if o in options}
 
     def partitions(self) -> list[InputPartition]:
         root = os.path.realpath(self.folder)
@@ -199,7 +200,7 @@ class _OfficeReader(DataSourceReader):
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         for path in partition.value:
             with open(path, "rb") as f:
-                for row in rows_of(path, f.read(), self.fail):
+                for row in rows_of(path, f.read(), self.fail, self.guards):
                     yield (*row[:9], *(None if x is None else [tuple(s) for s in x] for x in row[9:11]), *row[11:])
 
 

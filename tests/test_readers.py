@@ -184,3 +184,9 @@ def test_pdf_strings_arrays_forms_and_object_streams():
     with pytest.raises(PackageError):
         elements("a.pdf", data + b"trailer << /Encrypt 5 0 R >>")
     assert elements("a.pdf", W.pdf([["one"], ["two"]], packed=False)[:-60])[1][0].text == "one"
+
+
+def test_guards_are_options(spark):
+    book = W.docx([("paragraph", "a" * 300_000)])
+    df = spark.createDataFrame([("a.docx", bytearray(book))], "path string, content binary")
+    assert parse_files(df).first().error and len(parse_files(df, guards={"max_ratio": 10_000}).first().text) == 300_000
