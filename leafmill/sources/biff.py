@@ -93,7 +93,7 @@ _FUNCTIONS = {0: "COUNT", 1: "IF", 4: "SUM", 5: "AVERAGE", 6: "MIN", 7: "MAX", 8
 _ARGUMENTS = {27: 2, 34: 0, 35: 0, 39: 2}
 _PREFIX, _SUFFIX = {0x12: "+", 0x13: "-"}, {0x14: "%"}
 #: Bytes that follow each token of a fixed size.
-_SIZES = {0x24: 4, 0x25: 8, 0x3A: 6, 0x3B: 10, 0x23: 4, 0x22: 3, 0x21: 2, 0x1E: 2, 0x1F: 8, 0x1D: 1, 0x1C: 1, 0x19: 2}
+_SIZES = {0x24: 4, 0x25: 8, 0x2C: 4, 0x2D: 8, 0x3A: 6, 0x3B: 10, 0x23: 4, 0x22: 3, 0x21: 2, 0x1E: 2, 0x1F: 8, 0x1D: 1, 0x1C: 1, 0x19: 2}
 
 
 def letters(column: int) -> str:
@@ -116,8 +116,10 @@ class Formulas:
     def __init__(self, sheets: list[str], links: list[tuple[int, int]], names: list[str]) -> None:
         self.sheets, self.links, self.names = sheets, links, names
 
-    def text(self, tokens: bytes, rows: int = 0, columns: int = 0) -> str:
-        """The formula of a cell that lies so many rows and columns from the one the tokens were written for."""
+    def text(self, tokens: bytes, rows: int = 0, columns: int = 0, cell: tuple[int, int] = (0, 0)) -> str:
+        """The formula of a cell that lies so many rows and columns from the one the tokens were written for; cell
+        is its own place, from which references that are stored as offsets count."""
+        self.cell = cell
         stack: list[str] = []
         at = 0
         while at < len(tokens):
@@ -145,6 +147,10 @@ class Formulas:
             prefix, number = (self._prefix(number[0]), number[1:]) if kind >= 0x3A else ("", number)
             half = len(number) // 2
             stack.append(prefix + ":".join(self._place(number[k], number[half + k], rows, columns) for k in range(half)))
+        elif kind in (0x2C, 0x2D):
+            number = struct.unpack(f"<{len(body) // 2}H", body)
+            half = len(number) // 2
+            stack.append(":".join(self._offset(number[k], number[half + k]) for k in range(half)))
         elif kind == 0x23:
             k = int.from_bytes(body[:2], "little")
             stack.append(self.names[k - 1] if 0 < k <= len(self.names) else f"Name{k}")
@@ -176,6 +182,11 @@ class Formulas:
         until = ":" + _sheet(self.sheets[last]) if last != first and last < len(self.sheets) else ""
         return _sheet(self.sheets[first]) + until + "!"
 
+    def _offset(self, row: int, column: int) -> str:
+        """A reference whose relative parts are offsets, which wrap at the sheet's edges."""
+        own = (column & 0x8000, column & 0x4000)
+        return self._place((self.cell[0] + row) & 0xFFFF if own[0] else row, column & 0xC000 | ((self.cell[1] + column) & 0xFF if own[1] else column & 0xFF), 0, 0)
+
     def _place(self, row: int, column: int, rows: int, columns: int) -> str:
         own = (column & 0x8000, column & 0x4000)
         row, column = row + (rows if own[0] else 0), (column & 0xFF) + (columns if own[1] else 0)
@@ -324,7 +335,7 @@ class _Cells:
 
     def _share(self, anchor: tuple[int, int]) -> None:
         for at in self.sharing.pop(anchor, []):
-            self.formula[at] = self.formulas.text(self.shared[anchor], at[0] - anchor[0], at[1] - anchor[1])
+            self.formula[at] = self.formulas.text(self.shared[anchor], at[0] - anchor[0], at[1] - anchor[1], at)
 
     def rows(self) -> list[list[str]]:
         """Each row as far as its last cell, so that a lone cell far out makes no grid."""

@@ -74,6 +74,7 @@ def test_xls_formulas_shared_dates_and_damage():
     assert got[-1].rows[:4] == [["1", "0 (=A1*2)"], ["2", "4 (=A2*2)"], ["3", "1 (=F255(A6))"], ["2028-01-02", "", ""]] and got[-1].rows[9] == [r"C:\x\y.txt"] and got[-1].spans == [(3, 0, 1, 2), (3, 2, 1, 2)]
     f = Formulas(["A b", "C"], [(0, 1), (9, 9)], [])
     assert f.text(b"\x3a\0\0\0\0\1\0") == "'A b':C!$B$1" and f.text(b"\x3a\1\0\0\0\1\0") == "$B$1" and f.text(b"\x23\7\0\0\0") == "Name7" and f.text(t((0, 0)), -1, 0) == "#REF!" and f.text(t(1, b"\x03")) == "1" and f.text(t(True, b"\x15")) == "(TRUE)"
+    assert f.text(b"\x2c\xff\xff\xff\xc0", cell=(4, 2)) == "B4" and f.text(b"\x2d\0\0\1\0\0\xc0\1\x40", cell=(4, 2)) == "C5:D$2"
     assert header_text('&L&"Arial,Bold"&14Left && &P&RRight &D') == "Left & # Right date"
     assert link_target("see https://x.org/long and".encode("utf-16-le")) == "https://x.org/long"
     good = W._biff(0x203, b"x" * 14)
