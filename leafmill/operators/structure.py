@@ -9,6 +9,7 @@ from array functions in the JVM.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -92,13 +93,30 @@ def blocks(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("blocks", found(col(text)))
 
 
+#: Cells of a table up to which its rows are padded to the widest; a larger one is mostly blank, and rows end as they do.
+PADDED_CELLS = 4_000_000
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once, however often use refers to it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def pipe_table(rows: Column) -> Column:
     """Rows as a Markdown table, padded to the widest; pipes in cells are escaped; null without rows."""
-    line = lambda parts: F.concat(F.lit("| "), F.array_join(parts, " | "), F.lit(" |"))
-    places = F.sequence(F.lit(0), F.array_max(F.transform(rows, F.size)) - 1)
-    row = lambda r: line(F.transform(places, lambda i: F.replace(F.coalesce(F.get(r, i), F.lit("")), F.lit("|"), F.lit("\\|"))))
-    head = line(F.transform(places, lambda _: F.lit("---")))
-    return F.when(F.size(rows) > 0, F.array_join(F.flatten(F.transform(rows, lambda r, k: F.when(k == 0, F.array(row(r), head)).otherwise(F.array(row(r))))), "\n"))
+    def line(parts: Column) -> Column:
+        return F.concat(F.lit("| "), F.array_join(parts, " | "), F.lit(" |"))
+
+    def row(r: Column, width: Column) -> Column:
+        own = F.transform(r, lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("\\|")))
+        return line(F.concat(own, F.array_repeat(F.lit(""), F.greatest(width - F.size(r), F.when(F.size(r) == 0, 1).otherwise(0)))))
+
+    def whole(width: Column) -> Column:
+        head = line(F.array_repeat(F.lit("---"), F.greatest(F.array_max(F.transform(F.slice(rows, 1, 1), F.size)), width)))
+        return F.array_join(F.flatten(F.transform(rows, lambda r, k: F.when(k == 0, F.array(row(r, width), head)).otherwise(F.array(row(r, width))))), "\n")
+
+    widest = F.array_max(F.transform(rows, F.size))
+    return F.when(F.size(rows) > 0, let(F.when(widest.cast("bigint") * F.size(rows) <= PADDED_CELLS, widest).otherwise(0), whole))
 
 
 def markdown(df: DataFrame, text: str = "text") -> DataFrame:
