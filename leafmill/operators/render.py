@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import latex
-from leafmill.operators.structure import pipe_table
+from leafmill.operators.structure import let, pipe_table
 
 _NAMELESS = r"(?i)^\s*(sheet|hoja)\s*[0-9]*\s*$"
 
@@ -23,9 +23,18 @@ def _ordered(elements: DataFrame) -> DataFrame:
 def _heads(items: str = "items") -> Column:
     """Whether a new section begins at item i, and what it is headed with."""
     x = F.col(items)
-    named = F.exists(x, lambda e: (e["name"] != "") & ~e["name"].rlike(_NAMELESS) & (e["kind"] == "table"))
     several = F.size(F.array_distinct(F.transform(x, lambda e: e["section"]))) > 1
-    return F.transform(x, lambda e, i: F.when((i > 0) & (F.get(x, i - 1)["section"] == e["section"]), None).when(F.col("format").isin("xlsx", "xls") & named & (e["name"] != "") & ~e["name"].rlike(_NAMELESS), F.concat(F.lit("## "), e["name"])).when(F.col("format").isin("pptx", "ppt") & several, F.concat(F.lit("## Slide "), (e["section"] + 1).cast("string"))))
+
+    def head(several: Column) -> Column:
+        def of(e: Column, i: Column) -> Column:
+            goes_on = (i > 0) & (F.get(x, i - 1)["section"] == e["section"])
+            sheet = F.col("format").isin("xlsx", "xls") & (e["name"] != "") & ~e["name"].rlike(_NAMELESS)
+            slide = F.col("format").isin("pptx", "ppt") & several
+            return F.when(goes_on, None).when(sheet, F.concat(F.lit("## "), e["name"])).when(slide, F.concat(F.lit("## Slide "), (e["section"] + 1).cast("string")))
+
+        return F.transform(x, of)
+
+    return let(several, head)
 
 
 def _markdown(e: Column) -> Column:
