@@ -321,18 +321,18 @@ _PART = "p AS (SELECT p_size::BIGINT AS size, row_number() OVER (PARTITION BY p_
 ORACLE_SQL = {
     "xls_formulas": f"""WITH {_ROWS} SELECT nation, r, c, text FROM (SELECT nation, r, unnest([0, 1, 2, 3])::BIGINT AS c, unnest([c_custkey::VARCHAR || CASE r WHEN 0 THEN ' <https://x.org/a>' WHEN 1 THEN ' <https://x.org/b>' ELSE '' END, {_PLAIN_NUMBER} || CASE r WHEN 0 THEN ' [comment: Ann]' ELSE '' END,
         '1 (=SUM(A' || r + 1 || ':B' || r + 1 || ')*2+IF(B' || r + 1 || '>0,1,-1))', '0.5 (=(Rate*''it''''s''!$B$1&' || chr(34) || 'say ' || repeat(chr(34), 2) || 'x' || repeat(chr(34), 3) || ')/1.5%)']) AS text FROM k)""",
-    "xls_parts": "SELECT c_nationkey::BIGINT AS nation, e AS element, kind, name, part, text FROM (SELECT DISTINCT c_nationkey FROM customer), (VALUES (0, 'paragraph', '', 'Workbook', 'Defined name: Rate = B1'), (1, 'header', 'customers', 'Workbook#customers', 'Left # Right & more'), (2, 'table', 'customers', 'Workbook#customers', NULL), (3, 'table', 'it''s', 'Workbook#it''s', NULL)) AS v(e, kind, name, part, text)",
+    "xls_parts": "SELECT c_nationkey::BIGINT AS nation, e::BIGINT AS element, kind, name, part, text FROM (SELECT DISTINCT c_nationkey FROM customer), (VALUES (0, 'paragraph', '', 'Workbook', 'Defined name: Rate = B1'), (1, 'header', 'customers', 'Workbook#customers', 'Left # Right & more'), (2, 'table', 'customers', 'Workbook#customers', NULL), (3, 'table', 'it''s', 'Workbook#it''s', NULL)) AS v(e, kind, name, part, text)",
     "docx_runs": f"WITH {_PART} SELECT size, element, 0::BIGINT AS level, (n - 1)::BIGINT AS n, [p_name, ' ', p_brand, p_type][n] AS text, ['b', '', 'isu', '^'][n] AS marks, [14.0, 0.0, 0.0, 0.0][n]::DOUBLE AS size_ FROM p, unnest([1, 2, 3, 4]) AS t(n)",
     "docx_comments": r"""WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS m FROM conversations), s AS (SELECT *, 'Note ' || k || ' of ' || length(text) AS note FROM t)
         SELECT conv_id, k AS element, 'paragraph' AS kind, 'word/document.xml' AS part, '[bookmark: b' || k || '] ' || role || ' [comment ' || k || ': ' || note || ']' AS text FROM s
         UNION ALL SELECT a.conv_id, a.m + a.k, 'comment', 'word/comments.xml', a.role || ': ' || a.note || coalesce(chr(10) || 'Reply from ' || b.role || ': ' || b.note, '') FROM s a LEFT JOIN s b ON b.conv_id = a.conv_id AND b.k = a.k + 1 AND b.k % 2 = 1""",
     "xlsx_parts": f"""WITH {_ROWS}, g AS (SELECT nation, count(*) AS n, string_agg(c_custkey::VARCHAR || CASE r WHEN 0 THEN ' <http://x.org>' WHEN 1 THEN ' <#x>' ELSE '' END, ',' ORDER BY r) FILTER (r < 3) AS ids FROM k GROUP BY nation)
-        SELECT nation, e AS element, kind, part, CASE e WHEN 0 THEN 'Defined name: Print_Area = data!$A$1:$B$' || n WHEN 2 THEN ids WHEN 5 THEN 'below ' || nation ELSE text END AS text FROM g, (VALUES (0, 'paragraph', 'xl/workbook.xml', ''), (1, 'header', 'xl/worksheets/sheet1.xml', 'Left | mid | Right'), (2, 'table', 'xl/worksheets/sheet1.xml', ''), (3, 'paragraph', 'xl/drawings/drawing1.xml', 'above'), (4, 'image', 'xl/drawings/drawing1.xml', '![Logo](xl/media/image1.png)'), (5, 'paragraph', 'xl/drawings/drawing1.xml', '')) AS v(e, kind, part, text)""",
+        SELECT nation, e::BIGINT AS element, kind, part, CASE e WHEN 0 THEN 'Defined name: Print_Area = data!$A$1:$B$' || n WHEN 2 THEN ids WHEN 5 THEN 'below ' || nation ELSE text END AS text FROM g, (VALUES (0, 'paragraph', 'xl/workbook.xml', ''), (1, 'header', 'xl/worksheets/sheet1.xml', 'Left | mid | Right'), (2, 'table', 'xl/worksheets/sheet1.xml', ''), (3, 'paragraph', 'xl/drawings/drawing1.xml', 'above'), (4, 'image', 'xl/drawings/drawing1.xml', '![Logo](xl/media/image1.png)'), (5, 'paragraph', 'xl/drawings/drawing1.xml', '')) AS v(e, kind, part, text)""",
     "doc_assets": "SELECT item_id, part, filename, kind AS content_type, CASE part WHEN 'word/embeddings/o.bin' THEN 1 ELSE length(text) END::BIGINT AS length FROM benchmark, (VALUES ('word/media/image1.PNG', 'image1.PNG', 'image/png'), ('word/embeddings/o.bin', 'o.bin', 'application/vnd.openxmlformats-officedocument.oleObject'), ('BinData/BIN0001.jpg', 'BIN0001.jpg', 'image/jpeg')) AS v(part, filename, kind)",
     "hwp_cells": _GRID,
     "hwpx_tables": _GRID,
     "hwp_runs": f"WITH {_PART} SELECT size, element, CASE p_partkey % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END::BIGINT AS level, (n - 1)::BIGINT AS n, [p_name, ' ' || p_brand, p_type][n] AS text, CASE n WHEN 1 THEN ['', 'b', 'iu'][p_partkey % 3 + 1] WHEN 2 THEN '^' ELSE 's' END AS marks, CASE WHEN n = 1 THEN [10.0, 20.0, 16.0][p_partkey % 3 + 1] ELSE 10 END::DOUBLE AS size_ FROM p, unnest([1, 2, 3]) AS t(n)",
-    "hwp_objects": "SELECT item_id, e AS element, kind, level, name, part, CASE WHEN kind = 'equation' THEN item_id || ' over 2' ELSE v.text END AS text FROM benchmark, (VALUES (0, 'heading', 2, '', 'BodyText/Section0', 'Chapter'), (1, 'paragraph', 0, '', 'BodyText/Section0', 'Text'), (2, 'header', 0, 'header', 'BodyText/Section0', 'Head'), (3, 'note', 0, 'footnote', 'BodyText/Section0', 'Note a' || chr(10) || 'Note b'), (4, 'equation', 0, '', 'BodyText/Section0', ''), (5, 'image', 0, 'BIN0001.png', 'BinData/BIN0001.png', '')) AS v(e, kind, level, name, part, text)",
+    "hwp_objects": "SELECT item_id, e::BIGINT AS element, kind, level::BIGINT AS level, name, part, CASE WHEN kind = 'equation' THEN item_id || ' over 2' ELSE v.text END AS text FROM benchmark, (VALUES (0, 'heading', 2, '', 'BodyText/Section0', 'Chapter'), (1, 'paragraph', 0, '', 'BodyText/Section0', 'Text'), (2, 'header', 0, 'header', 'BodyText/Section0', 'Head'), (3, 'note', 0, 'footnote', 'BodyText/Section0', 'Note a' || chr(10) || 'Note b'), (4, 'equation', 0, '', 'BodyText/Section0', ''), (5, 'image', 0, 'BIN0001.png', 'BinData/BIN0001.png', '')) AS v(e, kind, level, name, part, text)",
     "docx_elements": _LINES_AS.format(kind="CASE WHEN element = 0 THEN 'heading' ELSE 'paragraph' END", text="text"),
     "pdf_elements": "WITH " + _L + " SELECT doc_id, element, element // 10 AS page, trim(text, ' ') AS text FROM u",
     "hwpx_elements": _LINES_AS.format(kind="'paragraph'", text="text"),

@@ -202,5 +202,5 @@ ORACLE_SQL |= {
     "fixture_sources": rf"WITH {_LIST} SELECT name || '|x' AS file, '| ' || name || '\|x | ' || source || ' | ' || license || ' | ' || url || ' |' AS line FROM list",
     "manifest_used": "SELECT 'f' || doc_id % 2 AS format, doc_id AS fixture_id FROM labels UNION SELECT 'f' || item_id % 2, item_id FROM benchmark",
     "expected_fetched": "SELECT doc_id AS file, doc_id * 2 AS expected FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)",
-    "probe_outcomes": "SELECT lang AS format, count_if(doc_id % 11 > 0 AND n_chars <= 200 AND doc_id % 2 <> 0) AS unexpected_empty, count_if(doc_id % 11 > 0 AND n_chars <= 200 AND doc_id % 2 = 0) AS semantic_empty, count_if(doc_id % 11 = 0) AS invalid FROM documents GROUP BY lang",
+    "probe_outcomes": "SELECT lang AS format, count_if(doc_id % 11 > 0 AND n_chars <= 200 AND doc_id % 2 <> 0)::BIGINT AS unexpected_empty, count_if(doc_id % 11 > 0 AND n_chars <= 200 AND doc_id % 2 = 0)::BIGINT AS semantic_empty, count_if(doc_id % 11 = 0)::BIGINT AS invalid FROM documents GROUP BY lang",
 }

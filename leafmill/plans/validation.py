@@ -105,7 +105,7 @@ ORACLE_SQL = {
     "validate_missing": f"WITH {_SOURCES} SELECT DISTINCT s.doc_id, substring(s.s, 1, 100) AS sentence FROM sent s JOIN src n ON n.doc_id = s.doc_id AND n.ord = 0 WHERE s.ord <> 0 AND length(substring(key, 1, 25)) > 10 AND NOT contains(n.bare, substring(key, 1, 25))",
     "validate_keywords": f"WITH {_SOURCES}, l AS (SELECT doc_id, string_agg(w, ' ' ORDER BY n DESC, pos) AS keywords FROM kw GROUP BY doc_id) SELECT doc_id, coalesce(keywords, '') AS keywords FROM documents LEFT JOIN l USING (doc_id)",
     "validate_scores": f"WITH {_SOURCES} SELECT doc_id, round(score, 6) AS score, verdict FROM judged",
-    "validate_batch": f"WITH {_SOURCES} SELECT count(*) AS reports, round(avg(score), 6) AS mean_score, count_if(verdict = 'excellent') AS excellent, count_if(verdict = 'good') AS good, count_if(verdict = 'fair') AS fair, count_if(verdict = 'poor') AS poor, count_if(verdict = 'bad') AS bad FROM judged",
+    "validate_batch": f"WITH {_SOURCES} SELECT count(*) AS reports, round(avg(score), 6) AS mean_score, count_if(verdict = 'excellent')::BIGINT AS excellent, count_if(verdict = 'good')::BIGINT AS good, count_if(verdict = 'fair')::BIGINT AS fair, count_if(verdict = 'poor')::BIGINT AS poor, count_if(verdict = 'bad')::BIGINT AS bad FROM judged",
     "edges_removed": r"""WITH p AS (SELECT source AS "group", doc_id AS page, 'Head of ' || source || chr(10) || text || chr(10) || (doc_id % 1500)::VARCHAR AS text FROM documents), l AS (SELECT "group", page, text, string_split(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10)) AS ls FROM p), t AS (SELECT "group", count(text) AS pages FROM p GROUP BY ALL HAVING count(text) >= 3),
         e AS (SELECT "group", 'first' AS side, trim(ls[1]) AS line FROM l UNION ALL SELECT "group", 'last', trim(ls[-1]) FROM l WHERE len(ls) > 1), g AS (SELECT "group", list(DISTINCT line) AS gone FROM (SELECT "group", side, line, count(*) AS n FROM e GROUP BY ALL) JOIN t USING ("group") WHERE n >= 0.3 * pages AND length(line) > 2 OR side = 'last' AND regexp_full_match(line, '[0-9]{1,3}') GROUP BY ALL)
         SELECT "group", page, CASE WHEN gone IS NULL THEN text ELSE array_to_string(list_filter(ls, lambda x: NOT list_contains(gone, trim(x))), chr(10)) END AS text FROM l LEFT JOIN g USING ("group")""",
