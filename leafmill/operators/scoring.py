@@ -20,9 +20,9 @@ MARKDOWN = {
     "chars": "chars", "table_rows": "markdown_table_row_count", "headings": "heading_count", "links": "link_count", "image_references": "image_reference_count",
     "comments": "comment_marker_count", "bookmarks": "bookmark_marker_count", "formula_markers": "formula_marker_count", "unique_text_tokens": "unique_text_token_count",
 }
-STRUCTURE = ["json_asset_count", "json_section_provenance_count", "json_table_count", "json_table_cell_count", "json_cell_provenance_count", "json_cell_paragraph_count", "json_run_provenance_count", "json_rich_run_count"]
+STRUCTURE = [f"json_{k}_count" for k in "asset section_provenance table table_cell cell_provenance cell_paragraph run_provenance rich_run".split()]
 
-_PLACEHOLDER = r"(?i)^!\[\s*\]\((?:.*/)?\s*Shape\d+\.(?:png|jpe?g|gif|bmp|wmf|emf)\s*\)$"
+_PLACEHOLDER = r"(?i)^!\[\s*\]\((?:.*/)?\s*Shape\d+\.(?:bmp|emf|gif|jpe?g|png|wmf)\s*\)$"
 _GENERIC = r"^(?:|sheet|chart|notes|(?:sheet|hoja)\s*\d+)$"
 _NO_SIGNAL = r"(?i)^(?:|nan|nat|unnamed:\s*\d+)$"
 _DASHES = r"^:?-{3,}:?$"
@@ -70,7 +70,7 @@ def profile_output(output: Column | str) -> list[Column]:
     size = lambda x: F.size(x).cast("bigint")
     return [
         F.length(o).cast("bigint").alias("chars"), (F.size(lines(o)) - trailing).cast("bigint").alias("line_count"), _count(o, r"\S+").alias("word_count"), size(unique_tokens(o)).alias("unique_text_token_count"), size(meaningful_headings(o)).alias("heading_count"),
-        size(F.filter(_rows(o), lambda r: F.exists(r, lambda c: ~c.rlike(_NO_SIGNAL)))).alias("markdown_table_row_count"), _count(o, r"<(?:https?://|mailto:|#)[^>]+>").alias("link_count"), size(meaningful_images(o)).alias("image_reference_count"),
+        size(F.filter(_rows(o), lambda r: F.exists(r, lambda c: ~c.rlike(_NO_SIGNAL)))).alias("markdown_table_row_count"), _count(o, r"<(?:#|mailto:|https?://)[^>]+>").alias("link_count"), size(meaningful_images(o)).alias("image_reference_count"),
         _count(o, r"\[comment").alias("comment_marker_count"), _count(o, r"\[bookmark:").alias("bookmark_marker_count"), _count(o, r"\(=").alias("formula_marker_count"),
     ]
 

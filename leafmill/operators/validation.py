@@ -15,8 +15,8 @@ from leafmill.operators.analytics import length_score, small
 
 #: Steps that leave of Markdown what two extractions have in common: pattern and replacement, in order.
 COMPARABLE_STEPS = [
-    (r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}([^*]+)\*{1,3}", "$1"), (r"~~([^~]+)~~", "$1"), (r"</?(?:sup|sub|br)>", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
-    (r"[|#*~\-_`\[\]()!<>$^:{}]", ""), (r"image\s*[0-9]+", ""), (r"\s+", " "),
+    (r"(?m)^#{1,6}\s+", ""), (r"\*{1,3}([^*]+?)\*{1,3}", "$1"), (r"~~([^~]+)~~", "$1"), (r"</?(?:sup|sub|br)>", ""), (r"!\[[^\]]*\]\([^)]*\)", ""), (r"\[([^\]]*)\]\([^)]*\)", "$1"),
+    (r"[!#$()*:<>\[\]^_`{|}~-]", ""), (r"image\s*[0-9]+", ""), (r"\s+", " "),
 ]
 #: Words that coverage and keywords count.
 WORD = r"\p{L}{2,}"

@@ -150,8 +150,8 @@ _OUT = f"""
         list_filter(list_transform(list_filter(list_transform(ls, lambda x: trim(x)), lambda x: starts_with(x, '|') AND ends_with(x, '|')), lambda x: list_transform(string_split(regexp_replace(x, '^\\|+|\\|+$', '', 'g'), '|'), lambda c: trim(c))), lambda r: len(list_filter(r, lambda c: NOT regexp_full_match(c, ':?-{{3,}}:?'))) > 0) AS parsed FROM ls),
     prof AS MATERIALIZED (SELECT *, length(output)::BIGINT AS chars, (len(ls) - CASE WHEN output = '' OR ends_with(output, {_NL}) THEN 1 ELSE 0 END)::BIGINT AS line_count, len(regexp_extract_all(output, '\\S+'))::BIGINT AS word_count,
         len(list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(output, 'https?://\\S+', ' ', 'g'), 'mailto:\\S+', ' ', 'g'), '!\\[.*?\\]\\([^)]+\\)', ' ', 'g'), '\\[[^\\]]+\\]', ' ', 'g'), '(?i)\\bUnnamed:\\s*\\d+\\b', ' ', 'g'), '(?i)\\b(NaN|NaT)\\b', ' ', 'g')), '[a-z0-9가-힣]+'), lambda t: NOT regexp_full_match(t, '\\d+'))))::BIGINT AS unique_text_token_count,
-        len(heads)::BIGINT AS heading_count, len(list_filter(parsed, lambda r: len(list_filter(r, lambda c: NOT regexp_full_match(c, '(?i)|nan|nat|unnamed:\\s*\\d+'))) > 0))::BIGINT AS markdown_table_row_count, len(regexp_extract_all(output, '<(https?://|mailto:|#)[^>]+>'))::BIGINT AS link_count,
-        len(list_filter(regexp_extract_all(output, '!\\[.*?\\]\\([^)]+\\)'), lambda x: NOT regexp_matches(x, '(?i)^!\\[\\s*\\]\\((.*/)?\\s*Shape\\d+\\.(png|jpe?g|gif|bmp|wmf|emf)\\s*\\)$')))::BIGINT AS image_reference_count,
+        len(heads)::BIGINT AS heading_count, len(list_filter(parsed, lambda r: len(list_filter(r, lambda c: NOT regexp_full_match(c, '(?i)|nan|nat|unnamed:\\s*\\d+'))) > 0))::BIGINT AS markdown_table_row_count, len(regexp_extract_all(output, '<(#|mailto:|https?://)[^>]+>'))::BIGINT AS link_count,
+        len(list_filter(regexp_extract_all(output, '!\\[.*?\\]\\([^)]+\\)'), lambda x: NOT regexp_matches(x, '(?i)^!\\[\\s*\\]\\((.*/)?\\s*Shape\\d+\\.(bmp|emf|gif|jpe?g|png|wmf)\\s*\\)$')))::BIGINT AS image_reference_count,
         len(regexp_extract_all(output, '\\[comment'))::BIGINT AS comment_marker_count, len(regexp_extract_all(output, '\\[bookmark:'))::BIGINT AS bookmark_marker_count, len(regexp_extract_all(output, '\\(='))::BIGINT AS formula_marker_count FROM hs)"""
 _PROFILE = "chars, line_count, word_count, unique_text_token_count, heading_count, markdown_table_row_count, link_count, image_reference_count, comment_marker_count, bookmark_marker_count, formula_marker_count"
 _CELL = r"(CASE WHEN regexp_matches(output, '(^|\||\s)' || {0} || '($|\||\s)') THEN 1 ELSE 0 END)"

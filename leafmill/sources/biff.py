@@ -89,8 +89,8 @@ def records(data: bytes) -> Iterator[tuple[int, int, bytes]]:
 
 _BINARY = dict(zip(range(0x03, 0x0F), "+ - * / ^ & < <= = >= > <>".split()))
 #: Functions by number: name and, for those of a fixed count, arguments.
-_FUNCTIONS = {0: "COUNT", 1: "IF", 4: "SUM", 5: "AVERAGE", 6: "MIN", 7: "MAX", 8: "ROW", 9: "COLUMN", 27: "ROUND", 34: "TRUE", 35: "FALSE", 36: "AND", 37: "OR", 38: "NOT", 39: "MOD"}
-_ARGUMENTS = {27: 2, 34: 0, 35: 0, 39: 2}
+_FUNCTIONS = dict(zip((0, 1, *range(4, 10), 27, *range(34, 40)), "COUNT IF SUM AVERAGE MIN MAX ROW COLUMN ROUND TRUE FALSE AND OR NOT MOD".split()))
+_ARGUMENTS = {34: 0, 35: 0} | dict.fromkeys((27, 39), 2)
 _PREFIX, _SUFFIX = {0x12: "+", 0x13: "-"}, {0x14: "%"}
 #: Bytes that follow each token of a fixed size.
 _SIZES = {0x24: 4, 0x25: 8, 0x2C: 4, 0x2D: 8, 0x3A: 6, 0x3B: 10, 0x23: 4, 0x22: 3, 0x21: 2, 0x1E: 2, 0x1F: 8, 0x1D: 1, 0x1C: 1, 0x19: 2}
@@ -206,7 +206,8 @@ def header_text(code: str) -> str:
     return re.sub(r"\s+", " ", found).strip()
 
 
-_ADDRESS = re.compile(r"(?:https?|ftp)://[^\s\"'<>]+|mailto:[^\s\"'<>]+|file://[^\s\"'<>]+|[A-Za-z]:[\\/][^\s\"'<>]+|\\\\[^\s\"'<>]+\\\\[^\s\"'<>]+|www\.[^\s\"'<>]+", re.IGNORECASE)
+_REST = r"""[^\s"'<>]+"""
+_ADDRESS = re.compile("|".join(k + _REST for k in (r"(?:ftp|https?)://", "file://", "mailto:", r"www\.", r"[A-Z]:[\\/]", rf"\\\\{_REST}\\\\")), re.IGNORECASE)
 
 
 def link_target(body: bytes) -> str:
