@@ -188,6 +188,17 @@ def deltas(summary: DataFrame, baseline: str, *by: str) -> DataFrame:
     )
 
 
+def printed(number: Column | str, form: str) -> Column:
+    """A number of up to nine places as C's printf shows it: its binary value decides at halves, and what is less than zero
+    keeps its sign (-0.000). Noise of sums beyond nine places has none."""
+
+    @F.arrow_udf("string")
+    def shown(numbers: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else form % (round(x, 9) + 0.0) for x in numbers.to_pylist()], pa.string())
+
+    return shown((F.col(number) if isinstance(number, str) else number).cast("double"))
+
+
 def gaps(compared: DataFrame) -> DataFrame:
     """Rows of deltas() in which the baseline trails, with reasons and a score rounded to three places. Fewer
     table rows or headings count only if there are fewer words too, or nothing is known of words."""
@@ -197,15 +208,15 @@ def gaps(compared: DataFrame) -> DataFrame:
     rules += [(k, fewer(f"median_{k}_delta") & (words if k in ("table_rows", "headings") else F.lit(True)), F.lit(0.05)) for k in ("table_rows", "headings", "links", "image_references", "comments", "bookmarks", "formula_markers")]
     amount = {k: F.abs(f"{k}_delta" if k in ("accuracy", "success_rate") else f"median_{k}_delta") for k, _, _ in rules}
     holds = {k: F.coalesce(c, F.lit(False)) for k, c, _ in rules}
-    reasons = F.filter(F.array(*[F.when(holds[k], F.concat(F.lit(f"{k}_trails_by="), F.format_string("%.3f", F.bround(amount[k], 3)))) for k, _, _ in rules]), lambda x: x.isNotNull())
+    reasons = F.filter(F.array(*[F.when(holds[k], F.concat(F.lit(f"{k}_trails_by="), printed(amount[k], "%.3f"))) for k, _, _ in rules]), lambda x: x.isNotNull())
     score = sum((F.when(holds[k], w).otherwise(0.0) for k, _, w in rules), F.lit(0.0))
     keep = [c for c in ("format", "file", "competitor", "baseline_output_path", "competitor_output_path") if c in compared.columns]
     return compared.select(*keep, F.round(score, 3).alias("worst_gap_score"), reasons.alias("reasons")).where(F.size("reasons") > 0)
 
 
 def index_table(compared: DataFrame) -> DataFrame:
-    """competitor, format and the line of a Markdown table for each comparison; nulls are blank, halves go to even."""
-    shown = lambda c, form: F.when(F.col(c).isNull(), "").otherwise(F.format_string(form, F.bround(c, int(form[-2]))))
+    """competitor, format and the line of a Markdown table for each comparison; nulls are blank."""
+    shown = lambda c, form: F.coalesce(printed(c, form), F.lit(""))
     cells = [F.col("competitor"), F.col("format"), F.when(F.col("speedup").isNull(), "").otherwise(F.concat(shown("speedup", "%.2f"), F.lit("x"))), *[shown(c, "%+.3f") for c in ("accuracy_delta", "success_rate_delta", "median_json_asset_count_delta", "median_json_run_provenance_count_delta")]]
     return compared.select("competitor", "format", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
