@@ -77,18 +77,29 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, _ARROW.field(k).type) for k, c in enumerate(columns)], schema=_ARROW)
 
 
+#: What a batch of elements holds, by _weight().
+_MOST = 2000
+
+
+def _weight(row: tuple) -> int:
+    """1 for a short element, more for a long text, many runs or a large table."""
+    return 1 + len(row[7] or "") // 256 + len(row[10] or ()) // 8 + sum(map(len, row[8] or ())) // 8
+
+
 def parse_files(files: DataFrame, path: str = "path", content: str = "content", fail: bool = False, guards: dict[str, int] | None = None) -> DataFrame:
     """The elements of files (path, content), such as spark.read.format("binaryFile") gives them. Contents
     are never shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
+            rows, held = [], 0
             for p, c in zip(b.column(0), b.column(1)):
-                rows += rows_of(p.as_py(), c.as_py(), fail, guards)
-                if len(rows) >= 2000:
-                    yield _batch(rows)
-                    rows = []
+                for row in rows_of(p.as_py(), c.as_py(), fail, guards):
+                    rows.append(row)
+                    held += _weight(row)
+                    if held >= _MOST:
+                        yield _batch(rows)
+                        rows, held = [], 0
             yield _batch(rows)
 
     return files.select(path, content).mapInArrow(run, ELEMENTS)
