@@ -57,13 +57,24 @@ def _numeral(n: Column, kind: str) -> Column:
     return F.coalesce(made[kind], n.cast("string")) if kind in made else n.cast("string")
 
 
+#: Items that a task sorts, about 100 bytes each.
+TASK_ITEMS = 1 << 20
+
+
 def number_items(items: DataFrame, levels: list[tuple[str, str, int]] = LEVELS, by: tuple[str, ...] = ("list",)) -> DataFrame:
     """(by, pos, level) with `marker`, such as 2.1.3.: counters start again below a shallower item, and one that has none
-    yet shows its first number. Levels are as many as `levels` has. All windows share one shuffle, by list."""
-    window = lambda *k: Window.partitionBy(*by, *k).orderBy("pos")
-    out, names = items, [f"_n{k}" for k in range(len(levels))]
-    for k, name in enumerate(names):
-        out = out.withColumn(name, F.sum((F.col("level") == k).cast("int")).over(window(*names[:k])))
+    yet shows its first number. Levels are as many as `levels` has. Items at one place count together. There is one shuffle,
+    by list and into tasks of about TASK_ITEMS (a list is in one), and one sort, which can go to disk: a counter is how many
+    of its level there are so far, less those before the last shallower item."""
+    window, level, keys = Window.partitionBy(*by).orderBy(F.col("pos").asc_nulls_last()), F.col("level"), range(len(levels))
+    upto, here = window.rangeBetween(Window.unboundedPreceding, Window.currentRow), window.rangeBetween(Window.currentRow, Window.currentRow)
+    own = [(level == k).cast("int") for k in keys]
+    tasks = max(items.sparkSession.sparkContext.defaultParallelism, items.count() // TASK_ITEMS + 1)
+    out = items.select(*by, "pos", "level").repartition(tasks, *by)
+    out = out.select("*", *[F.sum(own[k]).over(upto).alias(f"_s{k}") for k in keys], *[F.sum(own[k]).over(here).alias(f"_c{k}") for k in keys[1:]])
+    last = lambda k: F.max(F.when(level.between(0, k - 1), F.col(f"_s{k}") - F.coalesce(f"_c{k}", F.lit(0)))).over(upto)
+    names = [f"_n{k}" for k in keys]
+    out = out.select(*by, "pos", "level", *[(F.col(f"_s{k}") - F.coalesce(last(k), F.lit(0)) if k else F.col("_s0")).alias(n) for k, n in enumerate(names)])
     shown = [_numeral(F.greatest(F.col(n), F.lit(1)) + (start - 1), kind) for n, (kind, _, start) in zip(names, levels)]
     marker = F.lit(None).cast("string")
     for k in reversed(range(len(levels))):
