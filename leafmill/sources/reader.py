@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -86,21 +86,26 @@ def _weight(row: tuple) -> int:
     return 1 + len(row[7] or "") // 256 + len(row[10] or ()) // 8 + sum(map(len, row[8] or ())) // 8
 
 
+def batches_of(files: Iterable[tuple[str, bytes | None]], fail: bool = False, guards: dict[str, int] | None = None) -> Iterator[pa.RecordBatch]:
+    """The elements of files (path, content) in batches of bounded size; a file is asked for when those before are read."""
+    rows, held = [], 0
+    for p, c in files:
+        for row in rows_of(p, c, fail, guards):
+            rows.append(row)
+            held += _weight(row)
+            if held >= _MOST:
+                yield _batch(rows)
+                rows, held = [], 0
+    yield _batch(rows)
+
+
 def parse_files(files: DataFrame, path: str = "path", content: str = "content", fail: bool = False, guards: dict[str, int] | None = None) -> DataFrame:
     """The elements of files (path, content), such as spark.read.format("binaryFile") gives them. Contents
     are never shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, held = [], 0
-            for p, c in zip(b.column(0), b.column(1)):
-                for row in rows_of(p.as_py(), c.as_py(), fail, guards):
-                    rows.append(row)
-                    held += _weight(row)
-                    if held >= _MOST:
-                        yield _batch(rows)
-                        rows, held = [], 0
-            yield _batch(rows)
+            yield from batches_of(((p.as_py(), c.as_py()) for p, c in zip(b.column(0), b.column(1))), fail, guards)
 
     return files.select(path, content).mapInArrow(run, ELEMENTS)
 
