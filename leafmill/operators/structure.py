@@ -73,12 +73,30 @@ def parse(text: str) -> list[dict[str, object]]:
     return out
 
 
+#: Characters of text whose lines or blocks are objects at once.
+SLICE = 1 << 19
+
+
+def _by_slice(texts: pa.Array, make: Callable[[str], list], kind: pa.DataType) -> pa.Array:
+    """make() of each text, of a null as of an empty one. As objects, blocks are many times their text: those of a slice become an
+    array before the next is begun."""
+    parts, made, held = [], [], 0
+    for t in texts:
+        text = t.as_py() or ""
+        made.append(make(text))
+        held += len(text)
+        if held >= SLICE:
+            parts.append(pa.array(made, pa.list_(kind)))
+            made, held = [], 0
+    return pa.concat_arrays([*parts, pa.array(made, pa.list_(kind))])
+
+
 def classed(df: DataFrame, text: str = "text") -> DataFrame:
     """df with `classes`, the class of each line; none for a null text."""
 
     @F.arrow_udf("array<string>")
     def found(texts: pa.Array) -> pa.Array:
-        return pa.array([classes(_ENDS.sub("\n", t or "").split("\n")) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return _by_slice(texts, lambda t: classes(_ENDS.sub("\n", t).split("\n")), pa.string())
 
     return df.withColumn("classes", found(col(text)))
 
@@ -88,11 +106,21 @@ def blocks(df: DataFrame, text: str = "text") -> DataFrame:
 
     @F.arrow_udf(_BLOCKS)
     def found(texts: pa.Array) -> pa.Array:
-        return pa.array([parse(t or "") for t in texts.to_pylist()], pa.list_(_BLOCK))
+        return _by_slice(texts, parse, _BLOCK)
 
     return df.withColumn("blocks", found(col(text)))
 
 
+def kinds(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with `kinds`, the kind of each of its blocks, without what they hold."""
+
+    @F.arrow_udf("array<string>")
+    def found(texts: pa.Array) -> pa.Array:
+        return _by_slice(texts, lambda t: [b["kind"] for b in parse(t)], pa.string())
+
+    return df.withColumn("kinds", found(col(text)))
+
+
 #: Cells of a table up to which its rows are padded to the widest; a larger one is mostly blank, and rows end as they do.
 PADDED_CELLS = 4_000_000
 

@@ -53,7 +53,7 @@ def doc_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def find_elements(spark: SparkSession, sf: str) -> DataFrame:
-    kinds = S.blocks(_docs(spark, sf)).select("doc_id", F.explode("blocks.kind").alias("kind"))
+    kinds = S.kinds(_docs(spark, sf)).select("doc_id", F.explode("kinds").alias("kind"))
     return kinds.groupBy("doc_id").agg(*[F.count_if(F.col("kind").isin(*k)).alias(n) for n, k in {"paragraphs": ["text"], "headings": ["heading"], "tables": ["table", "pair"]}.items()])
 
 
