@@ -86,17 +86,21 @@ def _weight(row: tuple) -> int:
     return 1 + len(row[7] or "") // 256 + len(row[10] or ()) // 8 + sum(map(len, row[8] or ())) // 8
 
 
+def in_batches(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    """Rows of ELEMENTS in batches of bounded size."""
+    kept, held = [], 0
+    for row in rows:
+        kept.append(row)
+        held += _weight(row)
+        if held >= _MOST:
+            yield _batch(kept)
+            kept, held = [], 0
+    yield _batch(kept)
+
+
 def batches_of(files: Iterable[tuple[str, bytes | None]], fail: bool = False, guards: dict[str, int] | None = None) -> Iterator[pa.RecordBatch]:
     """The elements of files (path, content) in batches of bounded size; a file is asked for when those before are read."""
-    rows, held = [], 0
-    for p, c in files:
-        for row in rows_of(p, c, fail, guards):
-            rows.append(row)
-            held += _weight(row)
-            if held >= _MOST:
-                yield _batch(rows)
-                rows, held = [], 0
-    yield _batch(rows)
+    return in_batches(row for p, c in files for row in rows_of(p, c, fail, guards))
 
 
 def parse_files(files: DataFrame, path: str = "path", content: str = "content", fail: bool = False, guards: dict[str, int] | None = None) -> DataFrame:
